@@ -5,8 +5,15 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm.common import read_table
+from tidemark.llm.common import new_path, read_table
 from tidemark.llm.token_counts import token_counts
+from tidemark.llm.token_output import read_tokens, write_tokens
+
+
+def op1_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, path = read_table(spark, sf_dir, "documents").select("doc_id", "text"), new_path(spark, "tokens")
+    write_tokens(docs, path, public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
+    return read_tokens(spark, path, digest=True)
 
 
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -14,5 +21,5 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
-QUERIES = {"op7_token_counts": op7_token_counts}
+QUERIES = {"op1_token_output": op1_token_output, "op7_token_counts": op7_token_counts}
 SQL: dict[str, str] = {}
