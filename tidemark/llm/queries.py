@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm.common import new_path, read_table
+from tidemark.llm.embedding import embedding_groups
 from tidemark.llm.licenses import license_labels, license_spans
 from tidemark.llm.simhash import simhash_groups
 from tidemark.llm.token_counts import token_counts
@@ -27,9 +28,13 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_groups(read_table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_labels(license_spans(read_table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
-QUERIES = {"op1_token_output": op1_token_output, "op3_simhash_dedup": op3_simhash_dedup, "op7_token_counts": op7_token_counts, "op10_license_scan": op10_license_scan}
+QUERIES = {"op1_token_output": op1_token_output, "op3_simhash_dedup": op3_simhash_dedup, "op7_token_counts": op7_token_counts, "op8_embedding_dedup": op8_embedding_dedup, "op10_license_scan": op10_license_scan}
 SQL: dict[str, str] = {}
