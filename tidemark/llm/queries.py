@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tidemark.llm.common import new_path, read_table
 from tidemark.llm.embedding import embedding_groups
 from tidemark.llm.licenses import license_labels, license_spans
+from tidemark.llm.lm import brown_scores
 from tidemark.llm.simhash import simhash_groups
 from tidemark.llm.token_counts import token_counts
 from tidemark.llm.token_output import read_tokens, write_tokens
@@ -23,6 +24,10 @@ def op3_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return brown_scores(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     return token_counts(docs, public_tokenizers.path("byte_bpe_50k.json"))
@@ -36,5 +41,5 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_labels(license_spans(read_table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
-QUERIES = {"op1_token_output": op1_token_output, "op3_simhash_dedup": op3_simhash_dedup, "op7_token_counts": op7_token_counts, "op8_embedding_dedup": op8_embedding_dedup, "op10_license_scan": op10_license_scan}
+QUERIES = {"op1_token_output": op1_token_output, "op3_simhash_dedup": op3_simhash_dedup, "op4_lm_scoring": op4_lm_scoring, "op7_token_counts": op7_token_counts, "op8_embedding_dedup": op8_embedding_dedup, "op10_license_scan": op10_license_scan}
 SQL: dict[str, str] = {}
