@@ -5,8 +5,9 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm.common import new_path, read_table
+from tidemark.llm.common import crc_mod, new_path, read_table
 from tidemark.llm.embedding import embedding_groups
+from tidemark.llm.language_id import language_id, learn_languages
 from tidemark.llm.licenses import license_labels, license_spans
 from tidemark.llm.lm import brown_scores
 from tidemark.llm.simhash import simhash_groups
@@ -20,6 +21,13 @@ def op1_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_tokens(spark, path, digest=True)
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    net = learn_languages(docs.select("doc_id", "text", "lang"))
+    rows = docs.select("doc_id", (crc_mod("doc_id", 4) == 2).alias("held_out"), "text")
+    return language_id(rows, net)
+
+
 def op3_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -41,5 +49,5 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_labels(license_spans(read_table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
-QUERIES = {"op1_token_output": op1_token_output, "op3_simhash_dedup": op3_simhash_dedup, "op4_lm_scoring": op4_lm_scoring, "op7_token_counts": op7_token_counts, "op8_embedding_dedup": op8_embedding_dedup, "op10_license_scan": op10_license_scan}
+QUERIES = {"op1_token_output": op1_token_output, "op2_language_id": op2_language_id, "op3_simhash_dedup": op3_simhash_dedup, "op4_lm_scoring": op4_lm_scoring, "op7_token_counts": op7_token_counts, "op8_embedding_dedup": op8_embedding_dedup, "op10_license_scan": op10_license_scan}
 SQL: dict[str, str] = {}
