@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm.common import crc_mod, new_path, read_table
+from tidemark.llm.decontaminate import contaminated
 from tidemark.llm.embedding import embedding_groups
 from tidemark.llm.language_id import language_id, learn_languages
 from tidemark.llm.licenses import license_labels, license_spans
@@ -45,9 +46,13 @@ def op8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_groups(read_table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
 
 
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(read_table(spark, sf_dir, "documents").select("doc_id", "text"), read_table(spark, sf_dir, "benchmark"))
+
+
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_labels(license_spans(read_table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
-QUERIES = {"op1_token_output": op1_token_output, "op2_language_id": op2_language_id, "op3_simhash_dedup": op3_simhash_dedup, "op4_lm_scoring": op4_lm_scoring, "op7_token_counts": op7_token_counts, "op8_embedding_dedup": op8_embedding_dedup, "op10_license_scan": op10_license_scan}
+QUERIES = {"op1_token_output": op1_token_output, "op2_language_id": op2_language_id, "op3_simhash_dedup": op3_simhash_dedup, "op4_lm_scoring": op4_lm_scoring, "op7_token_counts": op7_token_counts, "op8_embedding_dedup": op8_embedding_dedup, "op9_decontamination": op9_decontamination, "op10_license_scan": op10_license_scan}
 SQL: dict[str, str] = {}
