@@ -11,6 +11,7 @@ from tidemark.llm.embedding import embedding_groups
 from tidemark.llm.language_id import language_id, learn_languages
 from tidemark.llm.licenses import license_labels, license_spans
 from tidemark.llm.lm import brown_scores
+from tidemark.llm.mixing import mix_rates
 from tidemark.llm.simhash import simhash_groups
 from tidemark.llm.token_counts import token_counts
 from tidemark.llm.token_output import read_tokens, write_tokens
@@ -37,6 +38,15 @@ def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return brown_scores(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+#: Target shares of the domains' tokens; documents of the kept ones are never thinned out on average.
+MIX, MIX_KEEP = {"high": 0.90, "low": 0.08, "toxic": 0.02}, ("high", "low")
+
+
+def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = read_table(spark, sf_dir, "documents").select("doc_id", "text"), read_table(spark, sf_dir, "labels")
+    return mix_rates(docs, labels, MIX, MIX_KEEP).drop("same")
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     return token_counts(docs, public_tokenizers.path("byte_bpe_50k.json"))
@@ -54,5 +64,5 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_labels(license_spans(read_table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
-QUERIES = {"op1_token_output": op1_token_output, "op2_language_id": op2_language_id, "op3_simhash_dedup": op3_simhash_dedup, "op4_lm_scoring": op4_lm_scoring, "op7_token_counts": op7_token_counts, "op8_embedding_dedup": op8_embedding_dedup, "op9_decontamination": op9_decontamination, "op10_license_scan": op10_license_scan}
+QUERIES = {"op1_token_output": op1_token_output, "op2_language_id": op2_language_id, "op3_simhash_dedup": op3_simhash_dedup, "op4_lm_scoring": op4_lm_scoring, "op5_source_mixing": op5_source_mixing, "op7_token_counts": op7_token_counts, "op8_embedding_dedup": op8_embedding_dedup, "op9_decontamination": op9_decontamination, "op10_license_scan": op10_license_scan}
 SQL: dict[str, str] = {}
