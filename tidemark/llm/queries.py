@@ -13,6 +13,7 @@ from tidemark.llm.licenses import license_labels, license_spans
 from tidemark.llm.lm import brown_scores
 from tidemark.llm.mixing import mix_rates
 from tidemark.llm.simhash import simhash_groups
+from tidemark.llm.suffix_dedup import remove_repeats
 from tidemark.llm.token_counts import token_counts
 from tidemark.llm.token_output import read_tokens, write_tokens
 
@@ -47,6 +48,10 @@ def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_rates(docs, labels, MIX, MIX_KEEP).drop("same")
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(read_table(spark, sf_dir, "documents").select("doc_id", "text"), length=400, digest=True)
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     return token_counts(docs, public_tokenizers.path("byte_bpe_50k.json"))
@@ -64,5 +69,5 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_labels(license_spans(read_table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
-QUERIES = {"op1_token_output": op1_token_output, "op2_language_id": op2_language_id, "op3_simhash_dedup": op3_simhash_dedup, "op4_lm_scoring": op4_lm_scoring, "op5_source_mixing": op5_source_mixing, "op7_token_counts": op7_token_counts, "op8_embedding_dedup": op8_embedding_dedup, "op9_decontamination": op9_decontamination, "op10_license_scan": op10_license_scan}
+QUERIES = {"op1_token_output": op1_token_output, "op2_language_id": op2_language_id, "op3_simhash_dedup": op3_simhash_dedup, "op4_lm_scoring": op4_lm_scoring, "op5_source_mixing": op5_source_mixing, "op6_suffix_dedup": op6_suffix_dedup, "op7_token_counts": op7_token_counts, "op8_embedding_dedup": op8_embedding_dedup, "op9_decontamination": op9_decontamination, "op10_license_scan": op10_license_scan}
 SQL: dict[str, str] = {}
