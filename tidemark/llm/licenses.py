@@ -38,19 +38,19 @@ _SELF = -(1 << 63)  # stands for the text itself among the hashes
 def words(text: Column) -> Column:
     """Lower-cased words of a text: runs of letters, digits and whatever is not ASCII."""
     parts = F.split(F.translate(F.coalesce(text, F.lit("")), _UPPER, _LOWER), _BETWEEN)
-    return F.filter(parts, lambda w: w != "")
+    return F.array_remove(parts, "")
 
 
 def _run(ws: Column, i: Column, k: int) -> Column:
-    return F.xxhash64(F.concat_ws(" ", *[F.get(ws, i + j) for j in range(k)]))
+    return F.xxhash64(*[F.get(ws, i + j) for j in range(k)])
 
 
 def _templates(spark: SparkSession, templates, k: int) -> DataFrame:
     rows = [(t, label, text.split()) for t, (label, text) in enumerate(templates)]
-    flat = [(t, label, len(ws), p, " ".join(ws[p : p + k])) for t, label, ws in rows for p in range(len(ws) - k + 1)]
-    table = spark.createDataFrame(flat, "t int, label string, t_words int, t_at int, run string")
+    flat = [(t, label, len(ws), p, ws[p : p + k]) for t, label, ws in rows for p in range(len(ws) - k + 1)]
+    table = spark.createDataFrame(flat, "t int, label string, t_words int, t_at int, run array<string>")
     own = spark.createDataFrame([(-1, "", 0, 0)], "t int, label string, t_words int, t_at int").withColumn("h", F.lit(_SELF))
-    return table.withColumn("h", F.xxhash64("run")).drop("run").unionByName(own)
+    return table.withColumn("h", _run(F.col("run"), F.lit(0), k)).drop("run").unionByName(own)
 
 
 def license_spans(df: DataFrame, key: str = "doc_id", text: str = "text", phrases=PHRASES, templates=TEMPLATES, k: int = K, gap: int = GAP, cover: float = COVER) -> DataFrame:
@@ -69,14 +69,13 @@ def license_spans(df: DataFrame, key: str = "doc_id", text: str = "text", phrase
         starts.append((label, _places(F.col("ws"), phrase.split())))
     got = base.select("k", "text_hash", "ws", *[at.alias(f"p{i}") for i, (_, at) in enumerate(starts)])
     every = F.concat(*[F.col(f"p{i}") for i in range(len(starts))])
-    runs = F.when(F.size("ws") >= k, F.transform(F.sequence(F.lit(0), F.size("ws") - k), lambda i: F.struct(_run(F.col("ws"), i, k).alias("h"), i.alias("at")))).otherwise(F.array().cast("array<struct<h:bigint,at:int>>"))
-    own = F.array(F.struct(F.lit(_SELF).alias("h"), F.lit(0).alias("at")))
+    runs = F.transform("ws", lambda w, i: F.xxhash64(w, *[F.get(F.col("ws"), i + j) for j in range(1, k)]))  # runs cut short at the end hash fewer words
     labels = F.filter(F.array(*[F.when(F.size(f"p{i}") > 0, F.lit(label)) for i, (label, _) in enumerate(starts)]), lambda x: x.isNotNull())
     rows = got.select(
         "k", "text_hash", F.size("ws").cast("long").alias("n_words"), F.size(every).cast("long").alias("n_base"), F.array_min(every).cast("long").alias("first_word"), F.array_max(every).cast("long").alias("last_word"),
-        F.array_join(F.array_sort(F.array_distinct(labels)), ",").alias("base"), F.explode(F.concat(own, runs)).alias("x"),
+        F.array_join(F.array_sort(F.array_distinct(labels)), ",").alias("base"), F.posexplode(F.concat(F.array(F.lit(_SELF)), runs)).alias("at", "h"),
     )
-    rows = rows.select("*", "x.h", "x.at").drop("x")
+    rows = rows.withColumn("at", F.col("at") - 1)
     hits = rows.join(F.broadcast(_templates(spark, templates, k)), "h")
     facts = ["n_words", "n_base", "first_word", "last_word", "base"]
     votes = hits.groupBy("k", "text_hash", "t", "label", "t_words", (F.col("at") - F.col("t_at")).alias("diagonal")).agg(
