@@ -1 +1 @@
-
+"""Operators over the domain tables; each takes and returns DataFrames."""
