@@ -19,7 +19,8 @@ import numpy as np
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 _LETTER, _DIGIT, _BLANK, _BREAK, _OTHER, _SEP = 1, 2, 3, 4, 5, 0
-_RISKY = r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\xbf\xd7\xf7ɐ-\U0010ffff]"
+_RISKY = r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\xbf\xd7\xf7\u0240-\U0010ffff]"
+_CALM_BYTES = bytes([9, 10, 13, *range(32, 127), *range(0x80, 0xC0), *range(0xC3, 0xC9)])  # of texts without such marks, but for two of U+00C0 to U+00FF
 _CALM_BREAK = re.compile(r"(?<=[A-Za-z]) (?=[A-Za-z])")
 
 
@@ -86,10 +87,62 @@ def calm_pieces(text: str, size: int) -> list[str]:
     return out
 
 
+_LONG = 1 << 12  # longer pieces are not kept
+_rng = np.random.default_rng(20)
+_OF_BYTE = _rng.integers(1, 1 << 64, 256, np.uint64)
+_OF_PLACE = _rng.integers(0, 1 << 63, _LONG + 1, np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def piece_hashes(a: np.ndarray, starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
+    """64-bit hashes, never 0, of pieces of at most _LONG bytes: two draws for each byte and place, multiplied, summed
+    and mixed with the length."""
+    place = np.arange(len(a), dtype=np.int32) - np.repeat(starts.astype(np.int32), lens)
+    h = np.add.reduceat(_OF_BYTE[a] * _OF_PLACE[np.minimum(place, _LONG, out=place)], starts)
+    h ^= h >> np.uint64(31)
+    h *= np.uint64(0x9E3779B97F4A7C15)
+    h ^= (h >> np.uint64(29)) + lens.astype(np.uint64)
+    h[h == 0] = 1
+    return h
+
+
+class _Table:
+    """From hashes to numbers, by open addressing; looks up and adds whole arrays at once."""
+
+    def __init__(self, bits: int):
+        self.shift, self.last = np.uint64(64 - bits), (1 << bits) - 1
+        self.keys, self.values = np.zeros(1 << bits, np.uint64), np.zeros(1 << bits, np.int32)
+
+    def get(self, h: np.ndarray) -> np.ndarray:
+        """Numbers of hashes; -1 for unknown ones."""
+        at = (h >> self.shift).astype(np.int64)
+        key = self.keys[at]
+        out = np.where(key == h, self.values[at], -1)
+        open_ = np.flatnonzero((key != h) & (key != 0))
+        at, h = at[open_], h[open_]
+        while len(open_):
+            at = (at + 1) & self.last
+            key = self.keys[at]
+            hit = key == h
+            out[open_[hit]] = self.values[at[hit]]
+            on = ~hit & (key != 0)
+            open_, at, h = open_[on], at[on], h[on]
+        return out
+
+    def add(self, h: np.ndarray, values: np.ndarray) -> None:
+        """Distinct unknown hashes."""
+        at = (h >> self.shift).astype(np.int64)
+        while len(h):
+            free = self.keys[at] == 0
+            self.keys[at[free]] = h[free]  # of several for one place the last stays
+            won = self.keys[at] == h
+            self.values[at[won]] = values[won]
+            at, h, values = (at[~won] + 1) & self.last, h[~won], values[~won]
+
+
 class Encoder:
     """Ids of texts for one tokenizer file: .json for the tokenizers library, .model for sentencepiece."""
 
-    def __init__(self, path: str, most_pieces: int = 1_200_000):
+    def __init__(self, path: str, most_pieces: int = 1_500_000):
         self.path, self.most_pieces = path, most_pieces
         self.piecewise = False
         if path.endswith(".model"):
@@ -118,22 +171,46 @@ class Encoder:
                 and all(not (x["lstrip"] or x["rstrip"] or x["single_word"]) for x in added)
             )
             self._risky = re.compile("|".join([_RISKY, *(re.escape(x["content"]) for x in added)]))
+            self._added = [x["content"] for x in added]
+            line = self._library(["\n"])[0]
+            self._line = line[0] if len(line) == 1 else None
         self._clear()
 
     def _clear(self) -> None:
-        self._slot: dict[bytes, int] = {b"\0": 0}
+        self._table, self._n = _Table(max(10, (2 * self.most_pieces).bit_length())), 1
         self._ids, self._n_ids = np.zeros(1 << 16, np.uint32), 0
         self._at, self._len = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int32)
 
-    def _learn(self, pieces: list[bytes]) -> None:
-        if len(self._slot) + len(pieces) > self.most_pieces and len(self._slot) > 1:
-            self._clear()
+    def _learn(self, pieces: list[bytes]) -> np.ndarray:
+        """Ask the library for pieces and keep its answers; the numbers that these get."""
+        white = np.fromiter((p[-1:].isspace() for p in pieces), bool, len(pieces))
+        order = np.argsort(white, kind="stable")
+        numbers = np.empty(len(pieces), np.int32)
+        numbers[order] = self._n + np.arange(len(pieces), dtype=np.int32)
+        plain = [p for p, w in zip(pieces, white) if not w]
+        if self._line is not None and len(plain) > 1:
+            self._keep(plain, *self._by_line(plain))
+            plain = []
+        pieces = plain + [p for p, w in zip(pieces, white) if w]
         for at in range(0, len(pieces), 50_000):
             part = pieces[at : at + 50_000]
             got = self._library([p.decode() for p in part])
             lens = np.fromiter(map(len, got), np.int64, len(got))
-            flat = np.fromiter((i for ids in got for i in ids), np.uint32, int(lens.sum()))
-            first, total = len(self._slot), self._n_ids + len(flat)
+            self._keep(part, np.fromiter((i for ids in got for i in ids), np.uint32, int(lens.sum())), lens)
+        return numbers
+
+    def _by_line(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of pieces without white space but a first blank: a line feed between two of them is a piece of its own."""
+        text = b"\n".join(pieces).decode()
+        lines = text.split("\n") if len(text) > 1 << 16 else [text]
+        texts = ["\n".join(lines[i : i + 2000]) for i in range(0, len(lines), 2000)] if len(lines) > 1 else lines
+        flat = np.concatenate([x for ids in self._library(texts) for x in (np.array(ids, np.uint32), np.array([self._line], np.uint32))])
+        ends = np.flatnonzero(flat == self._line)
+        return flat[flat != self._line], np.diff(ends, prepend=-1) - 1
+
+    def _keep(self, part: list[bytes], flat: np.ndarray, lens: np.ndarray) -> None:
+        if part:
+            first, total = self._n, self._n_ids + len(flat)
             while first + len(part) > len(self._at):
                 self._at, self._len = np.resize(self._at, 2 * len(self._at)), np.resize(self._len, 2 * len(self._len))
             while total > len(self._ids):
@@ -141,30 +218,38 @@ class Encoder:
             self._ids[self._n_ids : total] = flat
             self._at[first : first + len(part)] = self._n_ids + np.cumsum(lens) - lens
             self._len[first : first + len(part)] = lens
-            self._slot.update(zip(part, range(first, first + len(part))))
-            self._n_ids = total
+            self._n, self._n_ids = first + len(part), total
 
     def _slots(self, texts: list[str]) -> np.ndarray:
         """Slots of the pieces of calm texts; slot 0 after each text."""
         a = np.frombuffer(("\0".join(texts) + "\0").encode(), np.uint8)
         start = piece_starts(a)
-        start[0] = False
-        to = np.arange(len(a)) + np.cumsum(start)
-        marked = np.ones(int(to[-1]) + 1, np.uint8)  # byte 1 is in no calm text
-        marked[to] = a
-        pieces = marked.tobytes().split(b"\1")
-        new = set(pieces).difference(self._slot)
-        if new:
-            self._learn(list(new))
-            if self._slot.keys().isdisjoint(new) or len(self._slot) <= len(new) + 1:  # cleared: old ones are new again
-                lost = set(pieces).difference(self._slot)
-                if lost:
-                    self._learn(list(lost))
-        return np.fromiter(map(self._slot.__getitem__, pieces), np.int64, len(pieces))
+        at = np.flatnonzero(start)
+        lens = np.diff(at, append=len(a))
+        h = piece_hashes(a, at, lens)
+        if self._n > self.most_pieces:
+            self._clear()
+        slots = self._table.get(h).astype(np.int64)
+        slots[a[at] == 0] = 0
+        new = np.flatnonzero((slots < 0) & (lens <= _LONG))
+        if len(new):
+            known, first, back = np.unique(h[new], return_index=True, return_inverse=True)
+            data, spots = a.tobytes(), new[first]
+            pieces = [data[x : x + n] for x, n in zip(at[spots].tolist(), lens[spots].tolist())]
+            numbers = self._learn(pieces)
+            self._table.add(known, numbers)
+            slots[new] = numbers[back]
+        for i in np.flatnonzero(slots < 0).tolist():
+            slots[i] = self._learn([a[at[i] : at[i] + lens[i]].tobytes()])[0]
+        return slots
 
     def _parts(self, texts: list[str]) -> tuple[list[int], list[int]]:
         if not self.piecewise:
             return [], list(range(len(texts)))
+        joined = "".join(texts)
+        data = joined.encode()
+        if not data.translate(None, _CALM_BYTES) and b"\xc3\x97" not in data and b"\xc3\xb7" not in data and not any(x in joined for x in self._added):
+            return list(range(len(texts))), []
         calm, other = [], []
         for i, t in enumerate(texts):
             (other if self._risky.search(t) else calm).append(i)

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.bpe import encoder
-from tidemark.llm.common import cut, drop_cut, sub_batches
+from tidemark.llm.common import cut, drop_cut, give_back, sub_batches
 
 BLOCK = 512
 
@@ -70,17 +70,16 @@ def canonical_codes(bits: np.ndarray) -> np.ndarray:
 
 def pack(ids: np.ndarray, bits: np.ndarray, codes: np.ndarray, block: int = BLOCK) -> tuple[bytes, np.ndarray]:
     """Code bits of ids, and the bit offset at which each block starts."""
-    length = bits[ids].astype(np.int64)
-    at = np.cumsum(length) - length
-    total = int(length.sum())
-    size = (total + 7) // 8
-    spot = at >> 3
-    word = codes[ids].astype(np.int64) << (32 - length - (at & 7))
+    length = bits[ids]
+    ends = np.cumsum(length, dtype=np.int64)
+    at = ends - length
+    size = (int(ends[-1]) + 7) // 8 if len(ids) else 0
+    spot, shift = at >> 3, 32 - length - (at & 7).astype(np.uint8)
+    word = codes[ids] << shift
     out = np.zeros(size + 4)
-    for k in range(4):
-        part = (word >> (24 - 8 * k)) & 255
-        if k < 3 or part.any():
-            out += np.bincount(spot + k, part, size + 4)
+    for k in range((int(bits.max(initial=0)) + 14) // 8):  # as many bytes as the longest code can touch
+        part = (word >> np.uint32(24 - 8 * k)).astype(np.uint8)
+        out[k:] += np.bincount(spot, part, size + 4)[: size + 4 - k]
     return out[:size].astype(np.uint8).tobytes(), at[::block].astype(np.uint64)
 
 
@@ -153,6 +152,7 @@ def write_tokens(df: DataFrame, path: str, tokenizer: str, key: str = "doc_id",
                 keys, counts, parts, size, seq = [], [], [], 0, seq + 1
         if keys:
             yield chunk()
+        give_back()
 
     stored = cut(rows.mapInArrow(encode, f"shard int, seq int, keys array<{kind.simpleString()}>, counts array<bigint>, n bigint, ids binary"), "ids")
     del rows
