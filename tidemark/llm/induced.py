@@ -1,7 +1,7 @@
 """Suffix order and common-prefix values of a byte shard by induced sorting with bulk priority queues.
 
 The suffixes that start a rise after a fall (LMS) are ordered first: their pieces are named in order, and the string of
-names is ordered by the same procedure.  Two sweeps then induce the rest: each suffix taken from the queue puts the one
+names is ordered by the same procedure, or in memory once it is small enough for that.  Two sweeps then induce the rest: each suffix taken from the queue puts the one
 before it back, under its first symbol, after all that came earlier.  Queues take and give whole runs of suffixes that
 cannot be overtaken; their buffers go to an unnamed scratch file beyond a memory budget, and so do the arrays of a shard
 that is larger than it.  Common-prefix values start from compared LMS suffixes and are carried along: that of two
@@ -241,14 +241,41 @@ def _apart(t, wanted, seeds, seed_key, lo, hi, flip, sign) -> bool:
     return bool((np.minimum.accumulate(child)[:-1] > seed_key[lo + 1 : hi]).all())
 
 
+def _doubling(t: np.ndarray) -> np.ndarray:
+    """Suffixes in descending order by ranks of prefixes of doubling length; only suffixes that still tie are sorted."""
+    n = len(t)
+    _, rank = np.unique(t, return_inverse=True)
+    counts = np.bincount(rank)
+    rank = (np.cumsum(counts) - counts)[rank]  # how many suffixes are smaller as far as known
+    live, step = np.flatnonzero(np.bincount(rank, minlength=n)[rank] > 1), 1
+    while len(live):
+        ahead = live + step
+        key = np.where(ahead < n, rank[np.minimum(ahead, n - 1)] + 1, 0)
+        order = np.lexsort((key, rank[live]))
+        live, key = live[order], key[order]
+        r = rank[live]
+        new = np.concatenate([[True], r[1:] != r[:-1]])
+        part = new | np.concatenate([[True], key[1:] != key[:-1]])
+        i = np.arange(len(live))
+        rank[live] = r + np.maximum.accumulate(np.where(part, i, 0)) - np.maximum.accumulate(np.where(new, i, 0))
+        live = live[~(part & np.append(part[1:], True))]
+        step *= 2
+    order = np.empty(n, np.int64)
+    order[n - 1 - rank] = np.arange(n)
+    return order
+
+
 def suffix_order(t: np.ndarray, cap: int = 0, budget: int = BUDGET) -> tuple[np.ndarray, np.ndarray | None]:
     """Suffixes of t in descending order and, if cap is given, common-prefix values up to cap with the one before.
 
-    t: nonnegative integers (below 512 if cap is given); the last is the only 0.
+    t: nonnegative integers (below 512 if cap is given); the last is the only 0.  A string of names that needs less than
+    the budget is ordered in memory; a larger one goes through the queues again.
     """
     n = len(t)
     if n == 1:
         return np.zeros(1, np.int64), np.zeros(1, np.int32) if cap else None
+    if not cap and n * 64 <= budget:
+        return _doubling(t), None
     small = _types(t)
     lms = np.flatnonzero(small[1:] & ~small[:-1]) + 1
     rank = _names(t, small, lms)

@@ -130,10 +130,11 @@ def repeated_spans(df: DataFrame, key: str = "doc_id", text: str = "text", lengt
             take = pa.array(i)
             yield pa.RecordBatch.from_arrays([b.column("k").take(take), b.column("h").take(take), pa.array(start), pa.array(n.astype(np.int16)), pa.array(core.view(np.int64)), pa.array(whole.view(np.int64))], names=["k", "h", "start", "n", "core", "whole"])
 
-    found = rows.mapInArrow(find, f"k {kind}, h bigint, start bigint, n smallint, core bigint, whole bigint")
+    found = cut(rows.mapInArrow(find, f"k {kind}, h bigint, start bigint, n smallint, core bigint, whole bigint"), "units")
     often = cut(found.groupBy("core").agg(F.count("*").alias("c")).where("c > 1").select("core"), "cores")
     kept = cut(found.join(often, "core"), "units")
     drop_cut(often)
+    drop_cut(found)
     kinds = cut(kept.groupBy("core", "whole").agg(F.count("*").alias("c"), F.min(F.struct("k", "h", "start", "n")).alias("rep")), "kinds")
     sizes = kinds.groupBy("core").agg(F.count("*").alias("m"), F.min("c").alias("least"))
     some = sizes.where("m > 1 and least = 1").select("core", (F.col("m") > hot).alias("many"))
@@ -196,7 +197,8 @@ def repeated_spans(df: DataFrame, key: str = "doc_id", text: str = "text", lengt
         if held:
             yield settle()
 
-    sorted_ = got.where("ctx is not null").select("core", "whole", "ctx").repartition("core").sortWithinPartitions("core").mapInArrow(order, "core bigint, whole bigint, a int, b int")
+    spread = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a given number, as the work is more than the bytes show
+    sorted_ = got.where("ctx is not null").select("core", "whole", "ctx").repartition(spread, "core").sortWithinPartitions("core").mapInArrow(order, "core bigint, whole bigint, a int, b int")
     windows = got.where("window is not null").select("core", "whole", "at", "window").distinct()
     twice = windows.groupBy("core", "window").agg(F.count("*").alias("c")).where("c > 1").select("core", "window")
     counted = windows.join(twice, ["core", "window"]).select("core", "whole", F.col("at").alias("a"), (F.col("at") + 1).alias("b"))
