@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import sub_batches
+from tidemark.llm.common import give_back, sub_batches
 
 RATE = 0.1
 
@@ -150,7 +150,7 @@ def _search(block: list, rate: float, schema: T.StructType):
         for piece, owners in pieces.items():
             automaton.add_word(piece, (len(piece), owners))
         automaton.make_automaton()
-        for b in sub_batches(batches, "t"):
+        for b in sub_batches(batches, "t", 1 << 20):
             rows, found = [], []
             for r, t in enumerate(b.column("t").to_pylist()):
                 if t:
@@ -160,5 +160,6 @@ def _search(block: list, rate: float, schema: T.StructType):
             if rows:
                 cols = list(zip(*found))
                 yield pa.RecordBatch.from_arrays([b.column("k").take(pa.array(np.array(rows))), pa.array(cols[0], to_arrow_type(item_type)), *(pa.array(c, pa.int64()) for c in cols[1:])], names=names)
+        give_back()
 
     return run

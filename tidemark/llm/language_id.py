@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import crc_mod, sub_batches
+from tidemark.llm.common import crc_mod, give_back, sub_batches
 
 WINDOW, HIDDEN, UND = 128, 8, "und"
 
@@ -221,16 +221,16 @@ def learn_languages(df: DataFrame, key: str = "doc_id", text: str = "text", lang
     return train(samples, langs, **how) if langs else None
 
 
-def language_id(df: DataFrame, net: Network | None, text: str = "text", label: str = "lang_pred", score: str = "score") -> DataFrame:
-    """df without its text, with the most probable language of each whole text and its probability.
+def language_id(df: DataFrame, net: Network | None, text: str = "text", label: str = "lang_pred", score: str = "score", keep_text: bool = False) -> DataFrame:
+    """df without its text (or with it: keep_text), with the most probable language of each whole text and its probability.
 
     `und` and 0 where the text is null or has no letter, or no network could be trained.  Columns of these names in df are
     replaced; rows stay as they are, none is shuffled.
     """
-    kept = [c for c in df.columns if c not in (text, label, score)]
+    kept = [c for c in df.columns if c not in (label, score) and (keep_text or c != text)]
     schema = T.StructType([df.schema[c] for c in kept] + [T.StructField(label, T.StringType()), T.StructField(score, T.DoubleType())])
-    inner = "__text"
-    while inner in kept:
+    inner = text if keep_text else "__text"
+    while inner in kept and not keep_text:
         inner += "_"
 
     def run(batches):
@@ -245,5 +245,7 @@ def language_id(df: DataFrame, net: Network | None, text: str = "text", label: s
                 for i, k in zip(told, top):
                     names[i] = net.langs[k]
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), pa.array(names), pa.array(best)], names=[*kept, label, score])
+        give_back()
 
-    return df.select(*[F.col(f"`{c}`") for c in kept], F.col(text).alias(inner)).mapInArrow(run, schema)
+    read = [F.col(f"`{c}`") for c in kept] + ([] if keep_text else [F.col(text).alias(inner)])
+    return df.select(*read).mapInArrow(run, schema)

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import cut, sub_batches
+from tidemark.llm.common import cut, give_back, sub_batches
 from tidemark.llm.components import components, local_forest
 
 BITS, SHINGLE, SEED = 64, 4, 42
@@ -49,9 +49,10 @@ def fingerprints(df: DataFrame, key: str = "doc_id", text: str = "text", out: st
     kind = df.schema[key].dataType
 
     def run(batches):
-        for b in sub_batches(batches, "t"):
+        for b in sub_batches(batches, "t", 1 << 20):
             fp = np.fromiter((fingerprint(t) for t in b.column("t").to_pylist()), np.uint64, b.num_rows)
             yield pa.RecordBatch.from_arrays([b.column("k"), pa.array(fp.view(np.int64))], names=[key, out])
+        give_back()
 
     return df.select(F.col(key).alias("k"), F.col(text).alias("t")).mapInArrow(run, T.StructType([T.StructField(key, kind), T.StructField(out, T.LongType())]))
 
@@ -101,7 +102,7 @@ def _meet(fp: np.ndarray, top: np.ndarray, left: np.ndarray, bits: int, radius:
     return [local_forest(a[near], b[near])]
 
 
-def fingerprint_links(fps: DataFrame, column: str = "fp", distance: int = 4, prefix_bits: int = 16, most_variants: int = 1 << 21) -> DataFrame:
+def fingerprint_links(fps: DataFrame, column: str = "fp", distance: int = 4, prefix_bits: int = 16, most_variants: int = 1 << 19) -> DataFrame:
     """Links (a, b) between distinct fingerprints, enough to join all those that chains of links join.
 
     Every two fingerprints at `distance` (even) or fewer differing bits meet in a variant; all that meet in one are
@@ -151,6 +152,7 @@ def fingerprint_links(fps: DataFrame, column: str = "fp", distance: int = 4, pre
             work(np.concatenate(held_fp), np.concatenate(held_top))
         a, c = settle()
         yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(c.view(np.int64))], names=["a", "b"])
+        give_back()
 
     return rows.mapInArrow(run, "a bigint, b bigint")
 
