@@ -2,6 +2,7 @@
 
 File format, under one path:
 
+* ``kind``: Parquet (key): the type of the keys, as text.
 * ``codebook``: Parquet (id, bits): the code length of each id that occurs.  Codes are canonical: ids in order of
   (bits, id) get ascending codes of their length.
 * ``chunks/shard=N``: Parquet, shards in ascending order of the key and chunks in order of first_token.  A chunk holds
@@ -112,6 +113,10 @@ def unpack(data: bytes, starts: np.ndarray, n: int, table: tuple[np.ndarray, np.
     return out.T.reshape(-1)[:n] if len(starts) > 1 else out[:n, 0]
 
 
+def _chunk(kind: str) -> str:
+    return f"first_token bigint, n_tokens bigint, block int, keys array<{kind}>, counts array<bigint>, starts array<bigint>, code binary"
+
+
 def write_tokens(df: DataFrame, path: str, tokenizer: str, key: str = "doc_id", text: str = "text", end_id: int | None = 2, limit: int = 16, block: int = BLOCK, chunk_tokens: int = 1 << 19) -> None:
     """Encode every whole text and write its ids in the format above, in ascending order of the key.
 
@@ -183,6 +188,8 @@ def write_tokens(df: DataFrame, path: str, tokenizer: str, key: str = "doc_id",
     used = np.flatnonzero(bits)
     spark.createDataFrame(pa.table({"id": pa.array(used), "bits": pa.array(bits[used].astype(np.int32))})).coalesce(1).write.parquet(f"{path}/codebook")
 
+    spark.createDataFrame([(kind.simpleString(),)], "key string").coalesce(1).write.parquet(f"{path}/kind")
+
     def code(batches):
         for b in sub_batches(batches, "ids", 1):
             data, starts = pack(np.frombuffer(b.column("ids")[0].as_buffer(), wide), bits, codes, block)
@@ -190,7 +197,7 @@ def write_tokens(df: DataFrame, path: str, tokenizer: str, key: str = "doc_id",
             cols = [b.column("shard"), pa.array([at]), b.column("n"), pa.array([block], pa.int32()), b.column("keys"), b.column("counts"), pa.array([starts.astype(np.int64).tolist()], pa.list_(pa.int64())), pa.array([data])]
             yield pa.RecordBatch.from_arrays(cols, names=["shard", "first_token", "n_tokens", "block", "keys", "counts", "starts", "code"])
 
-    coded = stored.mapInArrow(code, f"shard int, first_token bigint, n_tokens bigint, block int, keys array<{kind.simpleString()}>, counts array<bigint>, starts array<bigint>, code binary")
+    coded = stored.mapInArrow(code, f"shard int, {_chunk(kind.simpleString())}")
     coded.sortWithinPartitions("shard", "first_token").write.partitionBy("shard").parquet(f"{path}/chunks")
     drop_cut(stored)
 
@@ -202,8 +209,8 @@ def read_tokens(spark: SparkSession, path: str, key: str = "doc_id", digest: boo
     ids, lengths = book.column("id").to_numpy(), book.column("bits").to_numpy()
     bits = np.zeros(int(ids.max()) + 1 if len(ids) else 1, np.uint8)
     bits[ids] = lengths
-    chunks = spark.read.parquet(f"{path}/chunks").drop("shard")
-    kind = chunks.schema["keys"].dataType.elementType
+    kind = spark.read.parquet(f"{path}/kind").first()["key"]
+    chunks = spark.read.schema(_chunk(kind)).parquet(f"{path}/chunks")
     last = "ids_crc32" if digest else "ids"
 
     def decode(batches):
@@ -218,4 +225,4 @@ def read_tokens(spark: SparkSession, path: str, key: str = "doc_id", digest: boo
             out = pa.array([zlib.crc32(x) for x in each], pa.int64()) if digest else pa.array([bytes(x) for x in each], pa.binary())
             yield pa.RecordBatch.from_arrays([b.column("keys")[0].values, pa.array(b.column("first_token")[0].as_py() + ends - n), pa.array(n), out], names=[key, "start", "n_tokens", last])
 
-    return chunks.mapInArrow(decode, f"`{key}` {kind.simpleString()}, start bigint, n_tokens bigint, {last} {'bigint' if digest else 'binary'}")
+    return chunks.mapInArrow(decode, f"`{key}` {kind}, start bigint, n_tokens bigint, {last} {'bigint' if digest else 'binary'}")
