@@ -23,7 +23,8 @@ def domain(quality: Column, toxic: Column) -> Column:
 
 
 def _bucket(word: Column, buckets: int) -> Column:
-    return F.pmod(F.xxhash64(word), F.lit(buckets)).cast("int")
+    """Where a word's weight is found; null for an empty piece."""
+    return F.when(word != "", F.pmod(F.xxhash64(word), F.lit(buckets)).cast("int"))
 
 
 def word_weights(df: DataFrame, labelled: DataFrame, domains: list[str], key: str = "doc_id", text: str = "text", label: str = "domain", sample_rows: int = 20_000, buckets: int = BUCKETS, alpha: float = 0.5) -> tuple[DataFrame, dict[str, float]]:
@@ -36,7 +37,7 @@ def word_weights(df: DataFrame, labelled: DataFrame, domains: list[str], key: st
     share = min(1.0, sample_rows / n) if n else 1.0
     some = known.where(F.pmod(F.xxhash64(F.col(key), F.lit("sample")), F.lit(1 << 30)) < int(share * (1 << 30))).limit(int(1.5 * sample_rows))
     rows = df.select(F.col(key).alias(key), F.col(text).alias("t")).join(F.broadcast(some), key)
-    counts = rows.select("domain", F.explode(words(F.col("t"))).alias("w")).groupBy(_bucket(F.col("w"), buckets).alias("bucket")).agg(*[F.count(F.when(F.col("domain") == d, 1)).alias(f"c{i}") for i, d in enumerate(domains)])
+    counts = rows.select("domain", F.explode(words(F.col("t"))).alias("w")).where("w <> ''").groupBy(_bucket(F.col("w"), buckets).alias("bucket")).agg(*[F.count(F.when(F.col("domain") == d, 1)).alias(f"c{i}") for i, d in enumerate(domains)])
     counts = cut(counts, "word-counts")
     totals = counts.agg(*[F.coalesce(F.sum(f"c{i}"), F.lit(0)).alias(f"c{i}") for i in range(len(domains))]).first()
     docs = {r["domain"]: r["n"] for r in some.groupBy("domain").agg(F.count("*").alias("n")).collect()}
@@ -50,10 +51,11 @@ def domain_posteriors(df: DataFrame, weights: DataFrame, prior: dict[str, float]
     """(key, text_hash, n_words, p_<domain> ...) for each distinct (key, text); log weights are tempered, so that long
     texts are not more certain than they should be.  A text without known words has the priors."""
     names = list(prior)
-    rows = df.select(F.col(key).alias("k"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("text_hash"), F.posexplode_outer(words(F.col(text))).alias("at", "w"))
+    rows = df.select(F.col(key).alias("k"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("text_hash"), words(F.col(text)).alias("ws"))
+    rows = rows.select("k", "text_hash", F.posexplode_outer("ws").alias("at", "w"))  # what stands beside a generator is made anew for each of its rows
     rows = rows.select("k", "text_hash", "at", _bucket(F.col("w"), buckets).alias("bucket")).join(F.broadcast(weights), "bucket", "left")
     same = F.count(F.when(F.coalesce("at", F.lit(0)) == 0, 1))  # repeated rows
-    sums = rows.groupBy("k", "text_hash").agg(same.alias("same"), F.count("at").alias("n"), *[F.coalesce(F.sum(f"w{i}"), F.lit(0.0)).alias(f"s{i}") for i in range(len(names))])
+    sums = rows.groupBy("k", "text_hash").agg(same.alias("same"), F.count("bucket").alias("n"), *[F.coalesce(F.sum(f"w{i}"), F.lit(0.0)).alias(f"s{i}") for i in range(len(names))])
     logs = [temper * F.col(f"s{i}") / F.col("same") + prior[d] for i, d in enumerate(names)]
     out = sums.select("k", "text_hash", (F.col("n") / F.col("same")).cast("long").alias("n_words"), "same", *[x.alias(f"l{i}") for i, x in enumerate(logs)])
     top = F.greatest(*[F.col(f"l{i}") for i in range(len(names))])
