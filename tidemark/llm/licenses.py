@@ -71,13 +71,13 @@ def license_spans(df: DataFrame, key: str = "doc_id", text: str = "text", phrase
     every = F.concat(*[F.col(f"p{i}") for i in range(len(starts))])
     runs = F.transform("ws", lambda w, i: F.xxhash64(w, *[F.get(F.col("ws"), i + j) for j in range(1, k)]))  # runs cut short at the end hash fewer words
     labels = F.filter(F.array(*[F.when(F.size(f"p{i}") > 0, F.lit(label)) for i, (label, _) in enumerate(starts)]), lambda x: x.isNotNull())
-    rows = got.select(
+    rows = got.select(  # before the generator, as what stands beside it is made anew for each of its rows; outer, as else a filter on it repeats its work
         "k", "text_hash", F.size("ws").cast("long").alias("n_words"), F.size(every).cast("long").alias("n_base"), F.array_min(every).cast("long").alias("first_word"), F.array_max(every).cast("long").alias("last_word"),
-        F.array_join(F.array_sort(F.array_distinct(labels)), ",").alias("base"), F.posexplode(F.concat(F.array(F.lit(_SELF)), runs)).alias("at", "h"),
+        F.array_join(F.array_sort(F.array_distinct(labels)), ",").alias("base"), F.concat(F.array(F.lit(_SELF)), runs).alias("hs"),
     )
-    rows = rows.withColumn("at", F.col("at") - 1)
-    hits = rows.join(F.broadcast(_templates(spark, templates, k)), "h")
     facts = ["n_words", "n_base", "first_word", "last_word", "base"]
+    rows = rows.select("k", "text_hash", *facts, F.posexplode_outer("hs").alias("at", "h")).withColumn("at", F.col("at") - 1)
+    hits = rows.join(F.broadcast(_templates(spark, templates, k)), "h")
     votes = hits.groupBy("k", "text_hash", "t", "label", "t_words", (F.col("at") - F.col("t_at")).alias("diagonal")).agg(
         F.min(F.struct(*facts)).alias("facts"), F.collect_set("t_at").alias("seen"), F.min("at").alias("first"), F.max("at").alias("last")
     )
