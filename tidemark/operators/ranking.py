@@ -23,12 +23,13 @@ class Scores:
         return relevance(t.user_term, t.poi_term, term_idf(t.poi_term, t.n_pois))
 
     def scored(self, pairs: DataFrame | None = None) -> DataFrame:
-        """(u, p, rel, inf, dist, score)."""
+        """(u, p, rel, inf, dist, score); scores are rounded to nine places, so that ties do not depend on the order in
+        which weights were summed."""
         t = self.domain
         soc = social_score(friend_checkins(t.friend, t.checkin))
         rows = (self.relevant() if pairs is None else pairs).join(soc, ["u", "p"], "left").select("u", "p", "rel", influence(F.coalesce("soc", F.lit(0.0)), self.a, self.alpha).alias("inf"))
         rows = with_distance(rows, t.users, t.pois, self.d)
-        return rows.withColumn("score", gsk_score(F.col("rel"), F.col("inf"), F.col("dist"), self.alpha))
+        return rows.withColumn("score", F.round(gsk_score(F.col("rel"), F.col("inf"), F.col("dist"), self.alpha), 9))
 
 
 def user_topk(scored: DataFrame, k: int) -> DataFrame:
@@ -61,7 +62,7 @@ def reverse_topk_bound(scores: Scores, pois: DataFrame, k: int, bounds: DataFram
     floor = user_kth(low, k).withColumnRenamed("rk", "floor")
     asked = bounds.join(pois.select("p"), "p", "left_semi")
     top = asked.withColumn("top", upper_score(F.col("rel"), F.col("dmin"), scores.a, scores.alpha))
-    users = top.join(floor, "u", "left").where(F.col("top") >= F.coalesce("floor", F.lit(0.0))).select("u").distinct()
+    users = top.join(floor, "u", "left").where(F.col("top") + 1e-8 >= F.coalesce("floor", F.lit(0.0))).select("u").distinct()
     return reverse_topk(scores.scored(scores.relevant().join(users, "u", "left_semi")), pois, k)
 
 

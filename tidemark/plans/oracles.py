@@ -66,9 +66,9 @@ PARTS: dict[str, tuple[str, str]] = {
         """SELECT a.u, b.p, CASE WHEN a.ni = b.ni AND a.nj = b.nj THEN abs(a.dis - b.dis) WHEN a.ni = b.ni THEN a.dis + b.dis ELSE least(x.dist + b.dis, y.dist + b.dist - b.dis) END AS dist
         FROM users a CROSS JOIN pois b JOIN vu x ON x.v = b.ni AND x.u = a.u JOIN vu y ON y.v = b.nj AND y.u = a.u""",
     ),
-    "scored": ("rel soc far", """SELECT u, p, rel, inf, dist, (0.6 * inf + 0.4 * rel) / (1 + dist) AS score FROM (
+    "scored": ("rel soc far", """SELECT u, p, rel, inf, dist, round((0.6 * inf + 0.4 * rel) / (1 + dist), 9) AS score FROM (
         SELECT rel.u, rel.p, rel.rel, CASE WHEN coalesce(soc, 0) > 0 THEN 1 + pow(6.0, soc) ELSE 1.0 END AS inf, far.dist FROM rel JOIN far USING (u, p) LEFT JOIN soc USING (u, p))"""),
-    "best": ("scored kk", "SELECT * FROM (SELECT u, p, score, row_number() OVER (PARTITION BY u ORDER BY round(score, 9) DESC, p) AS rank FROM scored) WHERE rank <= (SELECT k FROM kk)"),
+    "best": ("scored kk", "SELECT * FROM (SELECT u, p, score, row_number() OVER (PARTITION BY u ORDER BY score DESC, p) AS rank FROM scored) WHERE rank <= (SELECT k FROM kk)"),
     "kth": ("best kk", "SELECT u, score AS rk FROM best WHERE rank = (SELECT k FROM kk)"),
     "rev": ("scored kth", "SELECT s.*, coalesce(rk, 0.0) AS rk FROM scored s LEFT JOIN kth USING (u) WHERE score > coalesce(rk, 0.0)"),
     "cells": ("poi_term vp", "SELECT term, v, p, dist FROM (SELECT term, v, p, dist, row_number() OVER (PARTITION BY term, v ORDER BY round(dist, 9), p) AS r FROM poi_term JOIN vp USING (p)) WHERE r = 1"),
@@ -192,7 +192,7 @@ SQL: dict[str, str] = {
     "morton_codes": _with("vertex", "SELECT v, (SELECT sum((((x::bigint >> i) & 1) << (2 * i)) + (((y::bigint >> i) & 1) << (2 * i + 1))) FROM (VALUES (0), (1), (2), (3)) b(i))::bigint AS code FROM vertex"),
     "edge_keys": _with("edge", "SELECT ni * 25 + nj AS key, ni, nj FROM edge"),
     "gsk_score": _with("scored", "SELECT u, p, round(rel, 6) AS rel, round(inf, 6) AS inf, round(dist, 6) AS dist, round(score, 6) AS score FROM scored"),
-    "sk_score": _with("rel far", "SELECT u, p, round((0.6 + 0.4 * rel) / (1 + dist), 6) AS score FROM rel JOIN far USING (u, p)"),
+    "sk_score": _with("rel far", "SELECT u, p, round(round((0.6 + 0.4 * rel) / (1 + dist), 9), 6) AS score FROM rel JOIN far USING (u, p)"),
     "gsk_bounds": _with(
         "rel users pois leaf span edge",
         """SELECT u, p, round((0.6 + 0.4 * rel) / (1 + hi + 2 * m), 6) AS low, round((0.6 * 7 + 0.4 * rel) / (1 + greatest(lo - 2 * m, 0)), 6) AS top
@@ -209,7 +209,7 @@ SQL: dict[str, str] = {
     "reverse_topk_bound": _with("rev", f"SELECT {_RESULT} FROM rev WHERE p < 5"),
     "reverse_topk_given_keywords": _with(
         "user_term poi_term idf soc far kth",
-        f"""SELECT {_RESULT} FROM (SELECT q.*, (0.6 * inf + 0.4 * rel) / (1 + dist) AS score, coalesce(kth.rk, 0.0) AS rk FROM (SELECT r.u, r.p, rel, CASE WHEN coalesce(soc, 0) > 0 THEN 1 + pow(6.0, soc) ELSE 1.0 END AS inf, far.dist
+        f"""SELECT {_RESULT} FROM (SELECT q.*, round((0.6 * inf + 0.4 * rel) / (1 + dist), 9) AS score, coalesce(kth.rk, 0.0) AS rk FROM (SELECT r.u, r.p, rel, CASE WHEN coalesce(soc, 0) > 0 THEN 1 + pow(6.0, soc) ELSE 1.0 END AS inf, far.dist
         FROM (SELECT u, 0::bigint AS p, sum(idf) AS rel FROM user_term JOIN idf USING (term) WHERE term IN (SELECT term FROM poi_term WHERE p < 5) GROUP BY u HAVING sum(idf) > 0) r JOIN far USING (u, p) LEFT JOIN soc USING (u, p)) q LEFT JOIN kth USING (u)) WHERE score > rk""",
     ),
     "reverse_cardinality": _with("rev", "SELECT p, count(*)::bigint AS n FROM rev WHERE p < 5 GROUP BY p"),

@@ -414,7 +414,7 @@ def voronoi_leaves(t: Domain) -> DataFrame:
 
 @query
 def user_topk(t: Domain) -> DataFrame:
-    return ranking.user_topk(_scores(t).scored().withColumn("score", F.round("score", 9)), t.k).select(*six("u", "p", "score~", "rank"))
+    return ranking.user_topk(_scores(t).scored(), t.k).select(*six("u", "p", "score~", "rank"))
 
 
 @query
@@ -463,7 +463,7 @@ def reverse_cardinality(t: Domain) -> DataFrame:
 
 @query
 def candidate_groups(t: Domain) -> DataFrame:
-    return workload.candidate_groups(ranking.user_topk(_scores(t).scored().withColumn("score", F.round("score", 9)), t.k))
+    return workload.candidate_groups(ranking.user_topk(_scores(t).scored(), t.k))
 
 
 @query
