@@ -80,16 +80,23 @@ def _log_choose(n: int, k: int) -> float:
     return math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1)
 
 
+JUDGE = 1 << 40  # rounds from here on are the second family of sets
+
+
 class Sampler:
-    """Reverse-reachable sets of places, made once and kept: asking for more sets samples only the missing ones."""
+    """Reverse-reachable sets of places, made once and kept: asking for more sets samples only the missing ones.
+
+    With two families their sets, independent of each other, are searched for in the same steps.
+    """
 
-    def __init__(self, spark, edges: DataFrame, links: DataFrame, n_users: int, seed: int, least_depth: int = 0):
+    def __init__(self, spark, edges: DataFrame, links: DataFrame, n_users: int, seed: int, least_depth: int = 0, families: int = 1):
         self.spark, self.edges, self.links, self.n, self.seed, self.depth = spark, edges, links, n_users, seed, least_depth
-        self.made, self.parts = 0, None
+        self.made, self.parts, self.firsts = 0, None, [0, JUDGE][:families]
 
     def sets(self, count: int) -> DataFrame:
         if count > self.made:
-            roots = rr_roots(self.spark, count - self.made, self.n, self.seed, self.made)
+            more = [rr_roots(self.spark, count - self.made, self.n, self.seed, f + self.made) for f in self.firsts]
+            roots = more[0] if len(more) == 1 else more[0].unionByName(more[1])
             new = cut(rr_pois(rr_users(self.edges, roots, self.seed), self.links, self.depth), "sets")
             self.parts = new if self.parts is None else self.parts.unionByName(new)
             self.made = count
@@ -110,12 +117,13 @@ def opimc(spark, edges: DataFrame, links: DataFrame, n_users: int, n_pois: int,
     rounds = max(1, math.ceil(math.log2(most / base)) + 1)
     a = math.log(3 * rounds / delta)
     depth = 2 if local is not None else 0
-    choose, judge = Sampler(spark, edges, links, n_users, 11, depth), Sampler(spark, edges, links, n_users, 23, depth)
+    sampler = Sampler(spark, edges, links, n_users, 11, depth, families=2)
     count, out = base, Choice()
     for i in range(rounds):
         if most_sets:
             count = min(count, most_sets)
-        one, two = choose.sets(count), judge.sets(count)
+        both = sampler.sets(count)
+        one, two = both.where(F.col("round") < JUDGE), both.where(F.col("round") >= JUDGE)
         out = greedy_cover(one, b) if local is None else _hybrid_cover(one, local, b, n_users / count)
         cov, up = covered_sets(two, out.pois), out.facts["upper"]
         low_n = (math.sqrt(cov + 2 * a / 9) - math.sqrt(a / 2)) ** 2 - a / 18
