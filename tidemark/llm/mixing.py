@@ -27,9 +27,12 @@ def _bucket(word: Column, buckets: int) -> Column:
     return F.when(word != "", F.pmod(F.xxhash64(word), F.lit(buckets)).cast("int"))
 
 
-def word_weights(df: DataFrame, labelled: DataFrame, domains: list[str], key: str = "doc_id", text: str = "text", label: str = "domain", sample_rows: int = 20_000, buckets: int = BUCKETS, alpha: float = 0.5) -> tuple[DataFrame, dict[str, float]]:
+def word_weights(df: DataFrame, labelled: DataFrame, domains: list[str], key: str = "doc_id", text: str = "text", label: str = "domain", sample_rows: int = 20_000, buckets: int = BUCKETS, alpha: float = 0.5, shrink: float = 0.5) -> tuple[DataFrame, dict[str, float]]:
     """Log weights of each word bucket in each domain (columns w0, w1, ... in the order of `domains`), and log priors.
 
+    A weight is the log of a bucket's share of the domain's words over its share of all words, pulled towards zero by
+    `shrink`, so that what a language or topic does to all its words a little does not add up to a domain.
+
     Fitted on about sample_rows labelled rows (1.5 times that at most), chosen by a threshold on a hash of their key.
     """
     known = labelled.where(F.col(label).isin(domains) & F.col(key).isNotNull()).groupBy(key).agg(F.max(label).alias("domain"))
@@ -43,13 +46,15 @@ def word_weights(df: DataFrame, labelled: DataFrame, domains: list[str], key: st
     docs = {r["domain"]: r["n"] for r in some.groupBy("domain").agg(F.count("*").alias("n")).collect()}
     every = sum(docs.values())
     prior = {d: float(np.log((docs.get(d, 0) + 1) / (every + len(domains)))) for d in domains}
-    weights = counts.select("bucket", *[F.log((F.col(f"c{i}") + alpha) / (totals[i] + alpha * buckets)).alias(f"w{i}") for i in range(len(domains))])
+    whole, seen = max(1, sum(totals)), sum((F.col(f"c{i}") for i in range(1, len(domains))), F.col("c0"))
+    logs = [F.log((F.col(f"c{i}") + alpha) / (seen + alpha) * ((whole + alpha * buckets) / (n + alpha * buckets))) for i, n in enumerate(totals)]
+    weights = counts.select("bucket", *[(F.signum(x) * F.greatest(F.abs(x) - shrink, F.lit(0.0))).alias(f"w{i}") for i, x in enumerate(logs)])
     return weights, prior
 
 
 def domain_posteriors(df: DataFrame, weights: DataFrame, prior: dict[str, float], key: str = "doc_id", text: str = "text", buckets: int = BUCKETS, temper: float = 0.5) -> DataFrame:
-    """(key, text_hash, n_words, p_<domain> ...) for each distinct (key, text); log weights are tempered, so that long
-    texts are not more certain than they should be.  A text without known words has the priors."""
+    """(key, text_hash, n_words, p_<domain> ...) for each distinct (key, text), from summed log weights times `temper` and
+    the priors, which a text without known words has."""
     names = list(prior)
     rows = df.select(F.col(key).alias("k"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("text_hash"), words(F.col(text)).alias("ws"))
     rows = rows.select("k", "text_hash", F.posexplode_outer("ws").alias("at", "w"))  # what stands beside a generator is made anew for each of its rows
@@ -64,11 +69,12 @@ def domain_posteriors(df: DataFrame, weights: DataFrame, prior: dict[str, float]
     return out.select(F.col("k").alias(key), "text_hash", "n_words", "same", *[(p / whole).alias(f"p_{d}") for p, d in zip(parts, names)])
 
 
-def fit_rates(rows: DataFrame, targets: dict[str, float], keep: tuple[str, ...] = (), headroom: float = 1.05, most_steps: int = 40, tolerance: float = 1e-7) -> tuple[Column, dict]:
+def fit_rates(rows: DataFrame, targets: dict[str, float], keep: tuple[str, ...] = (), headroom: float = 1.05, ceiling: float = 4.0, most_steps: int = 25, tolerance: float = 1e-4) -> tuple[Column, dict]:
     """Rate of each row as a column expression, and what was reached.
 
-    Minimises the squares of (expected tokens - target) of the domains, weighed by the inverse of their Gram matrix under
-    the tokens, over rates >= 0, from rates of one; in the metric of tokens a step of length one then never overshoots.
+    Rates have a floor: one for rows that more probably than not belong to the domains in `keep`, which so are never
+    thinned out, and zero for others; and a ceiling.  Minimises the squares of (expected tokens - target) of the domains, weighed by the inverse of their Gram matrix under
+    the tokens, within these bounds, from rates of one; in the metric of tokens a step of length one then never overshoots.
     The total is such that no domain in `keep` has to shrink (all of them, if it is empty), times `headroom`, so that
     rows that surely belong to these stay above a rate of one although others of their domain take part of the tokens.  Each step is one sum over
     the rows that returns a number for each domain.
@@ -88,11 +94,13 @@ def fit_rates(rows: DataFrame, targets: dict[str, float], keep: tuple[str, ...]
     share = share / share.sum()
     held = [i for i, x in enumerate(names) if (x in keep or not keep) and share[i] > 0 and now[i] > 0]
     want = headroom * share * max(now[i] / share[i] for i in held)
-    inverse = np.linalg.inv(gram + 1e-9 * np.trace(gram) * np.eye(d))
+    inverse = np.linalg.inv(gram + 1e-6 * np.trace(gram) * np.eye(d))
+    sure = sum((F.col(f"p_{x}") for x in keep if x in names), F.lit(0.0)) >= 0.5
+    floor = F.when(sure, 1.0).otherwise(0.0)
     rate = F.lit(1.0)
     for step in range(1, most_steps + 1):
         move = inverse @ (now - want)
-        rate = F.greatest(F.lit(0.0), rate - sum((float(m) * x for m, x in zip(move[1:], p[1:])), float(move[0]) * p[0]))
+        rate = F.least(F.lit(ceiling), F.greatest(floor, rate - sum((float(m) * x for m, x in zip(move[1:], p[1:])), float(move[0]) * p[0])))
         now = np.array(rows.agg(*[F.sum(weight * rate * x) for x in p]).first())
         if np.abs(now - want).max() <= tolerance * want.max():
             break
