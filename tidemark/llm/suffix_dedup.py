@@ -137,7 +137,7 @@ def repeated_spans(df: DataFrame, key: str = "doc_id", text: str = "text", lengt
     drop_cut(found)
     kinds = cut(kept.groupBy("core", "whole").agg(F.count("*").alias("c"), F.min(F.struct("k", "h", "start", "n")).alias("rep")), "kinds")
     sizes = kinds.groupBy("core").agg(F.count("*").alias("m"), F.min("c").alias("least"))
-    some = sizes.where("m > 1 and least = 1").select("core", (F.col("m") > hot).alias("many"))
+    some = cut(sizes.where("m > 1 and least = 1").select("core", (F.col("m") > hot).alias("many")), "some")  # so that Spark can split the join's large partitions
     reps = kinds.join(some, "core").select("core", "whole", "many", "rep.*")
     asked = reps.groupBy("k", "h").agg(F.collect_list(F.struct("start", "n", "core", "whole", "many")).alias("units"))
     asked = asked.withColumnsRenamed({"k": "ak", "h": "ah"})
