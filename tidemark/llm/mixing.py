@@ -69,7 +69,7 @@ def domain_posteriors(df: DataFrame, weights: DataFrame, prior: dict[str, float]
     return out.select(F.col("k").alias(key), "text_hash", "n_words", "same", *[(p / whole).alias(f"p_{d}") for p, d in zip(parts, names)])
 
 
-def fit_rates(rows: DataFrame, targets: dict[str, float], keep: tuple[str, ...] = (), headroom: float = 1.05, ceiling: float = 4.0, most_steps: int = 25, tolerance: float = 1e-4) -> tuple[Column, dict]:
+def fit_rates(rows: DataFrame, targets: dict[str, float], keep: tuple[str, ...] = (), headroom: float = 1.05, ceiling: float = 8.0, most_steps: int = 25, tolerance: float = 1e-4) -> tuple[Column, dict]:
     """Rate of each row as a column expression, and what was reached.
 
     Rates have a floor: one for rows that more probably than not belong to the domains in `keep`, which so are never
