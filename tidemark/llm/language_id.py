@@ -30,6 +30,7 @@ class Network:
     state: np.ndarray  # 2, 3H, H
     out: np.ndarray  # L, 2H
     bias: np.ndarray  # L, 1
+    letters: str = ""  # all letters of the texts it learned from
 
     def weights(self) -> list[np.ndarray]:
         return [self.byte, self.state, self.out, self.bias]
@@ -138,6 +139,15 @@ def train(samples: list[tuple[bytes, str]], langs: list[str], hidden: int = HIDD
     return net
 
 
+def noise(samples: list[tuple[bytes, str]], seed: int = 11) -> list[tuple[bytes, str]]:
+    """Of each text its characters in random order, and in turn ASCII letters and spaces at random: texts of `und`."""
+    rng, out = np.random.default_rng(seed), []
+    ascii_ = np.frombuffer(b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ         ", np.uint8)
+    for i, (t, _) in enumerate(samples):
+        out.append((rng.choice(ascii_, max(1, len(t))).tobytes() if i % 2 else "".join(rng.permutation(list(t.decode()))).encode(), UND))
+    return out
+
+
 def window_probabilities(net: Network, x: np.ndarray, lens: np.ndarray) -> np.ndarray:
     """Sums over the bytes of each window (lane) of x (steps, lanes) of the probabilities: L, lanes."""
     steps, lanes = x.shape
@@ -199,12 +209,12 @@ def label_positions(net: Network, text: str, window: int = WINDOW) -> np.ndarray
     return np.concatenate(out) if out else np.zeros(0, np.int64)
 
 
-def learn_languages(df: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", fold: tuple[int, int] = (4, 2), sample_docs: int = 600, sample_bytes: int = 192, most_langs: int = 64, **how) -> Network | None:
+def learn_languages(df: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", fold: tuple[int, int] = (4, 2), sample_docs: int = 600, sample_bytes: int = 192, most_langs: int = 64, reject: bool = False, **how) -> Network | None:
     """Train on a bounded sample of df: of each of the most_langs commonest languages about sample_docs rows (1.5 times
     that at most reach the driver, by a threshold on a hash), one piece of about sample_bytes characters each.
 
     Rows with a null language or text, and those of which crc32 of the key as text modulo fold[0] is fold[1], are never
-    used.  None if no row is left.
+    used.  None if no row is left.  With reject the network learns `und` too, from letters in no language's order.
     """
     rows = df.where(F.col(lang).isNotNull() & (F.col(text) != "") & (crc_mod(key, fold[0]) != fold[1]))
     rows = rows.select(F.col(lang).alias("lang"), F.col(text).alias("t"), F.xxhash64(F.col(key), F.col(text)).alias("h"))
@@ -218,7 +228,14 @@ def learn_languages(df: DataFrame, key: str = "doc_id", text: str = "text", lang
     got = rows.where(chosen).groupBy("lang", "h").agg(F.min(F.substring("t", start.cast("int"), F.lit(sample_bytes))).alias("t")).limit(int(1.5 * sample_docs * len(counts))).collect()
     samples = [(r["t"].encode(), r["lang"]) for r in sorted(got, key=lambda r: (r["lang"], r["h"])) if r["t"]]
     langs = sorted({l for _, l in samples})
-    return train(samples, langs, **how) if langs else None
+    if not langs:
+        return None
+    if reject:
+        net = train(samples + noise(samples), [*(x for x in langs if x != UND), UND], **how)
+    else:
+        net = train(samples, langs, **how)
+    net.letters = "".join(sorted({c for t, _ in samples for c in t.decode() if c.isalpha()}))
+    return net
 
 
 def language_id(df: DataFrame, net: Network | None, text: str = "text", label: str = "lang_pred", score: str = "score", keep_text: bool = False) -> DataFrame:
