@@ -3,7 +3,7 @@
 import random
 import string
 
-from corpus_pipeline import keep_told_languages
+from corpus_pipeline import keep_one_of_near_copies, keep_told_languages
 
 DOC = "doc_id long, text string, lang string"
 WORDS = {"en": "the of and that which water house with from this have".split(), "de": "der die und nicht wasser haus durch aber über schön".split()}
@@ -31,3 +31,38 @@ def test_language_stage_without_labels_keeps_documents(spark):
     docs = [(1, "some text", None), (None, "über alles", None), (3, "12 34", None), (4, None, None)]
     got = keep_told_languages(spark, spark.createDataFrame(docs, DOC), "").collect()
     assert sorted(str(x["doc_id"]) for x in got) == ["1", "None"]
+
+
+def test_near_copy_stage_by_brute_force(spark):
+    r = random.Random(9)
+    words = ["".join(r.choices(string.ascii_lowercase, k=4)) for _ in range(3000)]
+    texts = []
+    for _ in range(25):
+        base = r.choices(words, k=120)
+        texts.append(base)
+        for changes in (1, 2, 5):
+            copy = list(base)
+            for at in r.sample(range(len(copy)), changes):
+                copy[at] = r.choice(words)
+            texts.append(copy)
+    texts = [" ".join(t) for t in texts] + ["a b", "A  b", "c d e", "", None]
+    docs = [(i, t, "en") for i, t in enumerate(texts)] + [(0, texts[0], "en"), (None, "alone with no key at all here", "en"), (None, texts[0], "en"), (None, "again no key but other words here", "en")]
+    sets = []
+    for _, t, _ in docs:
+        w = (t or "").lower().split()
+        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))})
+    root = list(range(len(docs)))
+
+    def top(i):
+        return i if root[i] == i else top(root[i])
+
+    for i in range(len(docs)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                root[top(i)] = top(j)
+    least = {}
+    for i, (k, t, _) in enumerate(docs):
+        least.setdefault(top(i), []).append((k is None, k or 0, t or ""))
+    want = sorted(min(x)[:2] for x in least.values())
+    got = keep_one_of_near_copies(spark, spark.createDataFrame(docs, DOC).repartition(3), "").collect()
+    assert sorted((x["doc_id"] is None, x["doc_id"] or 0) for x in got) == want
