@@ -1,12 +1,14 @@
 """Soft-membership mixing to target weights, in DataFrame functions alone.
 
 A naive Bayes classifier over hashed words, counted on labelled rows, gives every document the probabilities of its
-domains.  Projected gradient steps then find a nonnegative rate for each document so that the expected tokens of each
+domains.  Newton steps then find a nonnegative rate for each document so that the expected tokens of each
 domain (rate * tokens * probability, summed) match the targets.
 """
 
 from __future__ import annotations
 
+import warnings
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -69,42 +71,66 @@ def domain_posteriors(df: DataFrame, weights: DataFrame, prior: dict[str, float]
     return out.select(F.col("k").alias(key), "text_hash", "n_words", "same", *[(p / whole).alias(f"p_{d}") for p, d in zip(parts, names)])
 
 
-def fit_rates(rows: DataFrame, targets: dict[str, float], keep: tuple[str, ...] = (), headroom: float = 1.05, ceiling: float = 8.0, most_steps: int = 25, tolerance: float = 1e-4) -> tuple[Column, dict]:
+def fit_rates(rows: DataFrame, targets: dict[str, float], keep: tuple[str, ...] = (), headroom: float = 1.05, most_steps: int = 60, tolerance: float = 1e-4) -> tuple[Column, dict]:
     """Rate of each row as a column expression, and what was reached.
 
     Rates have a floor: one for rows that more probably than not belong to the domains in `keep`, which so are never
-    thinned out, and zero for others; and a ceiling.  Minimises the squares of (expected tokens - target) of the domains, weighed by the inverse of their Gram matrix under
-    the tokens, within these bounds, from rates of one; in the metric of tokens a step of length one then never overshoots.
+    thinned out, and zero for others; they have no ceiling.  Of all rates with the wanted expected tokens of the domains,
+    those with the least squares of their distance from one, weighed by the tokens: these are max(floor, 1 + a sum of
+    multipliers times posteriors).  The multipliers are found by Newton steps on the convex dual, halved where they do not
+    lower it, until each domain's tokens are within `tolerance` of its target.
     The total is such that no domain in `keep` has to shrink (all of them, if it is empty), times `headroom`, so that
-    rows that surely belong to these stay above a rate of one although others of their domain take part of the tokens.  Each step is one sum over
-    the rows that returns a number for each domain.
+    rows that surely belong to these stay above a rate of one although others of their domain take part of the tokens; and
+    such that no target is below what the floors alone give.  Each step is one sum over the rows that returns a few numbers.
+    Where no rates meet the targets (equal posteriors, say), met is False and the nearest rates found are returned.
     """
     names = list(targets)
     d = len(names)
     weight = F.col("n_words") * F.col("same")
     p = [F.col(f"p_{x}") for x in names]
-    got = rows.agg(*[F.sum(weight * x) for x in p], *[F.sum(weight * p[i] * p[j]) for i in range(d) for j in range(i, d)]).first()
+    sure = sum((F.col(f"p_{x}") for x in keep if x in names), F.lit(0.0)) >= 0.5
+    floor = F.when(sure, 1.0).otherwise(0.0)
+    got = rows.agg(*[F.sum(weight * x) for x in p], *[F.sum(weight * floor * x) for x in p]).first()
     if got is None or got[0] is None or sum(got[:d]) <= 0:
-        return F.lit(1.0), {"tokens": {}, "targets": {}, "steps": 0}
-    now = np.array(got[:d])
-    gram = np.zeros((d, d))
-    gram[np.triu_indices(d)] = got[d:]
-    gram = gram + np.triu(gram, 1).T
+        return F.lit(1.0), {"tokens": {}, "targets": {}, "steps": 0, "met": True}
+    now, least = np.array(got[:d]), np.array(got[d:])
     share = np.array([targets[x] for x in names])
     share = share / share.sum()
     held = [i for i, x in enumerate(names) if (x in keep or not keep) and share[i] > 0 and now[i] > 0]
-    want = headroom * share * max(now[i] / share[i] for i in held)
-    inverse = np.linalg.inv(gram + 1e-6 * np.trace(gram) * np.eye(d))
-    sure = sum((F.col(f"p_{x}") for x in keep if x in names), F.lit(0.0)) >= 0.5
-    floor = F.when(sure, 1.0).otherwise(0.0)
-    rate = F.lit(1.0)
-    for step in range(1, most_steps + 1):
-        move = inverse @ (now - want)
-        rate = F.least(F.lit(ceiling), F.greatest(floor, rate - sum((float(m) * x for m, x in zip(move[1:], p[1:])), float(move[0]) * p[0])))
-        now = np.array(rows.agg(*[F.sum(weight * rate * x) for x in p]).first())
-        if np.abs(now - want).max() <= tolerance * want.max():
+    want = headroom * share * max(*(now[i] / share[i] for i in held), *(least[i] / share[i] for i in range(d) if share[i] > 0))
+    near = tolerance * np.where(want > 0, want, want.max())
+
+    def at(by: np.ndarray) -> tuple[Column, float, np.ndarray, np.ndarray]:
+        """Rates, the dual's value, tokens, and their changes with the multipliers."""
+        add = sum((float(m) * x for m, x in zip(by[1:], p[1:])), float(by[0]) * p[0])
+        rate = F.greatest(floor, 1.0 + add)
+        free = F.when(1.0 + add >= floor, weight).otherwise(0.0)
+        got = rows.agg(F.sum(weight * (rate * add - (rate - 1.0) * (rate - 1.0) / 2)), *[F.sum(weight * rate * x) for x in p], *[F.sum(free * p[i] * p[j]) for i in range(d) for j in range(i, d)]).first()
+        gram = np.zeros((d, d))
+        gram[np.triu_indices(d)] = got[d + 1 :]
+        return rate, got[0] - float(by @ want), np.array(got[1 : d + 1]), gram + np.triu(gram, 1).T
+
+    by = np.zeros(d)
+    rate, value, now, gram = at(by)
+    every = gram  # a part of it, so that a domain whose rows are all at their floors can move again
+    steps, met = 0, bool((np.abs(now - want) <= near).all())
+    while not met and steps < most_steps:
+        move = np.linalg.lstsq(gram + 1e-3 * every, want - now, rcond=1e-12)[0]
+        slope = float((now - want) @ move)
+        while steps < most_steps:
+            steps += 1
+            new = at(by + move)
+            if new[1] <= value + 1e-4 * slope + 1e-12 * abs(value):
+                break
+            move, slope = move / 2, slope / 2
+        else:
+            break
+        if np.abs(new[2] - now).max() <= 1e-9 * want.max():  # no rates come nearer
             break
-    return rate, {"tokens": dict(zip(names, now.tolist())), "targets": dict(zip(names, want.tolist())), "steps": step}
+        by = by + move
+        rate, value, now, gram = new
+        met = bool((np.abs(now - want) <= near).all())
+    return rate, {"tokens": dict(zip(names, now.tolist())), "targets": dict(zip(names, want.tolist())), "steps": steps, "met": met}
 
 
 def mix_rates(df: DataFrame, labels: DataFrame, targets: dict[str, float], keep: tuple[str, ...] = (), key: str = "doc_id", text: str = "text", sample_rows: int = 20_000) -> DataFrame:
@@ -112,14 +138,16 @@ def mix_rates(df: DataFrame, labels: DataFrame, targets: dict[str, float], keep:
 
     copies is the rate's whole part, and one more with the probability of its fraction, by a hash of key and text.
     labels has the key, quality and toxic; rows whose labels do not tell a domain are not learnt from, and with none at
-    all every document has equal posteriors.  A null text counts as empty: no words, so any rate changes no total.
+    all every document has equal posteriors.  A warning gives the totals where the targets are not met.  A null text counts as empty: no words, so any rate changes no total.
     Repeated rows weigh in each time.  Columns of df but key and text are not read; empty tables give empty results.
     """
     names = list(targets)
     told = labels.select(key, domain(F.col("quality"), F.col("toxic")).alias("domain"))
     weights, prior = word_weights(df, told, names, key, text, sample_rows=sample_rows)
     rows = cut(domain_posteriors(df, weights, prior, key, text), "posteriors")
-    rate, _ = fit_rates(rows, targets, keep)
+    rate, facts = fit_rates(rows, targets, keep)
+    if not facts["met"]:
+        warnings.warn(f"no rates found that meet the targets: expected tokens {facts['tokens']}, targets {facts['targets']}", stacklevel=2)
     rows = rows.withColumn("rate", rate)
     part = F.pmod(F.xxhash64(key, "text_hash", F.lit("mix")), F.lit(1 << 30)) / F.lit(float(1 << 30))
     return rows.withColumn("copies", (F.floor("rate") + (part < F.col("rate") - F.floor("rate")).cast("long")).cast("long"))
