@@ -66,3 +66,21 @@ def test_near_copy_stage_by_brute_force(spark):
     want = sorted(min(x)[:2] for x in least.values())
     got = keep_one_of_near_copies(spark, spark.createDataFrame(docs, DOC).repartition(3), "").collect()
     assert sorted((x["doc_id"] is None, x["doc_id"] or 0) for x in got) == want
+
+
+def test_split_prefixes_give_the_same_links(spark):
+    from tidemark.llm.components import components
+    from tidemark.llm.simhash import fingerprint_links
+
+    r = random.Random(2)
+    centre = r.getrandbits(64)
+    prints = [centre ^ sum(1 << b for b in r.sample(range(64), r.randrange(5))) for _ in range(150)] + [r.getrandbits(64) for _ in range(60)]
+    prints = [p - (1 << 64) if p >> 63 else p for p in prints]
+    fps = spark.createDataFrame([(p,) for p in prints + prints[:3]] + [(None,)], "fp long")
+    groups = []
+    for most in (1 << 18, 60):  # hot prefixes are split, down to the last bits
+        got = components(fingerprint_links(fps, most_rows=most)).collect()
+        groups.append({x["node"]: x["root"] for x in got})
+    assert groups[0] == groups[1] and len(groups[0]) > 100
+    links = {(x["a"], x["b"]) for x in fingerprint_links(fps, forest=False).collect()}
+    assert links and all(((a ^ b) & (1 << 64) - 1).bit_count() <= 4 for a, b in links)

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import cut, give_back, sub_batches
+from tidemark.llm.common import cut, drop_cut, give_back, sub_batches
 from tidemark.llm.components import components, local_forest
 
 BITS, SHINGLE, SEED = 64, 4, 42
@@ -24,24 +24,34 @@ BITS, SHINGLE, SEED = 64, 4, 42
 
 def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> int:
     """Unsigned 64-bit SimHash of a text: a bit is set if it is set in over half of the shingles' XXH64."""
+    return int(majority(shingle_hashes(text, shingle, seed)[:, None])[0])
+
+
+def shingle_hashes(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> np.ndarray:
+    """XXH64 of each run of `shingle` words of a text, A-Z in lower case, in order; a shorter text is one run."""
     from xxhash import xxh64_intdigest
 
     words = (text or "").encode().lower().split()
     n = max(1, len(words) - shingle + 1) if words else 0
     if not n:
-        return 0
+        return np.zeros(0, np.uint64)
     flat = b" ".join(words)
     lens = np.fromiter(map(len, words), np.int64, len(words))
     ends = np.cumsum(lens + 1) - 1
     starts = ends - lens
     k = min(shingle, len(words))
     cuts = map(slice, starts[:n].tolist(), ends[k - 1 :].tolist())
-    h = np.fromiter(map(xxh64_intdigest, map(flat.__getitem__, cuts), repeat(seed)), np.uint64, n)
-    ones = np.zeros(BITS, np.int64)
-    for at in range(0, n, 1 << 16):
-        part = h[at : at + (1 << 16)].view(np.uint8).reshape(-1, 8)
-        ones += np.unpackbits(part, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > n, bitorder="little").view(np.uint64)[0])
+    return np.fromiter(map(xxh64_intdigest, map(flat.__getitem__, cuts), repeat(seed)), np.uint64, n)
+
+
+def majority(h: np.ndarray) -> np.ndarray:
+    """Of rows of 64-bit words: the words whose bits are those set in over half of the rows; zeros without rows."""
+    n, width = h.shape
+    ones = np.zeros(width * BITS, np.int64)
+    for at in range(0, n, 255):  # so many bits fit into a byte
+        part = np.ascontiguousarray(h[at : at + 255]).view(np.uint8)
+        ones += np.unpackbits(part, axis=1, bitorder="little").sum(axis=0, dtype=np.uint8)
+    return np.packbits(2 * ones > n, bitorder="little").view(np.uint64)
 
 
 def fingerprints(df: DataFrame, key: str = "doc_id", text: str = "text", out: str = "fp") -> DataFrame:
@@ -62,7 +72,15 @@ def _ball(bits: int, radius: int) -> np.ndarray:
     return np.array([sum(1 << i for i in c) for r in range(radius + 1) for c in combinations(range(bits), r)], np.uint64)
 
 
-def _meet(fp: np.ndarray, top: np.ndarray, left: np.ndarray, bits: int, radius: int, most: int) -> list[tuple[np.ndarray, np.ndarray]]:
+def _distinct(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    order = np.lexsort((b, a))
+    a, b = a[order], b[order]
+    new = np.ones(len(a), bool)
+    new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+    return a[new], b[new]
+
+
+def _meet(fp: np.ndarray, top: np.ndarray, left: np.ndarray, bits: int, radius: int, most: int, forest: bool = True) -> list[tuple[np.ndarray, np.ndarray]]:
     """Links among fingerprints of which a variant starts with `top` (all but the last `bits` bits), with `left` flips to go.
 
     If they have more than `most` variants, the next four bits are fixed to each value in turn.
@@ -77,7 +95,7 @@ def _meet(fp: np.ndarray, top: np.ndarray, left: np.ndarray, bits: int, radius:
             rest = left - np.bitwise_count(low ^ np.uint64(v)).astype(left.dtype)
             ok = rest >= 0
             if ok.sum() > 1:
-                out += _meet(fp[ok], (top[ok] << np.uint64(4)) | np.uint64(v), rest[ok], bits - 4, radius, most)
+                out += _meet(fp[ok], (top[ok] << np.uint64(4)) | np.uint64(v), rest[ok], bits - 4, radius, most, forest)
         return out
     last = np.uint64((1 << bits) - 1)
     base = (top << np.uint64(bits)) | (fp & last) if bits < BITS else fp
@@ -99,57 +117,98 @@ def _meet(fp: np.ndarray, top: np.ndarray, left: np.ndarray, bits: int, radius:
     link = centre != x
     a, b = centre[link], x[link]
     near = np.bitwise_count(a ^ b) <= 2 * radius
-    return [local_forest(a[near], b[near])]
+    return [(local_forest if forest else _distinct)(a[near], b[near])]
+
+
+def _next(low: int, width: int) -> F.Column:
+    """The `width` bits of a fingerprint above its last `low` bits."""
+    return F.shiftrightunsigned("fp", low).bitwiseAND(F.lit((1 << width) - 1).cast("long"))
 
 
-def fingerprint_links(fps: DataFrame, column: str = "fp", distance: int = 4, prefix_bits: int = 16, most_variants: int = 1 << 19) -> DataFrame:
+def _prefixes(rows: DataFrame, width: int, radius: int) -> DataFrame:
+    """rows with prefixes that are `width` bits longer, one for each that their variants can have.
+
+    rows: fp, its bits that come next (next), the prefix so far, and the flips that are left.
+    """
+    masks = F.array(*[F.struct(F.lit(int(m)).cast("long").alias("m"), F.lit(int(m).bit_count()).alias("n")) for m in _ball(width, radius)])
+    out = rows.select("fp", "next", "prefix", "left", F.explode(masks).alias("flip")).where("flip.n <= left")
+    return out.select("fp", F.shiftleft("prefix", width).bitwiseOR(F.col("next").bitwiseXOR(F.col("flip.m"))).alias("prefix"), (F.col("left") - F.col("flip.n")).alias("left"))
+
+
+def _hot(rows: DataFrame, width: int, radius: int, most_rows: int) -> DataFrame | None:
+    """Prefixes that more than most_rows rows would have, from counts of the rows' own bits; None if there are none."""
+    counts = rows.groupBy("next", "prefix", "left").agg(F.count("*").alias("fp"))
+    hot = cut(_prefixes(counts, width, radius).groupBy("prefix").agg(F.sum("fp").alias("n")).where(F.col("n") > most_rows).select("prefix"), "hot")
+    if not hot.isEmpty():
+        return hot
+    drop_cut(hot)
+    return None
+
+
+def fingerprint_links(fps: DataFrame, column: str = "fp", distance: int = 4, bits: int = BITS, prefix_bits: int = 16, most_rows: int = 1 << 18, most_variants: int = 1 << 19, forest: bool = True) -> DataFrame:
     """Links (a, b) between distinct fingerprints, enough to join all those that chains of links join.
 
     Every two fingerprints at `distance` (even) or fewer differing bits meet in a variant; all that meet in one are
-    linked to its smallest, after a check of the distance.  A task emits a spanning forest of what it found.
+    linked to its smallest, after a check of the distance.  A task emits a spanning forest of what it found, or every
+    distinct link (forest false).  Only the last `bits` bits may differ; those above tell tables of fingerprints apart.
+
+    Variants with one prefix are unfolded by one task, in bounded numbers.  A prefix that more than most_rows
+    fingerprints can have is split by its next eight bits, and again while need be, so that neither many fingerprints nor
+    many near ones meet in one task.
     """
     radius = distance // 2
     if distance != 2 * radius:
         raise ValueError("the distance must be even")
-    low = BITS - prefix_bits
-    masks = [int(m) for m in _ball(prefix_bits, radius)]
-    rows = fps.select(F.col(column).alias("fp")).distinct()
-    rows = rows.select("fp", F.explode(F.array(*[F.lit(m).cast("int") for m in masks])).alias("m"))
-    rows = rows.select("fp", F.shiftrightunsigned("fp", low).cast("int").bitwiseXOR(F.col("m")).alias("prefix"))
-    rows = rows.repartition("prefix").sortWithinPartitions("prefix")
+    table = F.shiftrightunsigned("fp", bits) if bits < BITS else F.lit(0).cast("long")
+    base = fps.select(F.col(column).alias("fp")).where(F.col(column).isNotNull()).distinct()
+    low, width, out = bits - prefix_bits, prefix_bits, None
+    rows = base.select("fp", _next(low, width).alias("next"), table.alias("prefix"), F.lit(radius).alias("left"))
+    while True:
+        spread = _prefixes(rows, width, radius)
+        hot = _hot(rows, width, radius, most_rows) if low > 8 else None
+        part = _unfolded(spread if hot is None else spread.join(hot, "prefix", "left_anti"), low, radius, most_variants, forest)
+        out = part if out is None else out.unionByName(part)
+        if hot is None:
+            return out if forest else out.distinct()
+        low, width = low - 8, 8
+        rows = cut(spread.join(hot, "prefix").select("fp", _next(low, width).alias("next"), "prefix", "left"), "split")
+
+
+def _unfolded(rows: DataFrame, low: int, radius: int, most_variants: int, forest: bool) -> DataFrame:
+    """Links among rows (fp, prefix, left) that share a prefix, all but the last `low` bits of a variant."""
+    rows = rows.select("fp", "prefix", F.col("left").cast("byte").alias("left")).repartition("prefix").sortWithinPartitions("prefix")
 
     def run(batches):
         links: list[tuple[np.ndarray, np.ndarray]] = []
-        held_fp, held_top, cost = [], [], 0
+        held, cost = [], 0
 
-        def work(fp, top):
-            left = radius - np.bitwise_count((fp >> np.uint64(low)) ^ top).astype(np.int64)
-            links.extend(_meet(fp, top, left, low, radius, most_variants))
+        def work(parts):
+            fp, prefix, left = (np.concatenate(x) for x in zip(*parts))
+            links.extend(_meet(fp, prefix, left.astype(np.int64), low, radius, most_variants, forest))
 
         def settle():
             a, b = (np.concatenate(x) for x in zip(*links)) if links else (np.zeros(0, np.uint64),) * 2
             links.clear()
-            return local_forest(a, b)
+            return local_forest(a, b) if forest else _distinct(a, b)
 
         for b in batches:
             fp = b.column("fp").to_numpy().view(np.uint64)
-            top = b.column("prefix").to_numpy().astype(np.uint64)
-            edges = np.flatnonzero(np.diff(top)) + 1
+            prefix = b.column("prefix").to_numpy().view(np.uint64)
+            left = b.column("left").to_numpy()
+            edges = np.flatnonzero(np.diff(prefix)) + 1
             step = max(1, (most_variants * 3) // 50 // 4)  # about 12 variants a row on average
             at = 0
             for e in edges:
                 if cost + e - at > step:
-                    held_fp.append(fp[at:e])
-                    held_top.append(top[at:e])
-                    work(np.concatenate(held_fp), np.concatenate(held_top))
-                    held_fp, held_top, cost, at = [], [], 0, e
-            held_fp.append(fp[at:])
-            held_top.append(top[at:])
+                    held.append((fp[at:e], prefix[at:e], left[at:e]))
+                    work(held)
+                    held, cost, at = [], 0, e
+            held.append((fp[at:], prefix[at:], left[at:]))
             cost += len(fp) - at
             if sum(len(x[0]) for x in links) > 1 << 20:
                 links.append(settle())
-        if held_fp:
-            work(np.concatenate(held_fp), np.concatenate(held_top))
+        if held:
+            work(held)
         a, c = settle()
         yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(c.view(np.int64))], names=["a", "b"])
         give_back()
@@ -166,7 +225,7 @@ def simhash_groups(df: DataFrame, key: str = "doc_id", text: str = "text", dista
     """
     prints = cut(fingerprints(df, key, text), "prints")
     least = prints.groupBy("fp").agg(F.min(key).alias("least"))
-    roots = components(fingerprint_links(prints, "fp", distance, prefix_bits))
+    roots = components(fingerprint_links(prints, "fp", distance, prefix_bits=prefix_bits))
     of = least.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     of = cut(of, "classes")
     smallest = of.groupBy("root").agg(F.min("least").alias("component_id"))
