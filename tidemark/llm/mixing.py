@@ -1,8 +1,8 @@
 """Soft-membership mixing to target weights, in DataFrame functions alone.
 
 A naive Bayes classifier over hashed words, counted on labelled rows, gives every document the probabilities of its
-domains.  Newton steps then find a nonnegative rate for each document so that the expected tokens of each
-domain (rate * tokens * probability, summed) match the targets.
+domains.  Projected gradient steps on the least squares problem then find a nonnegative rate for each document so that the
+expected tokens of each domain (rate * tokens * probability, summed) match the targets.
 """
 
 from __future__ import annotations
@@ -74,37 +74,35 @@ def domain_posteriors(df: DataFrame, weights: DataFrame, prior: dict[str, float]
 def fit_rates(rows: DataFrame, targets: dict[str, float], keep: tuple[str, ...] = (), headroom: float = 1.05, most_steps: int = 60, tolerance: float = 1e-4) -> tuple[Column, dict]:
     """Rate of each row as a column expression, and what was reached.
 
-    Rates have a floor: one for rows that more probably than not belong to the domains in `keep`, which so are never
-    thinned out, and zero for others; they have no ceiling.  Of all rates with the wanted expected tokens of the domains,
-    those with the least squares of their distance from one, weighed by the tokens: these are max(floor, 1 + a sum of
-    multipliers times posteriors).  The multipliers are found by Newton steps on the convex dual, halved where they do not
-    lower it, until each domain's tokens are within `tolerance` of its target.
-    The total is such that no domain in `keep` has to shrink (all of them, if it is empty), times `headroom`, so that
-    rows that surely belong to these stay above a rate of one although others of their domain take part of the tokens; and
-    such that no target is below what the floors alone give.  Each step is one sum over the rows that returns a few numbers.
+    Of all nonnegative rates with the wanted expected tokens of the domains, those with the least squares of their distance
+    from one, weighed by the tokens: these are 1 + a sum of multipliers times posteriors, projected to zero where that is
+    negative.  There is no other floor and no ceiling.  Each step moves the multipliers along the gradient, scaled by the
+    inverse of the posteriors' products over the rows that are not at zero, and is halved while it does not lower the
+    problem's dual, until each domain's tokens are within `tolerance` of its target.  A step is one sum over the rows that
+    returns a few numbers.
+    The total is such that no domain in `keep` has to shrink (all of them, if it is empty), times `headroom`, so that rows
+    that surely belong to these stay above a rate of one although others of their domain take part of the tokens.
     Where no rates meet the targets (equal posteriors, say), met is False and the nearest rates found are returned.
     """
     names = list(targets)
     d = len(names)
     weight = F.col("n_words") * F.col("same")
     p = [F.col(f"p_{x}") for x in names]
-    sure = sum((F.col(f"p_{x}") for x in keep if x in names), F.lit(0.0)) >= 0.5
-    floor = F.when(sure, 1.0).otherwise(0.0)
-    got = rows.agg(*[F.sum(weight * x) for x in p], *[F.sum(weight * floor * x) for x in p]).first()
-    if got is None or got[0] is None or sum(got[:d]) <= 0:
-        return F.lit(1.0), {"tokens": {}, "targets": {}, "steps": 0, "met": True}
-    now, least = np.array(got[:d]), np.array(got[d:])
+    got = rows.agg(*[F.sum(weight * x) for x in p]).first()
+    if got is None or got[0] is None or sum(got) <= 0:
+        return F.lit(1.0), {"tokens": {x: 0.0 for x in names}, "targets": {x: 0.0 for x in names}, "steps": 0, "met": True}
+    now = np.array(got)
     share = np.array([targets[x] for x in names])
     share = share / share.sum()
     held = [i for i, x in enumerate(names) if (x in keep or not keep) and share[i] > 0 and now[i] > 0]
-    want = headroom * share * max(*(now[i] / share[i] for i in held), *(least[i] / share[i] for i in range(d) if share[i] > 0))
+    want = headroom * share * max((now[i] / share[i] for i in held), default=now.sum())
     near = tolerance * np.where(want > 0, want, want.max())
 
     def at(by: np.ndarray) -> tuple[Column, float, np.ndarray, np.ndarray]:
         """Rates, the dual's value, tokens, and their changes with the multipliers."""
         add = sum((float(m) * x for m, x in zip(by[1:], p[1:])), float(by[0]) * p[0])
-        rate = F.greatest(floor, 1.0 + add)
-        free = F.when(1.0 + add >= floor, weight).otherwise(0.0)
+        rate = F.greatest(F.lit(0.0), 1.0 + add)
+        free = F.when(1.0 + add >= 0.0, weight).otherwise(0.0)
         got = rows.agg(F.sum(weight * (rate * add - (rate - 1.0) * (rate - 1.0) / 2)), *[F.sum(weight * rate * x) for x in p], *[F.sum(free * p[i] * p[j]) for i in range(d) for j in range(i, d)]).first()
         gram = np.zeros((d, d))
         gram[np.triu_indices(d)] = got[d + 1 :]
@@ -112,7 +110,7 @@ def fit_rates(rows: DataFrame, targets: dict[str, float], keep: tuple[str, ...]
 
     by = np.zeros(d)
     rate, value, now, gram = at(by)
-    every = gram  # a part of it, so that a domain whose rows are all at their floors can move again
+    every = gram  # a part of it, so that a domain whose rows are all at zero can move again
     steps, met = 0, bool((np.abs(now - want) <= near).all())
     while not met and steps < most_steps:
         move = np.linalg.lstsq(gram + 1e-3 * every, want - now, rcond=1e-12)[0]
@@ -134,9 +132,11 @@ def fit_rates(rows: DataFrame, targets: dict[str, float], keep: tuple[str, ...]
 
 
 def mix_rates(df: DataFrame, labels: DataFrame, targets: dict[str, float], keep: tuple[str, ...] = (), key: str = "doc_id", text: str = "text", sample_rows: int = 20_000) -> DataFrame:
-    """(key, text_hash, n_words, p_<domain> ..., rate, copies) for each distinct (key, text) of df.
+    """(key, text_hash, n_words, same, p_<domain> ..., rate, copies, want_<domain> ..., got_<domain> ..., met) for each distinct
+    (key, text) of df.
 
-    copies is the rate's whole part, and one more with the probability of its fraction, by a hash of key and text.
+    want_ and got_ are the expected tokens of each domain that were asked for and that the rates reach, the same in every
+    row, met whether they agree; same is the number of rows of that key and text.  copies is the rate's whole part, and one more with the probability of its fraction, by a hash of key and text.
     labels has the key, quality and toxic; rows whose labels do not tell a domain are not learnt from, and with none at
     all every document has equal posteriors.  A warning gives the totals where the targets are not met.  A null text counts as empty: no words, so any rate changes no total.
     Repeated rows weigh in each time.  Columns of df but key and text are not read; empty tables give empty results.
@@ -148,9 +148,11 @@ def mix_rates(df: DataFrame, labels: DataFrame, targets: dict[str, float], keep:
     rate, facts = fit_rates(rows, targets, keep)
     if not facts["met"]:
         warnings.warn(f"no rates found that meet the targets: expected tokens {facts['tokens']}, targets {facts['targets']}", stacklevel=2)
-    rows = rows.withColumn("rate", rate)
+    rows = rows.withColumn("rate", F.round(rate, 6))  # so that the order of sums does not decide over a copy
     part = F.pmod(F.xxhash64(key, "text_hash", F.lit("mix")), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    return rows.withColumn("copies", (F.floor("rate") + (part < F.col("rate") - F.floor("rate")).cast("long")).cast("long"))
+    rows = rows.withColumn("copies", (F.floor("rate") + (part < F.col("rate") - F.floor("rate")).cast("long")).cast("long"))
+    told = [F.lit(round(facts[of][x], 3)).alias(f"{name}_{x}") for name, of in (("want", "targets"), ("got", "tokens")) for x in names]
+    return rows.select("*", *told, F.lit(facts["met"]).alias("met"))
 
 
 def mix(df: DataFrame, labels: DataFrame, targets: dict[str, float], keep: tuple[str, ...] = (), key: str = "doc_id", text: str = "text", sample_rows: int = 20_000) -> DataFrame:
