@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import give_back, sub_batches
+from tidemark.llm.common import cut, give_back, sub_batches
 
 RATE = 0.1
 
@@ -88,18 +88,24 @@ class Item:
 
 
 def find_items(text: str, items: list[Item], automaton) -> dict[int, tuple[int, int, int]]:
-    """Best place (distance, start, end) of each item, by index, that a normal text holds."""
+    """Best place (distance, start, end) of each item, by index, that a normal text holds; the first of equals.
+
+    A verified hit has the best place of all that its piece can stand in, so only hits at the same offset are passed over.
+    """
     out: dict[int, tuple[int, int, int]] = {}
+    seen: set[tuple[int, int]] = set()
     for end, (length, owners) in automaton.iter(text):
         start = end - length + 1
         for i, piece in owners:
-            item = items[i]
-            old = out.get(i)
-            if old and (old[0] == 0 or old[1] <= start < old[2]):
+            item, old = items[i], out.get(i)
+            spot = i, start - item.at[piece]
+            if old and (old[0] == 0 or spot in seen):
                 continue
             got = item.verify(text, piece, start)
-            if got and (old is None or got[:2] < old[:2]):
-                out[i] = got
+            if got:
+                seen.add(spot)
+                if old is None or got[:2] < old[:2]:
+                    out[i] = got
     return out
 
 
@@ -107,29 +113,25 @@ def contaminated(df: DataFrame, benchmark: DataFrame, key: str = "doc_id", text:
     """(key, item_key, distance, start, end) of every item that a row's whole text holds with at most rate * length
     edits; the best place, in characters of the text in lower case with single blanks.
 
-    Null or empty texts and items match nothing; rows of one key are searched each for itself, repeated items (or items
-    with a null key) are reported each; an empty table on either side gives no rows; other columns are not read.  Items
-    are taken in blocks of at most block_chars characters (or one item), each a pass over the texts of its own, so what
-    is sent to the tasks is bounded; nothing is shuffled.
+    Null or empty texts and items match nothing; a null key is a key like others; rows of one key are searched each for
+    itself, repeated items (or items with a null key) are reported each; an empty table on either side gives no rows; other
+    columns are not read.  Items are dealt by hash into blocks of about block_chars characters, each a pass over the texts
+    of its own; the driver holds one block at a time, and so do the tasks; nothing is shuffled.
     """
     spark = df.sparkSession
     docs = df.select(F.col(key).alias("k"), F.col(text).alias("t"))
     kinds = df.schema[key].dataType, benchmark.schema[item_key].dataType
     schema = T.StructType([T.StructField(key, kinds[0]), T.StructField(item_key, kinds[1]), T.StructField("distance", T.LongType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])
-    blocks, size = [[]], 0
-    for r in benchmark.select(F.col(item_key).alias("i"), F.col(item_text).alias("t")).orderBy("i", "t").toLocalIterator():
-        t = normal(r["t"])
-        if not t:
-            continue
-        if blocks[-1] and size + len(t) > block_chars:
-            blocks.append([])
-            size = 0
-        blocks[-1].append((r["i"], t))
-        size += len(t)
+    items = benchmark.select(F.col(item_key).alias("i"), F.col(item_text).alias("t")).where("t is not null").groupBy("i", "t").agg(F.count("*").alias("n"))
+    n_blocks = max(1, -(-(items.agg(F.sum(F.length("t"))).first()[0] or 0) // block_chars))
     out = None
-    for block in blocks:
+    for b in range(n_blocks):
+        rows = items.where(F.pmod(F.xxhash64("i", "t"), F.lit(n_blocks)) == b).orderBy("i", "t").collect()
+        block = [(r["i"], t, r["n"]) for r in rows for t in [normal(r["t"])] if t]
         if block:
             one = docs.mapInArrow(_search(block, rate, schema), schema)
+            if n_blocks > 1:
+                one = cut(one, "hits")
             out = one if out is None else out.unionByName(one)
     return spark.createDataFrame([], schema) if out is None else out
 
@@ -141,7 +143,7 @@ def _search(block: list, rate: float, schema: T.StructType):
         import ahocorasick
         from pyspark.sql.pandas.types import to_arrow_type
 
-        items = [Item(k, t, rate) for k, t in block]
+        items = [Item(k, t, rate) for k, t, _ in block]
         pieces: dict[str, list[tuple[int, int]]] = {}
         for i, item in enumerate(items):
             for p in range(len(item.at) - 1):
@@ -155,8 +157,9 @@ def _search(block: list, rate: float, schema: T.StructType):
             for r, t in enumerate(b.column("t").to_pylist()):
                 if t:
                     for i, place in sorted(find_items(normal(t), items, automaton).items()):
-                        rows.append(r)
-                        found.append((items[i].key, *place))
+                        n = block[i][2]
+                        rows += [r] * n
+                        found += [(items[i].key, *place)] * n
             if rows:
                 cols = list(zip(*found))
                 yield pa.RecordBatch.from_arrays([b.column("k").take(pa.array(np.array(rows))), pa.array(cols[0], to_arrow_type(item_type)), *(pa.array(c, pa.int64()) for c in cols[1:])], names=names)
