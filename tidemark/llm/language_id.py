@@ -209,24 +209,23 @@ def label_positions(net: Network, text: str, window: int = WINDOW) -> np.ndarray
     return np.concatenate(out) if out else np.zeros(0, np.int64)
 
 
-def learn_languages(df: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", fold: tuple[int, int] = (4, 2), sample_docs: int = 600, sample_bytes: int = 192, most_langs: int = 64, reject: bool = False, **how) -> Network | None:
-    """Train on a bounded sample of df: of each of the most_langs commonest languages about sample_docs rows (1.5 times
-    that at most reach the driver, by a threshold on a hash), one piece of about sample_bytes characters each.
+def learn_languages(df: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", fold: tuple[int, int] = (4, 2), sample_docs: int = 600, reject: bool = False, **how) -> Network | None:
+    """Train on a bounded sample of df: of each language about sample_docs rows (1.5 times that at most reach the driver,
+    by a threshold on a hash of key and text), with their whole texts.
 
     Rows with a null language or text, and those of which crc32 of the key as text modulo fold[0] is fold[1], are never
-    used.  None if no row is left.  With reject the network learns `und` too, from letters in no language's order.
+    used; a null key counts as the empty text there.  Rows of one key and text are one row.  None if no row is left.  With
+    reject the network learns `und` too, from letters in no language's order.
     """
     rows = df.where(F.col(lang).isNotNull() & (F.col(text) != "") & (crc_mod(key, fold[0]) != fold[1]))
     rows = rows.select(F.col(lang).alias("lang"), F.col(text).alias("t"), F.xxhash64(F.col(key), F.col(text)).alias("h"))
-    counts = [(r["lang"], r["n"]) for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(most_langs).collect()]
+    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not counts:
         return None
-    chosen = F.lit(False)
-    for name, n in counts:
-        chosen = chosen | ((F.col("lang") == name) & (F.pmod("h", F.lit(1 << 30)) < int(min(1.0, 1.2 * sample_docs / n) * (1 << 30))))
-    start = F.lit(1) + F.pmod(F.shiftright("h", 30), F.greatest(F.length("t") - sample_bytes, F.lit(1)))
-    got = rows.where(chosen).groupBy("lang", "h").agg(F.min(F.substring("t", start.cast("int"), F.lit(sample_bytes))).alias("t")).limit(int(1.5 * sample_docs * len(counts))).collect()
-    samples = [(r["t"].encode(), r["lang"]) for r in sorted(got, key=lambda r: (r["lang"], r["h"])) if r["t"]]
+    below = F.create_map(*[F.lit(x) for l, n in sorted(counts.items()) for x in (l, int(min(1.0, 1.2 * sample_docs / n) * (1 << 30)))])
+    chosen = rows.where(F.pmod("h", F.lit(1 << 30)) < F.element_at(below, F.col("lang")))
+    got = chosen.groupBy("lang", "h").agg(F.min("t").alias("t")).limit(int(1.5 * sample_docs * len(counts))).collect()
+    samples = [(r["t"].encode(), r["lang"]) for r in sorted(got, key=lambda r: (r["lang"], r["h"]))]
     langs = sorted({l for _, l in samples})
     if not langs:
         return None
@@ -241,8 +240,8 @@ def learn_languages(df: DataFrame, key: str = "doc_id", text: str = "text", lang
 def language_id(df: DataFrame, net: Network | None, text: str = "text", label: str = "lang_pred", score: str = "score", keep_text: bool = False) -> DataFrame:
     """df without its text (or with it: keep_text), with the most probable language of each whole text and its probability.
 
-    `und` and 0 where the text is null or has no letter, or no network could be trained.  Columns of these names in df are
-    replaced; rows stay as they are, none is shuffled.
+    Of equally probable languages the first by name counts.  `und` and 0 where the text is null or has no letter, or no network could be trained.  Columns of these names in df are
+    replaced; rows stay as they are, repeated ones and null keys too, none is shuffled.
     """
     kept = [c for c in df.columns if c not in (label, score) and (keep_text or c != text)]
     schema = T.StructType([df.schema[c] for c in kept] + [T.StructField(label, T.StringType()), T.StructField(score, T.DoubleType())])
