@@ -65,6 +65,18 @@ def test_encoder_equals_library():
     assert e.lengths(texts).tolist() == n.tolist()
 
 
+def test_encoder_compares_pieces_of_one_hash(monkeypatch):
+    import tidemark.llm.bpe as bpe
+
+    monkeypatch.setattr(bpe, "piece_hashes", lambda a, starts, lens: lens.astype(np.uint64) % np.uint64(3) + np.uint64(1))
+    e = Encoder(BPE)
+    texts = [prose(i, 30) for i in range(6)] + ["", "a b", "x" * 5000]
+    for _ in range(2):
+        ids, n = e.encode(texts)
+        want = e._library(texts)
+        assert n.tolist() == [len(w) for w in want] and ids.tolist() == [i for w in want for i in w]
+
+
 def test_encoder_forgets_and_stays_right():
     e = Encoder(BPE, most_pieces=50)
     texts = [prose(i, 30, [f"w{j}q{i}" for j in range(40)]) for i in range(20)]
@@ -359,7 +371,9 @@ def test_contamination(spark):
             near = distance_anywhere(normal(item), normal(t))
             assert ((d, i) in got) == (near <= int(0.1 * len(normal(item)))), (d, i, near)
             if (d, i) in got:
-                assert got[d, i]["distance"] >= near
+                place = got[d, i]
+                assert place["distance"] == near
+                assert distance_anywhere(normal(item), normal(t)[place["start"] : place["end"]]) == near
     assert contaminated(empty(spark), bench).count() == 0 and contaminated(frame(spark, texts), bench.limit(0)).count() == 0
     assert edit_match("abc", "xxabdxx", 1) == (1, 4) and edit_match("abc", "zzz", 1) is None
 
@@ -378,7 +392,7 @@ def test_licenses(spark):
     base = len(TEXTS)
     df = frame(spark, texts, repeat=base)
     out = {r["doc_id"]: r for r in license_labels(license_spans(df)).collect()}
-    assert len(out) == len(texts) and out[0]["n_words"] == 0 and out[0]["first_word"] is None and out[0]["labels"] == "" and out[0]["score"] == 0
+    assert license_spans(df).count() == len(texts) + 1 and len(out) == len(texts) and out[0]["n_words"] == 0 and out[0]["first_word"] is None and out[0]["labels"] == "" and out[0]["score"] == 0
     assert (out[base]["n_base"], out[base]["first_word"], out[base]["last_word"], out[base]["base_labels"]) == (3, 3, 13, "mit")
     assert out[base + 1]["base_labels"] == "apache,gpl" and out[base + 1]["n_base"] == 2
     assert out[base + 2]["base_labels"] == "" and out[base + 2]["labels"] == "mit" and 0.6 <= out[base + 2]["score"] <= 1

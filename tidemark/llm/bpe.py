@@ -2,7 +2,7 @@
 
 A byte-level BPE never merges across the pieces that its splitting pattern makes, so the ids of a text are the ids of
 its pieces in a row.  ``Encoder`` finds the pieces of many texts at once with array operations, asks the library for
-each piece that it has not met yet, and keeps the answers.  Texts with letters or marks whose class could depend on
+each piece that it has not met yet, and keeps the answers; kept pieces are found by a hash and compared byte by byte.  Texts with letters or marks whose class could depend on
 the Unicode version, control characters, or a special string go to the library as a whole, as do all texts of
 tokenizers of another make.
 """
@@ -180,6 +180,7 @@ class Encoder:
         self._table, self._n = _Table(max(10, (2 * self.most_pieces).bit_length())), 1
         self._ids, self._n_ids = np.zeros(1 << 16, np.uint32), 0
         self._at, self._len = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int32)
+        self._data, self._n_data, self._spot = np.zeros(1 << 18, np.uint8), 1, np.zeros(1 << 16, np.int64)  # bytes of kept pieces
 
     def _learn(self, pieces: list[bytes]) -> np.ndarray:
         """Ask the library for pieces and keep its answers; the numbers that these get."""
@@ -212,13 +213,21 @@ class Encoder:
         if part:
             first, total = self._n, self._n_ids + len(flat)
             while first + len(part) > len(self._at):
-                self._at, self._len = np.resize(self._at, 2 * len(self._at)), np.resize(self._len, 2 * len(self._len))
+                self._at, self._len, self._spot = (np.resize(x, 2 * len(x)) for x in (self._at, self._len, self._spot))
             while total > len(self._ids):
                 self._ids = np.resize(self._ids, 2 * len(self._ids))
             self._ids[self._n_ids : total] = flat
             self._at[first : first + len(part)] = self._n_ids + np.cumsum(lens) - lens
             self._len[first : first + len(part)] = lens
             self._n, self._n_ids = first + len(part), total
+            kept = [p if len(p) <= _LONG else b"" for p in part]  # longer ones are never looked up
+            size = np.fromiter(map(len, kept), np.int64, len(kept))
+            used = self._n_data + int(size.sum())
+            while used > len(self._data):
+                self._data = np.resize(self._data, 2 * len(self._data))
+            self._data[self._n_data : used] = np.frombuffer(b"".join(kept), np.uint8)
+            self._spot[first : first + len(part)] = self._n_data + np.cumsum(size) - size
+            self._n_data = used
 
     def _slots(self, texts: list[str]) -> np.ndarray:
         """Slots of the pieces of calm texts; slot 0 after each text."""
@@ -239,6 +248,13 @@ class Encoder:
             numbers = self._learn(pieces)
             self._table.add(known, numbers)
             slots[new] = numbers[back]
+        told = np.flatnonzero(slots >= 0)  # a hash may be that of another piece: bytes decide
+        shift = np.zeros(len(slots), np.int64)
+        shift[told] = self._spot[slots[told]] - at[told]
+        place = np.arange(len(a)) + np.repeat(shift, lens)
+        other = np.flatnonzero(self._data[np.minimum(place, self._n_data - 1, out=place)] != a)
+        if len(other):
+            slots[np.unique(np.searchsorted(at, other, "right") - 1)] = -1
         for i in np.flatnonzero(slots < 0).tolist():
             slots[i] = self._learn([a[at[i] : at[i] + lens[i]].tobytes()])[0]
         return slots

@@ -5,9 +5,10 @@ File format, under one path:
 * ``kind``: Parquet (key): the type of the keys, as text.
 * ``codebook``: Parquet (id, bits): the code length of each id that occurs.  Codes are canonical: ids in order of
   (bits, id) get ascending codes of their length.
-* ``chunks/shard=N``: Parquet, shards in ascending order of the key and chunks in order of first_token.  A chunk holds
-  keys and n_tokens of its documents, the code bits (first bit highest), and the bit offset of every ``block``-th id, at
-  which decoding can start.
+* ``shards``: Parquet (shard, n): ids of each shard; shards are in ascending order of the key.
+* ``chunks/shard=N``: Parquet, chunks in order of first_token, the ids of the shard before them.  A chunk holds keys and
+  n_tokens of its documents, the code bits (first bit highest), and the bit offset of every ``block``-th id, at which
+  decoding can start.
 """
 
 from __future__ import annotations
@@ -123,8 +124,8 @@ def write_tokens(df: DataFrame, path: str, tokenizer: str, key: str = "doc_id",
     A null text counts as empty (its end id is written), a null key comes first, rows of one key stand in order of their
     texts' hash and repeated rows are all written.  Other columns are not read.  The longest code has `limit` bits, or as
     many as the vocabulary needs, 25 at most.  One shuffle orders the texts by ranges of the key; the ids are then
-    written to the shared folder, counted by id (a sum with a row for each id of the vocabulary reaches the driver), and
-    coded chunk by chunk.
+    written to the shared folder, counted by id (a sum with a row for each id of the vocabulary reaches the driver, and one
+    for each shard a reader), and coded chunk by chunk.
     """
     spark = df.sparkSession
     kind = df.schema[key].dataType
@@ -135,13 +136,13 @@ def write_tokens(df: DataFrame, path: str, tokenizer: str, key: str = "doc_id",
     def encode(batches):
         enc = encoder(tokenizer)
         wide = np.uint16 if enc.vocab_size <= 1 << 16 else np.uint32
-        shard, seq = TaskContext.get().partitionId(), 0
+        shard, first = TaskContext.get().partitionId(), 0
         keys, counts, parts, size = [], [], [], 0
 
         def chunk():
             n = np.concatenate(counts)
-            cols = [pa.array([shard], pa.int32()), pa.array([seq], pa.int32()), pa.array([pa.concat_arrays(keys).to_pylist()], pa.list_(key_type)), pa.array([n.tolist()], pa.list_(pa.int64())), pa.array([int(n.sum())]), pa.array([np.concatenate(parts).tobytes()])]
-            return pa.RecordBatch.from_arrays(cols, names=["shard", "seq", "keys", "counts", "n", "ids"])
+            cols = [pa.array([shard], pa.int32()), pa.array([first]), pa.array([pa.concat_arrays(keys).to_pylist()], pa.list_(key_type)), pa.array([n.tolist()], pa.list_(pa.int64())), pa.array([int(n.sum())]), pa.array([np.concatenate(parts).tobytes()])]
+            return pa.RecordBatch.from_arrays(cols, names=["shard", "first", "keys", "counts", "n", "ids"])
 
         for b in sub_batches(batches, "t", 1 << 21):
             ids, n = enc.encode(b.column("t").to_pylist())
@@ -154,12 +155,12 @@ def write_tokens(df: DataFrame, path: str, tokenizer: str, key: str = "doc_id",
             size += len(ids)
             if size >= chunk_tokens:
                 yield chunk()
-                keys, counts, parts, size, seq = [], [], [], 0, seq + 1
+                keys, counts, parts, size, first = [], [], [], 0, first + size
         if keys:
             yield chunk()
         give_back()
 
-    stored = cut(rows.mapInArrow(encode, f"shard int, seq int, keys array<{kind.simpleString()}>, counts array<bigint>, n bigint, ids binary"), "ids")
+    stored = cut(rows.mapInArrow(encode, f"shard int, first bigint, keys array<{kind.simpleString()}>, counts array<bigint>, n bigint, ids binary"), "ids")
     del rows
     enc = encoder(tokenizer)
     width, wide = enc.vocab_size, np.uint16 if enc.vocab_size <= 1 << 16 else np.uint32
@@ -180,11 +181,7 @@ def write_tokens(df: DataFrame, path: str, tokenizer: str, key: str = "doc_id",
     limit = max(limit, int(np.ceil(np.log2(max(2, np.count_nonzero(totals))))))
     bits = code_lengths(totals, limit)
     codes = canonical_codes(bits)
-    first: dict[tuple[int, int], int] = {}
-    so_far = 0
-    for r in sorted(stored.select("shard", "seq", "n").toArrow().to_pylist(), key=lambda r: (r["shard"], r["seq"])):  # a row for each chunk of chunk_tokens
-        first[r["shard"], r["seq"]] = so_far
-        so_far += r["n"]
+    stored.groupBy("shard").agg(F.sum("n").alias("n")).coalesce(1).write.parquet(f"{path}/shards")
     used = np.flatnonzero(bits)
     spark.createDataFrame(pa.table({"id": pa.array(used), "bits": pa.array(bits[used].astype(np.int32))})).coalesce(1).write.parquet(f"{path}/codebook")
 
@@ -193,8 +190,7 @@ def write_tokens(df: DataFrame, path: str, tokenizer: str, key: str = "doc_id",
     def code(batches):
         for b in sub_batches(batches, "ids", 1):
             data, starts = pack(np.frombuffer(b.column("ids")[0].as_buffer(), wide), bits, codes, block)
-            at = first[b.column("shard")[0].as_py(), b.column("seq")[0].as_py()]
-            cols = [b.column("shard"), pa.array([at]), b.column("n"), pa.array([block], pa.int32()), b.column("keys"), b.column("counts"), pa.array([starts.astype(np.int64).tolist()], pa.list_(pa.int64())), pa.array([data])]
+            cols = [b.column("shard"), b.column("first"), b.column("n"), pa.array([block], pa.int32()), b.column("keys"), b.column("counts"), pa.array([starts.astype(np.int64).tolist()], pa.list_(pa.int64())), pa.array([data])]
             yield pa.RecordBatch.from_arrays(cols, names=["shard", "first_token", "n_tokens", "block", "keys", "counts", "starts", "code"])
 
     coded = stored.mapInArrow(code, f"shard int, {_chunk(kind.simpleString())}")
@@ -210,7 +206,11 @@ def read_tokens(spark: SparkSession, path: str, key: str = "doc_id", digest: boo
     bits = np.zeros(int(ids.max()) + 1 if len(ids) else 1, np.uint8)
     bits[ids] = lengths
     kind = spark.read.parquet(f"{path}/kind").first()["key"]
-    chunks = spark.read.schema(_chunk(kind)).parquet(f"{path}/chunks")
+    chunks = spark.read.schema(f"{_chunk(kind)}, shard int").parquet(f"{path}/chunks")
+    before, so_far = {}, 0
+    for r in spark.read.parquet(f"{path}/shards").orderBy("shard").collect():  # a row for each task that wrote
+        before[r["shard"]] = so_far
+        so_far += r["n"]
     last = "ids_crc32" if digest else "ids"
 
     def decode(batches):
@@ -223,6 +223,6 @@ def read_tokens(spark: SparkSession, path: str, key: str = "doc_id", digest: boo
             data = memoryview(np.ascontiguousarray(ids)).cast("B")
             each = [data[4 * (e - c) : 4 * e] for e, c in zip(ends.tolist(), n.tolist())]
             out = pa.array([zlib.crc32(x) for x in each], pa.int64()) if digest else pa.array([bytes(x) for x in each], pa.binary())
-            yield pa.RecordBatch.from_arrays([b.column("keys")[0].values, pa.array(b.column("first_token")[0].as_py() + ends - n), pa.array(n), out], names=[key, "start", "n_tokens", last])
+            yield pa.RecordBatch.from_arrays([b.column("keys")[0].values, pa.array(before[b.column("shard")[0].as_py()] + b.column("first_token")[0].as_py() + ends - n), pa.array(n), out], names=[key, "start", "n_tokens", last])
 
     return chunks.mapInArrow(decode, f"`{key}` {kind}, start bigint, n_tokens bigint, {last} {'bigint' if digest else 'binary'}")
