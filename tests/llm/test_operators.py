@@ -259,6 +259,70 @@ def test_lm_base_and_classes(spark):
     assert brown_scores(empty(spark)).count() == 0
 
 
+def test_lm_score_by_brute_force(spark):
+    """The same model in plain loops: every training word is in the class that its own neighbours make most likely."""
+    from tidemark.llm.lm import ENDINGS, context_weights, ending
+
+    rnd = random.Random(3)
+    vocabulary = [f"{a}{b}{c}" for a in "bcdfg" for b in ("a", "e", "io") for c in ("rk", "st", "l", "nd")]
+    texts = [None, "", prose(2, 1500, vocabulary), *(prose(i, rnd.randint(1, 40), vocabulary[: 10 + i % 50]) for i in range(70))] + ["never seen words"]
+    docs = [(i, t) for i, t in enumerate(texts)] + [(5, texts[5]), (None, texts[6])]
+    df = spark.createDataFrame([(k, t, 1, 2) for k, t in docs], "doc_id long, text string, word int, cls int").repartition(3)
+    n_classes, share, smooth = 5, 0.02, 50.0
+    got = brown_scores(df, n_classes=n_classes, min_share=share, smooth=smooth, batch_bytes=2000).collect()
+    train = [t for k, t in docs if zlib.crc32(("" if k is None else str(k)).encode()) % 5 != 1]
+    split = lambda t: (t or "").encode().lower().split()
+    c = Counter(w for t in train for w in split(t))
+    total = sum(c.values()) + len(train)
+    own = {w: i for i, w in enumerate(sorted(w for w in c if c[w] >= max(1.0, share * total)))}
+    end = len(own) + ENDINGS
+    unit = lambda w: end if w is None else own[w] if w in own else len(own) + ending(w)
+    pairs = Counter()
+    for t in train:
+        row = [None, *split(t), None]
+        pairs.update((unit(a), unit(b)) for a, b in zip(row, row[1:]))
+    first, second = (np.array(x) for x in zip(*pairs))
+    seed = exchange_classes(first, second, np.array(list(pairs.values())), end + 1, n_classes)
+    k = n_classes + 1
+    seeds = np.zeros((k, k))
+    for (a, b), n in pairs.items():
+        seeds[seed[a], seed[b]] += n
+    weights, of = context_weights(seeds), {None: n_classes}
+    around = {w: np.zeros(2 * k) for w in c}
+    for t in train:
+        row = [None, *split(t), None]
+        for a, w, b in zip(row, row[1:], row[2:]):
+            around[w][seed[unit(a)]] += 1
+            around[w][k + seed[unit(b)]] += 1
+    for w in c:
+        of[w] = seed[own[w]] if w in own else int(np.argmax(around[w] @ weights))
+    assert any(of[w] != seed[unit(w)] for w in c)
+    of_class = lambda w: of[w] if w in of else seed[unit(w)]
+    table, tok, types = np.zeros((k, k)), np.zeros(k), np.zeros(k)
+    for t in train:
+        row = [None, *split(t), None]
+        for a, b in zip(row, row[1:]):
+            table[seed[unit(a)], of[b]] += 1
+            tok[of[b]] += 1
+    for w in [*c, None]:
+        types[of[w]] += 1
+    uni = (tok + 0.5) / (tok.sum() + 0.5 * k)
+    want = {}
+    for key, t in docs:
+        row, score = [None, *split(t), None], 0.0
+        for a, b in zip(row, row[1:]):
+            s, x = seed[unit(a)], of_class(b)
+            score += math.log10((table[s, x] + smooth * uni[x]) / (table[s].sum() + smooth))
+            if b is not None:
+                score += math.log10((c[b] + 0.5) / (tok[x] + 0.5 * (types[x] + 1)))
+        want.setdefault(key, []).append((len(row) - 1, score))
+    assert len(got) == len(docs)
+    for r in got:
+        assert any(r["n_tokens"] == n and r["score"] == pytest.approx(score) for n, score in want[r["doc_id"]])
+    for s in range(k):  # probabilities of all classes and of all words of a class
+        assert sum((table[s, x] + smooth * uni[x]) / (table[s].sum() + smooth) for x in range(k)) == pytest.approx(1)
+
+
 def class_likelihood(pairs, cls, k):
     table = np.zeros((k, k))
     np.add.at(table, (cls[:, None], cls[None, :]), pairs)
@@ -271,7 +335,8 @@ def test_exchange_raises_likelihood():
     rng = np.random.default_rng(1)
     pairs = rng.poisson(2, (25, 25)).astype(float)
     pairs[:8, 8:16] += 30
-    cls = exchange_classes(pairs, 3, 50)
+    first, second = np.nonzero(pairs)
+    cls = exchange_classes(first, second, pairs[first, second], 25, 3)
     start = np.append(np.argsort(np.argsort(-pairs.sum(axis=1)[:-1], kind="stable"), kind="stable") % 3, 3)
     end = class_likelihood(pairs, cls, 4)
     assert end > class_likelihood(pairs, start, 4) and cls[-1] == 3
