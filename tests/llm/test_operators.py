@@ -384,28 +384,66 @@ def test_suffix_order_by_brute_force():
             assert lcp[x] == k
 
 
-@pytest.mark.parametrize("hot", [1, 128])
-def test_repeats(spark, hot):
+@pytest.mark.parametrize("budget, piece", [(1 << 25, None), (1, 700)])
+def test_repeats(spark, monkeypatch, budget, piece):
+    """With a budget of one byte every queue and result of every level is in files; with small pieces, texts are cut."""
+    import tidemark.llm.suffix_dedup as sd
+
     shared, rnd = prose(77, 60), random.Random(5)
     texts = TEXTS + [prose(i, 80, [f"w{j}" for j in range(999)]) for i in range(20)]
-    texts += [prose(100 + i, 20) + shared[: rnd.randint(100, 300)] + prose(200 + i, 20) for i in range(15)]
-    docs, length = frame(spark, texts, repeat=8), 120
-    got = remove_repeats(docs, length=length, digest=True, hot=hot).collect()
+    texts += [prose(100 + i, 20) + shared[: rnd.randint(60, 300)] + prose(200 + i, 20) for i in range(15)]
+    texts += [prose(300 + i, 5) + shared[rnd.randint(0, 200) :] for i in range(9)]
+    texts += [prose(400 + i, 30) + f" {i} " + shared[20:][: rnd.randint(112, 155)] + f" {i} " + prose(500 + i, 30) for i in range(9)]
+    docs, length, passage = frame(spark, texts, repeat=8), 160, 110
+    docs = docs.unionByName(docs.where("doc_id in (20, 35)").withColumn("doc_id", docs.doc_id * 0 + 1000 + docs.doc_id)).withColumn("doc_id", sd.F.when(sd.F.col("doc_id") < 1035, sd.F.col("doc_id")))
+    if piece:
+        rows = [(t or "").encode() for t in texts]
+        whole = sd.units(rows, passage, length)
+        monkeypatch.setattr(sd, "PIECE", piece)
+        parts = sd.units(rows, passage, length)
+        cover = lambda x: sorted((i, s + j) for i, s, n in zip(*(y.tolist() for y in x[:3])) for j in range(n))
+        assert cover(parts) == cover(whole) == sorted((i, p) for i, t in enumerate(rows) for p in range(len(t) - passage + 1))
+        monkeypatch.undo()
+    got = remove_repeats(docs, length=length, passage=passage, digest=True, budget=budget, shard_bytes=20_000).collect()
     data = [(t or "").encode() for t in texts]
-    seen = Counter(t[p : p + length] for t in [*data, data[8]] for p in range(len(t) - length + 1))
-    assert len(got) == len(texts) + 1
+    every = [*data, data[8], data[20], data[35]]
+    seen = {n: Counter(t[p : p + n] for t in every for p in range(len(t) - n + 1)) for n in (length, passage)}
+    assert len(got) == len(every) and sum(r["doc_id"] is None for r in got) == 1
     for r in got:
-        t = data[r["doc_id"]]
-        gone = np.zeros(len(t), bool)
-        for p in range(len(t) - length + 1):
-            if seen[t[p : p + length]] > 1:
-                gone[p : p + length] = True
-        kept = bytes(b for b, g in zip(t, gone) if not g)
-        spans = int((np.diff(np.concatenate([[0], gone.astype(int)])) == 1).sum())
-        assert (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) == (len(t), int(gone.sum()), spans, hashlib.sha256(kept).hexdigest())
+        t = data[35 if r["doc_id"] is None else r["doc_id"] % 1000]
+        gone = {n: np.zeros(len(t), bool) for n in seen}
+        for n in seen:
+            for p in range(len(t) - n + 1):
+                if seen[n][t[p : p + n]] > 1:
+                    gone[n][p : p + n] = True
+        kept = bytes(b for b, g in zip(t, gone[length]) if not g)
+        spans = int((np.diff(np.concatenate([[0], gone[length].astype(int)])) == 1).sum())
+        want = len(t), int(gone[length].sum()), spans, hashlib.sha256(kept).hexdigest(), int(gone[passage].sum())
+        assert (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"], r["n_repeated"]) == want
+    assert sum(r["n_repeated"] > r["n_removed"] for r in got) > 5
     assert remove_repeats(empty(spark), length=length).count() == 0
 
 
+def test_shard_beyond_its_budget(monkeypatch):
+    """A shard of eight times its budget goes through files on every level."""
+    import tidemark.llm.induced as induced
+
+    spilt, levels = [], []
+    spill, sweep = induced.BulkQueue._spill, induced._sweep_names
+    monkeypatch.setattr(induced.BulkQueue, "_spill", lambda q: (spilt.append(q.held), spill(q)))
+    monkeypatch.setattr(induced, "_sweep_names", lambda t, *a: (levels.append(len(t)), sweep(t, *a))[1])
+    t = np.frombuffer((prose(4, 9000) + prose(5, 500) * 40).encode(), np.uint8).astype(np.int64)
+    t = np.append(t, 0)
+    order, lcp = suffix_order(t, 60, len(t) // 8)
+    assert len(levels) >= 4 and len(spilt) > 3 * len(set(levels))
+    data = t.astype(np.uint8).tobytes()
+    for x in np.random.default_rng(1).integers(1, len(t), 4000).tolist():
+        i, j = int(order[x]), int(order[x - 1])
+        assert data[j:] > data[i:]
+        assert int(lcp[x]) == next((k for k in range(60) if i + k >= len(data) or j + k >= len(data) or data[i + k] != data[j + k]), 60)
+    assert np.array_equal(np.sort(order), np.arange(len(t)))
+
+
 # --- benchmark items ---------------------------------------------------------------------------------------------
 
 

@@ -1,7 +1,7 @@
 """Suffix order and common-prefix values of a byte shard by induced sorting with bulk priority queues.
 
 The suffixes that start a rise after a fall (LMS) are ordered first: their pieces are named in order, and the string of
-names is ordered by the same procedure, or in memory once it is small enough for that.  Two sweeps then induce the rest: each suffix taken from the queue puts the one
+names is ordered by the same procedure until all names differ.  Two sweeps then induce the rest: each suffix taken from the queue puts the one
 before it back, under its first symbol, after all that came earlier.  Queues take and give whole runs of suffixes that
 cannot be overtaken; their buffers go to an unnamed scratch file beyond a memory budget, and so do the arrays of a shard
 that is larger than it.  Common-prefix values start from compared LMS suffixes and are carried along: that of two
@@ -27,22 +27,25 @@ def _array(n: int, kind, budget: int) -> np.ndarray:
 
 class BulkQueue:
     """A queue of (key, position, rank) in order of keys, equal keys in the order that they came; nothing is put in below
-    what was taken.  Keys are held by ranges; a range is read as a whole when its turn comes."""
+    what was taken.  Keys are held by ranges; a range is read as a whole when its turn comes.  Beyond the budget all rows
+    in memory go to an unnamed scratch file, a stretch for each range."""
 
     def __init__(self, edges: np.ndarray, budget: int):
         self.edges, self.budget = edges, budget
-        self.parts: list[list] = [[] for _ in range(len(edges))]
-        self.held, self.file = 0, None
+        self.parts: list[list[np.ndarray]] = [[] for _ in range(len(edges))]
+        self.stored: list[list[tuple[int, int]]] = [[] for _ in range(len(edges))]
+        self.held, self.file, self.end, self.alone = 0, None, 0, len(edges) > 1 and bool((np.diff(edges) == 1).all())
 
     def put(self, rows: np.ndarray) -> None:
         """rows: columns key, position, rank."""
         if not rows.shape[1]:
             return
-        at = np.searchsorted(self.edges, rows[0], "right") - 1
-        order = np.argsort(at, kind="stable")
-        at, rows = at[order], rows[:, order]
-        starts = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
-        for a, b in zip(starts, np.append(starts[1:], len(at))):
+        at = (np.searchsorted(self.edges, rows[0], "right") - 1).astype(np.uint16)
+        if (at[1:] < at[:-1]).any():
+            order = np.argsort(at, kind="stable")
+            at, rows = at[order], rows[:, order]
+        starts = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]])).tolist()
+        for a, b in zip(starts, [*starts[1:], len(at)]):
             self.parts[at[a]].append(rows[:, a:b])
         self.held += rows.nbytes
         if self.held > self.budget:
@@ -51,29 +54,30 @@ class BulkQueue:
     def _spill(self) -> None:
         if self.file is None:
             self.file = tempfile.TemporaryFile()
-        self.file.seek(0, 2)
-        for part in self.parts:
-            for i, x in enumerate(part):
-                if isinstance(x, np.ndarray):
-                    part[i] = (self.file.tell(), x.shape[1])
-                    self.file.write(np.ascontiguousarray(x).tobytes())
+        self.file.seek(self.end)
+        for r, part in enumerate(self.parts):
+            if part:
+                rows = np.ascontiguousarray(np.concatenate(part, axis=1))
+                self.stored[r].append((self.end, rows.shape[1]))
+                self.file.write(rows)
+                self.end += rows.nbytes
+                self.parts[r] = []
         self.held = 0
 
     def take(self, r: int) -> np.ndarray:
         """All rows of a range, in order of keys."""
-        part, self.parts[r] = self.parts[r], []
         out = []
-        for x in part:
-            if isinstance(x, tuple):
-                self.file.seek(x[0])
-                x = np.frombuffer(self.file.read(x[1] * 24), np.int64).reshape(3, x[1])
-            else:
-                self.held -= x.nbytes
+        for at, n in self.stored[r]:
+            self.file.seek(at)
+            out.append(np.frombuffer(self.file.read(n * 24), np.int64).reshape(3, n))
+        for x in self.parts[r]:
+            self.held -= x.nbytes
             out.append(x)
+        self.stored[r], self.parts[r] = [], []
         if not out:
             return np.zeros((3, 0), np.int64)
         rows = np.concatenate(out, axis=1)
-        return rows[:, np.argsort(rows[0], kind="stable")]
+        return rows if self.alone else rows[:, np.argsort(rows[0], kind="stable")]
 
 
 def _types(t: np.ndarray) -> np.ndarray:
@@ -241,41 +245,60 @@ def _apart(t, wanted, seeds, seed_key, lo, hi, flip, sign) -> bool:
     return bool((np.minimum.accumulate(child)[:-1] > seed_key[lo + 1 : hi]).all())
 
 
-def _doubling(t: np.ndarray) -> np.ndarray:
-    """Suffixes in descending order by ranks of prefixes of doubling length; only suffixes that still tie are sorted."""
-    n = len(t)
-    _, rank = np.unique(t, return_inverse=True)
-    counts = np.bincount(rank)
-    rank = (np.cumsum(counts) - counts)[rank]  # how many suffixes are smaller as far as known
-    live, step = np.flatnonzero(np.bincount(rank, minlength=n)[rank] > 1), 1
-    while len(live):
-        ahead = live + step
-        key = np.where(ahead < n, rank[np.minimum(ahead, n - 1)] + 1, 0)
-        order = np.lexsort((key, rank[live]))
-        live, key = live[order], key[order]
-        r = rank[live]
-        new = np.concatenate([[True], r[1:] != r[:-1]])
-        part = new | np.concatenate([[True], key[1:] != key[:-1]])
-        i = np.arange(len(live))
-        rank[live] = r + np.maximum.accumulate(np.where(part, i, 0)) - np.maximum.accumulate(np.where(new, i, 0))
-        live = live[~(part & np.append(part[1:], True))]
-        step *= 2
-    order = np.empty(n, np.int64)
-    order[n - 1 - rank] = np.arange(n)
-    return order
+def _sweep_names(t: np.ndarray, wanted: np.ndarray, seeds: np.ndarray, up: bool, budget: int) -> np.ndarray:
+    """The order in which one sweep over a string of names takes suffixes.
+
+    Of the many symbols few recur in a row, so that all of a range, seeds too, go on together up to the first suffix that
+    one of them puts back among them.  Rows are (key, position, key of the suffix before it); a seed's key is odd, as it
+    stands behind the induced suffixes of its symbol.
+    """
+    top = int(t.max())
+    sign, flip = (1, 0) if up else (-1, top)
+    key = lambda pos: 2 * (flip + sign * t[pos])
+    never = np.iinfo(np.int64).max
+
+    def rows(keys: np.ndarray, pos: np.ndarray) -> np.ndarray:
+        before = np.maximum(pos - 1, 0)
+        return np.stack([keys, pos, np.where((pos > 0) & wanted[before], key(before), never)])
+
+    edges = 2 * _edges(key(np.flatnonzero(wanted)) // 2, top, 256)
+    queue = BulkQueue(edges, budget // 4)
+    first = rows(key(seeds) + 1, seeds)
+    bounds = np.append(edges, 2 * top + 2)
+    at = np.searchsorted(first[0], bounds)
+    order, done = _array(int(wanted.sum()) + len(seeds), np.int64, budget), 0
+    for r in range(len(edges)):
+        pend = np.concatenate([queue.take(r), first[:, at[r] : at[r + 1]]], axis=1)
+        pend = pend[:, np.argsort(pend[0], kind="stable")]
+        while pend.shape[1]:
+            least = np.minimum.accumulate(pend[2])
+            late = np.flatnonzero(least[:-1] < pend[0, 1:])
+            n = int(late[0]) + 1 if len(late) else pend.shape[1]
+            part, pend = pend[:, :n], pend[:, n:]
+            order[done : done + n] = part[1]
+            done += n
+            part = part[:, part[2] != never]
+            new = rows(part[2], part[1] - 1)
+            here = new[0] < bounds[r + 1]
+            if here.any():
+                back = new[:, here]
+                back = back[:, np.argsort(back[0], kind="stable")]
+                pend = np.insert(pend, np.searchsorted(pend[0], back[0], "right"), back, axis=1)
+                new = new[:, ~here]
+            queue.put(new)
+    return order[:done]
 
 
 def suffix_order(t: np.ndarray, cap: int = 0, budget: int = BUDGET) -> tuple[np.ndarray, np.ndarray | None]:
     """Suffixes of t in descending order and, if cap is given, common-prefix values up to cap with the one before.
 
-    t: nonnegative integers (below 512 if cap is given); the last is the only 0.  A string of names that needs less than
-    the budget is ordered in memory; a larger one goes through the queues again.
+    t: nonnegative integers (below 512 if cap is given); the last is the only 0.  Every level goes through the queues; what
+    they and the results hold beyond the budget is in files.  Besides, some ten arrays of a number for each symbol are in
+    memory, or mapped files where they are a large part of the budget.
     """
     n = len(t)
     if n == 1:
         return np.zeros(1, np.int64), np.zeros(1, np.int32) if cap else None
-    if not cap and n * 64 <= budget:
-        return _doubling(t), None
     small = _types(t)
     lms = np.flatnonzero(small[1:] & ~small[:-1]) + 1
     rank = _names(t, small, lms)
@@ -289,10 +312,13 @@ def suffix_order(t: np.ndarray, cap: int = 0, budget: int = BUDGET) -> tuple[np.
         differ = np.append(np.flatnonzero(t[1:] != t[:-1]), n - 1)
         run = (np.repeat(differ, np.diff(differ, prepend=-1)) - np.arange(n) + 1).astype(np.int32)
         seed_lcp = _compare(t, order, cap)
+    last = np.array([n - 1])
+    if not cap:
+        falling = _sweep_names(t, ~small, order, True, budget)
+        return _sweep_names(t, small, np.append(falling[~small[falling]][::-1], last), False, budget), None
     falling, f_lcp = _sweep(t, small, order, seed_lcp, True, run, cap, budget)
     keep = ~small[falling]
     large = falling[keep][::-1]
-    last = np.array([n - 1])
     if cap:
         l_lcp = np.append(0, f_lcp[keep][::-1][:-1]).astype(np.int32)
         l_lcp = np.where(np.append(True, t[large[1:]] != t[large[:-1]]), 0, l_lcp)

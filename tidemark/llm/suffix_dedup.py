@@ -1,10 +1,12 @@
 """Removal of long byte strings that occur elsewhere, from the suffix order of shards in which they would meet.
 
-Every window of `length` bytes belongs to its smallest rolling gram (the anchor, the first of equals); windows of one
-anchor are taken together by their distance to it, in units of at most STEP.  All windows of a unit share a core of
-length - STEP + 1 bytes, so equal windows lie in units of equal cores, and units whose core occurs once need no more
-work.  The others meet by core: units that agree as a whole repeat as a whole, and one of each kind goes to a shard whose
-suffixes are ordered by induced sorting; its windows with a common prefix of `length` bytes with a neighbour repeat.
+Two lengths are asked for at once: strings of `length` bytes are removed, and how much strings of `passage` bytes cover is
+told.  Every window of `passage` bytes belongs to its smallest rolling gram (the anchor, the first of equals); windows of
+one anchor are taken together by their distance to it, in units of at most STEP.  All windows of a unit share a core of
+passage - STEP + 1 bytes, so equal windows lie in units of equal cores, and units whose core occurs once need no more
+work.  The others meet by core, each with its context: `length` bytes from each of its windows.  Units whose contexts agree
+as a whole repeat as a whole, and one of each kind goes to a shard whose suffixes are ordered by induced sorting; its
+windows with a common prefix of `passage` or `length` bytes with a neighbour repeat.
 """
 
 from __future__ import annotations
@@ -16,10 +18,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import cut, drop_cut, sub_batches
+from tidemark.llm.common import cut, drop_cut, give_back, sub_batches
 from tidemark.llm.induced import suffix_order
 
-GRAM, STEP, PIECE = 64, 64, 1 << 21
+GRAM, STEP, PIECE = 64, 96, 1 << 21
+#: Fifty words of European languages are seldom shorter (263 bytes at the fifth percentile of English ones here).
+PASSAGE = 250
 
 
 def _anchors(a: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -43,33 +47,34 @@ def _anchors(a: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     return (low & np.uint64(0xFFFFFF)).astype(np.int64), h
 
 
-def units(texts: list[bytes], length: int, step: int = STEP):
-    """Arrays (text, start, windows, core, whole) of the units of all texts: start of the first window, their number, and
-    hashes of the core and of all bytes of the unit."""
+def units(texts: list[bytes], least: int, extent: int, step: int = STEP):
+    """Arrays (text, start, windows, size, core, whole) of the units of all texts: start of the first window of `least`
+    bytes, number of windows, size of the context (`extent` bytes from the last window's start, or up to the text's end),
+    and hashes of the core and of the context."""
     from xxhash import xxh3_64_intdigest
 
-    out = [[] for _ in range(5)]
-    pieces = []  # (text, offset, bytes)
+    out = [[] for _ in range(6)]
+    pieces = []  # (text, offset, windows, bytes)
     for i, t in enumerate(texts):
-        for at in range(0, len(t) - length + 1, 4 * PIECE):
-            pieces.append((i, at, t[at : at + 4 * PIECE + length - 1]))
+        for at in range(0, len(t) - least + 1, 4 * PIECE):
+            pieces.append((i, at, min(4 * PIECE, len(t) - least + 1 - at), t[at : at + 4 * PIECE + extent - 1]))
     groups, size = [[]], 0
     for p in pieces:
-        if size + len(p[2]) > PIECE and groups[-1]:
+        if size + len(p[3]) > PIECE and groups[-1]:
             groups.append([])
             size = 0
         groups[-1].append(p)
-        size += len(p[2])
+        size += len(p[3])
     for group in groups:
         if not group:
             continue
-        data = b"".join(p[2] for p in group)
-        anchor, _ = _anchors(np.frombuffer(data, np.uint8), length)
-        lens = np.array([len(p[2]) for p in group])
+        data = b"".join(p[3] for p in group)
+        anchor, _ = _anchors(np.frombuffer(data, np.uint8), least)
+        lens = np.array([len(p[3]) for p in group])
         first = np.cumsum(lens) - lens
         owner = np.repeat(np.arange(len(group)), lens)[: len(anchor)]
         pos = np.arange(len(anchor))
-        inside = pos + length <= (first + lens)[owner]
+        inside = pos - first[owner] < np.array([p[2] for p in group])[owner]
         back = anchor - pos
         unit = back // step
         new = np.ones(len(anchor), bool)
@@ -78,34 +83,44 @@ def units(texts: list[bytes], length: int, step: int = STEP):
         at = np.flatnonzero(new & inside)
         ends = np.append(np.flatnonzero(new), len(anchor))
         n = ends[np.searchsorted(ends, at, "right")] - at
-        a, u = anchor[at], unit[at]
-        lo, hi = a - step * u, a - step * u + length - step + 1
-        for i, s, m, x, y, b, c in zip(owner[at].tolist(), at.tolist(), n.tolist(), lo.tolist(), hi.tolist(), a.tolist(), u.tolist()):
-            text, offset, _ = group[i]
-            out[0].append(text)
-            out[1].append(offset + s - int(first[i]))
-            out[2].append(m)
-            out[3].append(xxh3_64_intdigest(data[x:y], c))
-            out[4].append(xxh3_64_intdigest(data[s : s + m - 1 + length], b - s))
-    return [np.array(x, np.uint64 if k > 2 else np.int64) for k, x in enumerate(out)]
-
-
-def repeated_windows(contexts: list[bytes], length: int, budget: int) -> list[np.ndarray]:
-    """Of each context, which of its windows stand anywhere else in the contexts, by their common suffix order."""
-    lens = np.array([len(c) for c in contexts])
+        a, u, of = anchor[at], unit[at], owner[at]
+        lo, hi = a - step * u, a - step * u + least - step + 1
+        end = np.minimum(at + n - 1 + extent, (first + lens)[of])
+        texts_, offsets = np.array([p[0] for p in group]), np.array([p[1] for p in group])
+        out[0].append(texts_[of])
+        out[1].append(offsets[of] + at - first[of])
+        out[2].append(n)
+        out[3].append(end - at)
+        out[4].append(np.fromiter((xxh3_64_intdigest(data[x:y], c) for x, y, c in zip(lo.tolist(), hi.tolist(), u.tolist())), np.uint64, len(at)))
+        out[5].append(np.fromiter((xxh3_64_intdigest(data[x:y], c) for x, y, c in zip(at.tolist(), end.tolist(), (a - at).tolist())), np.uint64, len(at)))
+    return [np.concatenate([np.zeros(0, np.uint64 if k > 3 else np.int64), *x]) for k, x in enumerate(out)]
+
+
+def repeated_windows(contexts: list[tuple[bytes, int]], least: int, length: int, budget: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Of the first n places of each context (bytes, n), where strings of `least` and of `length` bytes start that start at
+    one of the others too, by the common suffix order of all contexts.
+
+    Only these places stand for a place of a text; what follows them in a context may be another one's places.
+    """
+    lens = np.array([len(c) for c, _ in contexts])
     t = np.zeros(int(lens.sum()) + len(lens) + 1, np.int64)
-    ends = np.cumsum(lens + 1)
-    at = 0
-    for c, e in zip(contexts, ends):
-        t[at : e - 1] = np.frombuffer(c, np.uint8)
-        t[at : e - 1] += 2
-        t[e - 1] = 1
-        at = e
+    place = np.zeros(len(t), bool)
+    starts = np.cumsum(lens + 1) - lens - 1
+    for (c, n), at in zip(contexts, starts.tolist()):
+        t[at : at + len(c)] = np.frombuffer(c, np.uint8)
+        t[at : at + len(c)] += 2
+        t[at + len(c)] = 1
+        place[at : at + n] = True
     order, lcp = suffix_order(t, length, budget)
-    hit = np.zeros(len(t), bool)
-    same = np.flatnonzero(lcp >= length)
-    hit[order[same]] = hit[order[same - 1]] = True
-    return [hit[e - 1 - n : e - length] for e, n in zip(ends, lens)]
+    mine = np.flatnonzero(place[order])
+    common = np.minimum.reduceat(lcp[: mine[-1] + 1], mine[:-1] + 1) if len(mine) > 1 else lcp[:0]
+    pos, hits = order[mine], []
+    for size in (least, length):
+        hit = np.zeros(len(t), bool)
+        same = np.flatnonzero(common >= size)
+        hit[pos[same]] = hit[pos[same + 1]] = True
+        hits.append(hit)
+    return [(hits[0][at : at + n], hits[1][at : at + n]) for (_, n), at in zip(contexts, starts.tolist())]
 
 
 def _runs(hit: np.ndarray) -> list[tuple[int, int]]:
@@ -113,100 +128,89 @@ def _runs(hit: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(edge[::2].tolist(), edge[1::2].tolist()))
 
 
-def repeated_spans(df: DataFrame, key: str = "doc_id", text: str = "text", length: int = 400, shard_bytes: int = 2 << 20, hot: int = 128, budget: int = 256 << 20) -> DataFrame:
-    """(k, h, spans): for each (key, xxhash64 of the text) with repeated strings, spans (start, end) in bytes that strings
-    of `length` bytes cover which start anywhere else too; they may overlap.
+def repeated_spans(df: DataFrame, key: str = "doc_id", text: str = "text", length: int = 400, passage: int = PASSAGE, shard_bytes: int = 4 << 20, budget: int = 32 << 20) -> DataFrame:
+    """(k, h, spans): for each (key, xxhash64 of the text) with repeated strings, spans (s, e, long) in bytes that strings
+    of `passage` bytes cover which start anywhere else too, and (long) those of strings of `length` bytes; they may overlap.
 
-    A task orders shards of about shard_bytes, one core's units at least.  Where more than `hot` different units share a
-    core (a passage common to very many documents), each of their windows is hashed and counted instead, which gives the
-    same result without bringing them together.
+    A task orders shards of about shard_bytes, one core's units at least, and holds queues beyond a quarter of the budget
+    in scratch files.
     """
-    rows = df.select(F.col(key).alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t")).where(F.octet_length("t") >= length).withColumn("h", F.xxhash64("t"))
+    least = min(passage, length)
+    rows = df.select(F.col(key).alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t")).where(F.octet_length("t") >= least).withColumn("h", F.xxhash64("t"))
     kind = df.schema[key].dataType.simpleString()
 
     def find(batches):
         for b in sub_batches(batches, "t", PIECE):
-            i, start, n, core, whole = units([t.encode() for t in b.column("t").to_pylist()], length)
+            i, start, n, size, core, whole = units([t.encode() for t in b.column("t").to_pylist()], least, length)
             take = pa.array(i)
-            yield pa.RecordBatch.from_arrays([b.column("k").take(take), b.column("h").take(take), pa.array(start), pa.array(n.astype(np.int16)), pa.array(core.view(np.int64)), pa.array(whole.view(np.int64))], names=["k", "h", "start", "n", "core", "whole"])
+            yield pa.RecordBatch.from_arrays([b.column("k").take(take), b.column("h").take(take), pa.array(start), pa.array(n.astype(np.int16)), pa.array(size.astype(np.int32)), pa.array(core.view(np.int64)), pa.array(whole.view(np.int64))], names=["k", "h", "start", "n", "size", "core", "whole"])
+        give_back()
 
-    found = cut(rows.mapInArrow(find, f"k {kind}, h bigint, start bigint, n smallint, core bigint, whole bigint"), "units")
+    found = cut(rows.mapInArrow(find, f"k {kind}, h bigint, start bigint, n smallint, size int, core bigint, whole bigint"), "units")
     often = cut(found.groupBy("core").agg(F.count("*").alias("c")).where("c > 1").select("core"), "cores")
     kept = cut(found.join(often, "core"), "units")
     drop_cut(often)
     drop_cut(found)
-    kinds = cut(kept.groupBy("core", "whole").agg(F.count("*").alias("c"), F.min(F.struct("k", "h", "start", "n")).alias("rep")), "kinds")
+    kinds = cut(kept.groupBy("core", "whole").agg(F.count("*").alias("c"), F.min(F.struct("k", "h", "start", "n", "size")).alias("rep")), "kinds")
     sizes = kinds.groupBy("core").agg(F.count("*").alias("m"), F.min("c").alias("least"))
-    some = cut(sizes.where("m > 1 and least = 1").select("core", (F.col("m") > hot).alias("many")), "some")  # so that Spark can split the join's large partitions
-    reps = kinds.join(some, "core").select("core", "whole", "many", "rep.*")
-    asked = reps.groupBy("k", "h").agg(F.collect_list(F.struct("start", "n", "core", "whole", "many")).alias("units"))
+    some = cut(sizes.where("m > 1 and least = 1").select("core"), "some")  # so that Spark can split the join's large partitions
+    reps = kinds.join(some, "core").select("core", "whole", "rep.*")
+    asked = reps.groupBy("k", "h").agg(F.collect_list(F.struct("start", "n", "size", "core", "whole")).alias("units"))
     asked = asked.withColumnsRenamed({"k": "ak", "h": "ah"})
     joined = rows.join(asked, F.col("k").eqNullSafe(F.col("ak")) & (F.col("h") == F.col("ah"))).select("t", "units")
 
     def contexts(batches):
-        from xxhash import xxh3_64_intdigest
-
         for b in sub_batches(batches, "t", PIECE):
-            core, whole, at, window, ctx = [], [], [], [], []
+            core, whole, n, ctx = [], [], [], []
             for t, us in zip(b.column("t").to_pylist(), b.column("units").to_pylist()):
                 t = t.encode()
                 for u in us:
-                    s, n = u["start"], u["n"]
-                    if u["many"]:
-                        # the window's distance to the anchor is told by the core, so it needn't be hashed
-                        for k in range(n):
-                            core.append(u["core"])
-                            whole.append(u["whole"])
-                            at.append(k)
-                            window.append(xxh3_64_intdigest(t[s + k : s + k + length]) - (1 << 63))
-                            ctx.append(None)
-                    else:
-                        core.append(u["core"])
-                        whole.append(u["whole"])
-                        at.append(None)
-                        window.append(None)
-                        ctx.append(t[s : s + n - 1 + length])
+                    core.append(u["core"])
+                    whole.append(u["whole"])
+                    n.append(u["n"])
+                    ctx.append(t[u["start"] : u["start"] + u["size"]])
             if core:
-                yield pa.RecordBatch.from_arrays([pa.array(core), pa.array(whole), pa.array(at, pa.int32()), pa.array(window, pa.int64()), pa.array(ctx, pa.binary())], names=["core", "whole", "at", "window", "ctx"])
+                yield pa.RecordBatch.from_arrays([pa.array(core), pa.array(whole), pa.array(n, pa.int16()), pa.array(ctx, pa.binary())], names=["core", "whole", "n", "ctx"])
 
-    got = cut(joined.mapInArrow(contexts, "core bigint, whole bigint, at int, window bigint, ctx binary"), "contexts")
+    got = joined.mapInArrow(contexts, "core bigint, whole bigint, n smallint, ctx binary")
 
     def order(batches):
         held, size, last = [], 0, None
 
         def settle():
-            seen: dict[tuple[int, int], int] = {}
-            for c, w, x in held:  # the same text under one key may have come more than once
-                seen.setdefault((c, w), x)
-            out = [[], [], [], []]
+            seen: dict[tuple[int, int], tuple[bytes, int]] = {}
+            for c, w, n, x in held:  # the same text under one key may have come more than once
+                seen.setdefault((c, w), (x, n))
+            out = [[], [], [], [], []]
             if len(seen) > 1:
-                for (c, w), hit in zip(seen, repeated_windows(list(seen.values()), length, budget)):
-                    for a, b in _runs(hit):
-                        for col, v in zip(out, (c, w, a, b)):
-                            col.append(v)
-            return pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int32()), pa.array(out[3], pa.int32())], names=["core", "whole", "a", "b"])
+                for (c, w), hits in zip(seen, repeated_windows(list(seen.values()), least, length, budget)):
+                    for long, hit in enumerate(hits):
+                        for a, b in _runs(hit):
+                            for col, v in zip(out, (c, w, a, b, bool(long))):
+                                col.append(v)
+            return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_()))], names=["core", "whole", "a", "b", "long"])
 
         for b in batches:
-            for c, w, x in zip(b.column("core").to_pylist(), b.column("whole").to_pylist(), b.column("ctx").to_pylist()):
+            for c, w, n, x in zip(*(b.column(f).to_pylist() for f in ("core", "whole", "n", "ctx"))):
                 if c != last and size > shard_bytes:
                     yield settle()
                     held, size = [], 0
                 last = c
-                held.append((c, w, x))
+                held.append((c, w, n, x))
                 size += len(x)
         if held:
             yield settle()
+        give_back()
 
     spread = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a given number, as the work is more than the bytes show
-    sorted_ = got.where("ctx is not null").select("core", "whole", "ctx").repartition(spread, "core").sortWithinPartitions("core").mapInArrow(order, "core bigint, whole bigint, a int, b int")
-    windows = got.where("window is not null").select("core", "whole", "at", "window").distinct()
-    twice = windows.groupBy("core", "window").agg(F.count("*").alias("c")).where("c > 1").select("core", "window")
-    counted = windows.join(twice, ["core", "window"]).select("core", "whole", F.col("at").alias("a"), (F.col("at") + 1).alias("b"))
-    partial = sorted_.unionByName(counted)
-    every = kinds.where("c > 1").select("core", "whole", F.lit(0).alias("a"), F.lit(None).cast("int").alias("b"))
-    hits = cut(partial.join(kinds.where("c > 1").select("core", "whole"), ["core", "whole"], "left_anti").unionByName(every), "hits")
-    spans = kept.join(hits, ["core", "whole"]).select("k", "h", (F.col("start") + F.col("a")).alias("s"), (F.col("start") + F.coalesce("b", F.col("n").cast("int")) - 1 + length).alias("e"))
-    return spans.groupBy("k", "h").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
+    partial = got.repartition(spread, "core").sortWithinPartitions("core").mapInArrow(order, "core bigint, whole bigint, a int, b int, long boolean")
+    twice = kinds.where("c > 1")
+    whole = [twice.select("core", "whole", F.lit(0).alias("a"), (F.col("rep.size") - F.lit(size - 1)).alias("b"), F.lit(long).alias("long")).where("b > 0") for size, long in ((least, False), (length, True))]
+    once = partial.join(twice.select("core", "whole"), ["core", "whole"], "left_anti")
+    hits = cut(once.unionByName(whole[0]).unionByName(whole[1]), "hits")
+    end = F.col("start") + F.least("b", F.col("n").cast("int")) - 1 + F.when(F.col("long"), length).otherwise(least)
+    spans = kept.join(hits, ["core", "whole"]).select("k", "h", (F.col("start") + F.col("a")).alias("s"), end.alias("e"), "long")
+    return spans.groupBy("k", "h").agg(F.collect_list(F.struct("s", "e", "long")).alias("spans"))
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -220,14 +224,16 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(s, e) for s, e in out]
 
 
-def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", length: int = 400, digest: bool = False, **how) -> DataFrame:
-    """(key, n_bytes, n_removed, n_spans, kept) for every row: the bytes left of its text without those that a repeated
-    string of `length` bytes covers; with digest kept_sha256 instead.
+def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", length: int = 400, passage: int = PASSAGE, digest: bool = False, **how) -> DataFrame:
+    """(key, n_bytes, n_removed, n_spans, kept, n_repeated) for every row: the bytes left of its text without those that a
+    repeated string of `length` bytes covers; with digest kept_sha256 instead.  n_repeated are the bytes that repeated
+    strings of `passage` bytes cover, removed or not.
 
     Texts are UTF-8 bytes, a null text is empty; texts shorter than `length` lose nothing.  Repeated rows count as
-    occurrences of their text elsewhere and all lose it.  A null key is a key like others; other columns are not read.
+    occurrences of their text elsewhere and all lose it.  A null key is a key like others; other columns are not read; an
+    empty table gives an empty one.
     """
-    spans = repeated_spans(df, key, text, length, **how).withColumnsRenamed({"k": "sk", "h": "sh"})
+    spans = repeated_spans(df, key, text, length, passage, **how).withColumnsRenamed({"k": "sk", "h": "sh"})
     rows = df.select(F.col(key).alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t")).withColumn("h", F.xxhash64("t"))
     joined = rows.join(spans, F.col("k").eqNullSafe(F.col("sk")) & (F.col("h") == F.col("sh")), "left").select("k", "t", "spans")
     kind = df.schema[key].dataType.simpleString()
@@ -235,18 +241,21 @@ def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", lengt
 
     def strip(batches):
         for b in sub_batches(batches, "t"):
-            cols = [[], [], [], []]
+            cols = [[], [], [], [], []]
             for t, spans in zip(b.column("t").to_pylist(), b.column("spans").to_pylist()):
                 t = t.encode()
-                cuts = merged([(x["s"], x["e"]) for x in spans or ()])
+                cuts = merged([(x["s"], x["e"]) for x in spans or () if x["long"]])
+                told = merged([(x["s"], x["e"]) for x in spans or ()])
                 left, at = [], 0
                 for s, e in cuts:
                     left.append(t[at:s])
                     at = e
                 left.append(t[at:])
                 kept = b"".join(left)
-                for col, v in zip(cols, (len(t), len(t) - len(kept), len(cuts), hashlib.sha256(kept).hexdigest() if digest else kept)):
+                for col, v in zip(cols, (len(t), len(t) - len(kept), len(cuts), hashlib.sha256(kept).hexdigest() if digest else kept, sum(e - s for s, e in told))):
                     col.append(v)
-            yield pa.RecordBatch.from_arrays([b.column("k"), *(pa.array(c, pa.int64()) for c in cols[:3]), pa.array(cols[3], pa.string() if digest else pa.binary())], names=[key, "n_bytes", "n_removed", "n_spans", last])
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string() if digest else pa.binary(), pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column("k"), *(pa.array(c, t) for c, t in zip(cols, kinds))], names=[key, "n_bytes", "n_removed", "n_spans", last, "n_repeated"])
+        give_back()
 
-    return joined.mapInArrow(strip, f"`{key}` {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, {last} {'string' if digest else 'binary'}")
+    return joined.mapInArrow(strip, f"`{key}` {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, {last} {'string' if digest else 'binary'}, n_repeated bigint")
