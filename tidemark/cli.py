@@ -18,7 +18,7 @@ K, ALPHAS, BUDGETS, EPSILONS = (10, 15, 20, 25, 30), (0.0, 0.2, 0.4, 0.6, 0.8),
 ALGORITHMS = ("base", "appro", "heuris", "onehop", "twohop", "rele", "cardi", "influ", "random", "imm", "celf", "pmc")
 
 
-def choose(domain: Domain, algorithm: str, k: int, alpha: float, b: int, epsilon: float, candidates: int, most_sets: int | None = None) -> selection.Choice:
+def choose(domain: Domain, algorithm: str, k: int, alpha: float, b: int, epsilon: float, candidates: int) -> selection.Choice:
     """Places chosen out of the first `candidates` by one of ALGORITHMS."""
     spark = domain.spark
     ask = domain.pois.select("p").where(F.col("p") < candidates)
@@ -43,9 +43,9 @@ def choose(domain: Domain, algorithm: str, k: int, alpha: float, b: int, epsilon
     if algorithm == "pmc":
         return selection.pmc(spark, edges, reverse, b)
     if algorithm == "imm":
-        return selection.imm(spark, edges, reverse, domain.n_users, candidates, b, epsilon, most_sets=most_sets)
+        return selection.imm(spark, edges, reverse, domain.n_users, candidates, b, epsilon)
     local = cut(diffusion.one_hop(reverse, edges), "local") if algorithm in ("appro", "twohop") else None
-    return selection.opimc(spark, edges, reverse, domain.n_users, candidates, b, epsilon, most_sets=most_sets, local=local)
+    return selection.opimc(spark, edges, reverse, domain.n_users, candidates, b, epsilon, local=local)
 
 
 def _ranked(rows) -> selection.Choice:
@@ -62,11 +62,10 @@ def main(args: list[str] | None = None) -> None:
     a.add_argument("--budget", type=int, default=5)
     a.add_argument("--epsilon", type=float, default=0.1)
     a.add_argument("--candidates", type=int, default=200)
-    a.add_argument("--most-sets", type=int)
     o = a.parse_args(args)
     spark = SparkSession.builder.getOrCreate()
     began = time.time()
-    got = choose(Domain(spark, o.folder), o.algorithm, o.k, o.alpha, o.budget, o.epsilon, o.candidates, o.most_sets)
+    got = choose(Domain(spark, o.folder), o.algorithm, o.k, o.alpha, o.budget, o.epsilon, o.candidates)
     print(json.dumps({"pois": got.pois, "gains": got.gains, "facts": got.facts, "seconds": round(time.time() - began, 2)}))
 
 

@@ -36,28 +36,34 @@ def live_edges(edges: DataFrame, rounds: int, seed: int = 1) -> DataFrame:
     return each.where(is_live(F.col("round"), F.col("u"), F.col("v"), F.col("prob"), seed)).select("round", "u", "v")
 
 
-def reach(starts: DataFrame, edges: DataFrame, group: str | None = "round", live=None, most_depth: int = 10_000) -> DataFrame:
-    """(group, node, depth) of everything that edges (group, u, v) reach from the starts (group, node), by breadth.
-
-    Edges without the group column serve all groups; `live`, a condition on (group, u, v, prob), draws them when they are
-    first looked at, so that no table of all rounds' live edges is made.  A cycle ends, as no node is visited twice.
+def reach(starts: DataFrame, edges: DataFrame, group: tuple[str, ...] = ("round",), live=None, hops: int = 3) -> DataFrame:
+    """(*group, node, depth) of everything that edges (u, v, and any group columns) reach from the starts (*group, node),
+    by breadth.
+
+    Edges without a group column serve all its values; `live`, a condition on (group, u, v, prob), draws them when they are
+    first looked at, so that no table of all rounds' live edges is made.  A job goes `hops` steps on, so that its fixed cost
+    is paid once for these; only what the last of them found goes on from there.  A cycle ends, as no node is visited twice,
+    and the search goes on until nothing new is found.
     """
-    keys = ([group] if group else []) + ["node"]
+    keys = [*group, "node"]
+    on = [g for g in group if g in edges.columns]
     seen = cut(starts.select(*keys, F.lit(0).cast("long").alias("depth")).distinct(), "reach")
-    frontier, depth, parts = seen, 0, [seen]
-    while depth < most_depth and not frontier.isEmpty():
-        depth += 1
-        on = [group] if group and group in edges.columns else []
-        step = frontier.drop("depth").withColumnRenamed("node", "u").join(edges, [*on, "u"])
-        if live is not None:
-            step = step.where(live)
-        step = step.select(*([group] if group else []), F.col("v").alias("node")).distinct()
-        frontier = cut(step.join(seen.select(*keys), keys, "left_anti").withColumn("depth", F.lit(depth).cast("long")), "reach")
-        parts.append(frontier)
-        seen = seen.unionByName(frontier)
-        if depth % 16 == 0:
+    frontier, depth, parts = seen.select(*keys), 0, 0
+    while True:
+        step, found = frontier, None
+        for i in range(1, hops + 1):
+            step = step.withColumnRenamed("node", "u").join(edges, [*on, "u"])
+            step = (step if live is None else step.where(live)).select(*group, F.col("v").alias("node")).distinct()
+            here = step.withColumn("depth", F.lit(depth + i).cast("long"))
+            found = here if found is None else found.unionByName(here)
+        found = found.groupBy(*keys).agg(F.min("depth").alias("depth"))
+        new = cut(found.join(seen.select(*keys), keys, "left_anti"), "reach")
+        if new.isEmpty():
+            return seen
+        depth, parts, seen = depth + hops, parts + 1, seen.unionByName(new)
+        frontier = new.where(F.col("depth") == depth).select(*keys)
+        if parts % 8 == 0:
             seen = cut(seen, "reach")
-    return seen
 
 
 def rr_roots(spark, count: int, n_users: int, seed: int = 1, first: int = 0) -> DataFrame:
@@ -84,18 +90,17 @@ def spread_ic(edges: DataFrame, seeds: DataFrame, rounds: int, seed: int = 1) ->
     return active.agg((F.count("*") / rounds).alias("spread"))
 
 
-def spread_lt(edges: DataFrame, seeds: DataFrame, rounds: int, seed: int = 1, most_steps: int = 10_000) -> DataFrame:
+def spread_lt(edges: DataFrame, seeds: DataFrame, rounds: int, seed: int = 1) -> DataFrame:
     """(spread) of linear thresholds: a user turns active when the summed probabilities of active friends reach a
     threshold drawn for each round and user."""
     active = cut(seeds.select(F.col("u").alias("node")).distinct().withColumn("round", F.explode(F.sequence(F.lit(0), F.lit(rounds - 1)).cast("array<bigint>"))).select("round", "node"), "active")
-    for _ in range(most_steps):
+    while True:  # every step but the last turns a user on
         pull = active.withColumnRenamed("node", "u").join(edges, "u").groupBy("round", F.col("v").alias("node")).agg(F.sum("prob").alias("pull"))
         turned = pull.where(F.round("pull", 9) >= (draw(F.lit("lt"), F.col("round"), F.col("node"), seed=seed) % 1001) / 1000).select("round", "node")
         turned = cut(turned.join(active, ["round", "node"], "left_anti"), "active")
         if turned.isEmpty():
-            break
+            return active.agg((F.count("*") / rounds).alias("spread"))
         active = cut(active.unionByName(turned), "active")
-    return active.agg((F.count("*") / rounds).alias("spread"))
 
 
 def one_hop(links: DataFrame, edges: DataFrame, exclude_seeds: bool = False) -> DataFrame:

@@ -22,13 +22,20 @@ class Scores:
         t = self.domain
         return relevance(t.user_term, t.poi_term, term_idf(t.poi_term, t.n_pois))
 
+    def edges_in_reach(self) -> DataFrame:
+        """(u_ni, u_nj, p_ni, p_nj) of edges with a user and a place that share a term: from terms by edge, not from pairs."""
+        t = self.domain
+        us = t.user_term.join(t.users.select("u", F.col("ni").alias("u_ni"), F.col("nj").alias("u_nj")), "u").select("term", "u_ni", "u_nj").distinct()
+        ps = t.poi_term.join(t.pois.select("p", F.col("ni").alias("p_ni"), F.col("nj").alias("p_nj")), "p").select("term", "p_ni", "p_nj").distinct()
+        return us.join(ps, "term").drop("term").distinct()
+
     def scored(self, pairs: DataFrame | None = None) -> DataFrame:
         """(u, p, rel, inf, dist, score); scores are rounded to nine places, so that ties do not depend on the order in
         which weights were summed."""
         t = self.domain
         soc = social_score(friend_checkins(t.friend, t.checkin))
         rows = (self.relevant() if pairs is None else pairs).join(soc, ["u", "p"], "left").select("u", "p", "rel", influence(F.coalesce("soc", F.lit(0.0)), self.a, self.alpha).alias("inf"))
-        rows = with_distance(rows, t.users, t.pois, self.d)
+        rows = with_distance(rows, t.users, t.pois, self.d, ends=None if pairs is not None else self.edges_in_reach())
         return rows.withColumn("score", F.round(gsk_score(F.col("rel"), F.col("inf"), F.col("dist"), self.alpha), 9))
 
 
@@ -45,9 +52,11 @@ def user_kth(scored: DataFrame, k: int) -> DataFrame:
 def reverse_topk(scored: DataFrame, pois: DataFrame, k: int, strict: bool = True) -> DataFrame:
     """(p, u, rel, inf, dist, score, rk) of the users who score a place of `pois` above their own k-th best (at least as
     high with strict=False).  One pass serves all places: each user's best k are ranked once."""
-    best = user_topk(scored, k)
-    kth = best.where(F.col("rank") == k).select("u", F.col("score").alias("rk"))
-    rows = scored.join(pois.select("p"), "p", "left_semi").join(kth, "u", "left").withColumn("rk", F.coalesce("rk", F.lit(0.0)))
+    asked = pois.select("p", F.lit(True).alias("asked")).distinct()
+    rows = scored.join(asked, "p", "left").withColumn("asked", F.col("asked").isNotNull())
+    rank = F.row_number().over(Window.partitionBy("u").orderBy(F.desc("score"), F.asc("p")))
+    bound = F.max(F.when(F.col("rank") == k, F.col("score"))).over(Window.partitionBy("u"))  # the pairs are made once for both
+    rows = rows.withColumn("rank", rank).where((F.col("rank") <= k) | F.col("asked")).withColumn("rk", F.coalesce(bound, F.lit(0.0))).where("asked")
     keep = F.col("score") > F.col("rk") if strict else F.col("score") >= F.col("rk")
     return rows.where(keep).select("p", "u", "rel", "inf", "dist", "score", "rk")
 

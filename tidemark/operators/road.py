@@ -31,7 +31,7 @@ def apsp(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     return d
 
 
-def sssp(edges: DataFrame, sources: DataFrame, most_rounds: int = 10_000) -> DataFrame:
+def sssp(edges: DataFrame, sources: DataFrame) -> DataFrame:
     """(s, t, d, pred) from each source s (column s): relaxation of a shrinking frontier until nothing improves.
 
     pred is the vertex before t on a shortest path, the smallest of equals; null at the source.
@@ -39,7 +39,7 @@ def sssp(edges: DataFrame, sources: DataFrame, most_rounds: int = 10_000) -> Dat
     roads = both_ways(edges)
     best = cut(sources.select("s", F.col("s").alias("t"), F.lit(0.0).alias("d"), F.lit(None).cast("long").alias("pred")).distinct(), "sssp")
     frontier = best
-    for _ in range(most_rounds):
+    while True:
         step = frontier.join(roads, frontier["t"] == roads["a"]).select("s", F.col("b").alias("t"), (frontier["d"] + roads["d"]).alias("d"), F.col("a").alias("pred"))
         step = step.groupBy("s", "t").agg(F.min(F.struct("d", "pred")).alias("x")).select("s", "t", "x.d", "x.pred")
         old = best.select("s", "t", F.col("d").alias("od"), F.col("pred").alias("op"))
@@ -48,20 +48,28 @@ def sssp(edges: DataFrame, sources: DataFrame, most_rounds: int = 10_000) -> Dat
         best = both.select("s", "t", "x.d", "x.pred")
         frontier = both.where("new").select("s", "t", "x.d", "x.pred")
         if frontier.isEmpty():
-            break
-    return best
+            return best
 
 
 def shortest_path(tree: DataFrame, source: int, target: int) -> list[int]:
-    """Vertices of the path to a target in a result of sssp(), following predecessors; empty if there is none."""
-    out, at = [], target
-    while at is not None and len(out) < 1_000_000:
-        row = tree.where((F.col("s") == source) & (F.col("t") == at)).select("pred").first()
-        if row is None:
-            return []
-        out.append(at)
-        at = row["pred"]
-    return out[::-1]
+    """Vertices of the path to a target in a result of sssp(), following predecessors; empty if there is none.
+
+    Jumps over the predecessors double, so that a path of n vertices takes about log2(n) joins; then its vertices alone,
+    which the jumps mark, reach the driver.
+    """
+    up = tree.where(F.col("s") == source).select("t", "d", F.coalesce("pred", "t").alias("up"))
+    on = up.where(F.col("t") == target).select("t", "d")
+    if on.isEmpty():
+        return []
+    while True:
+        on = cut(on, "path")
+        before = on.count()
+        jumps = on.select("t").join(up.select("t", "up"), "t").select(F.col("up").alias("t")).join(up.select("t", "d"), "t")
+        on = on.unionByName(jumps).distinct()
+        if on.count() == before:
+            return [r["t"] for r in on.orderBy("d", F.col("t") == source).collect()]
+        far = up.withColumnRenamed("up", "mid").join(up.select(F.col("t").alias("mid"), "up"), "mid").select("t", "d", "up")
+        up = cut(far, "jumps")
 
 
 def edge_pairs(pairs: DataFrame, d: DataFrame) -> DataFrame:
@@ -77,14 +85,17 @@ def edge_pairs(pairs: DataFrame, d: DataFrame) -> DataFrame:
     return out
 
 
-def with_distance(pairs: DataFrame, users: DataFrame, pois: DataFrame, d: DataFrame, exact: bool = False) -> DataFrame:
-    """Pairs (u, p, ...) with the column dist of their road distance."""
+def with_distance(pairs: DataFrame, users: DataFrame, pois: DataFrame, d: DataFrame, exact: bool = False, ends: DataFrame | None = None) -> DataFrame:
+    """Pairs (u, p, ...) with the column dist of their road distance.
+
+    Distances are made once for each pair of edges (u_ni, u_nj, p_ni, p_nj) that occurs; `ends` has these (more do no harm)
+    where they can be told without making the pairs.
+    """
     us = users.select("u", F.col("ni").alias("u_ni"), F.col("nj").alias("u_nj"), F.col("dist").alias("u_len"), F.col("dis").alias("u_dis"))
     ps = pois.select("p", F.col("ni").alias("p_ni"), F.col("nj").alias("p_nj"), F.col("dist").alias("p_len"), F.col("dis").alias("p_dis"))
-    ends = ["u_ni", "u_nj", "p_ni", "p_nj"]
-    cross = us.select("u_ni", "u_nj").distinct().crossJoin(ps.select("p_ni", "p_nj").distinct())  # pairs of edges, not of places
-    table = edge_pairs(cross, d)
-    rows = pairs.join(us, "u").join(ps, "p").join(table, ends)
+    by = ["u_ni", "u_nj", "p_ni", "p_nj"]
+    rows = pairs.join(us, "u").join(ps, "p")
+    rows = rows.join(edge_pairs(rows.select(*by) if ends is None else ends, d), by)
     c = F.col
     by = {(e, f): c(f"d_{e}_{f}") for e in ("ni", "nj") for f in ("ni", "nj")}
     far = place_distance({"ni": c("u_ni"), "nj": c("u_nj"), "dist": c("u_len"), "dis": c("u_dis")}, {"ni": c("p_ni"), "nj": c("p_nj"), "dist": c("p_len"), "dis": c("p_dis")}, by, exact)
@@ -170,19 +181,31 @@ def window_rectangle(vertices: DataFrame, x0: float, y0: float, x1: float, y1: f
     return vertices.where(F.col("x").between(x0, x1) & F.col("y").between(y0, y1))
 
 
-def junction_chains(edges: DataFrame, rounds: int = 30) -> DataFrame:
+def junction_chains(edges: DataFrame) -> DataFrame:
     """(a, b, end, length): for each way out of a vertex, the next vertex that has not exactly two neighbours, and how far
-    it is along the road; a closed ring ends where it began."""
+    it is along the road; a closed ring ends where it began.
+
+    Each way points to the one that follows it; pointers double until they stand still, so a chain of n edges takes about
+    log2(n) joins.  What then still runs is a ring without a junction; its length is that of its edges.
+    """
     roads = both_ways(edges)
-    degree = roads.groupBy("a").agg(F.count("*").alias("deg"))
-    open_ = roads.select("a", "b", F.col("a").alias("before"), F.col("b").alias("end"), F.col("d").alias("length"))
-    for _ in range(rounds):
-        here = open_.join(degree.withColumnsRenamed({"a": "end"}), "end")
-        go = (F.col("deg") == 2) & (F.col("end") != F.col("a"))
-        onward = roads.select(F.col("a").alias("end"), F.col("b").alias("nxt"), F.col("d").alias("more"))
-        moved = here.where(go).join(onward, "end").where("nxt <> before").select("a", "b", F.col("end").alias("before"), F.col("nxt").alias("end"), (F.col("length") + F.col("more")).alias("length"))
-        done = cut(here.where(~go).select("a", "b", "before", "end", "length").unionByName(moved), "chains")
-        open_ = done
-        if here.where(go).isEmpty():
-            break
-    return open_.select("a", "b", "end", "length")
+    passed = roads.groupBy("a").agg(F.count("*").alias("deg")).where("deg = 2").select(F.col("a").alias("b"))
+    follow = roads.select(F.col("a").alias("b"), F.col("b").alias("y"), F.col("d").alias("more"))
+    onward = roads.join(passed, "b").select("a", "b").join(follow, "b").where("y <> a")
+    to = roads.join(onward, ["a", "b"], "left").select("a", "b", "d", F.when(F.col("y").isNull(), F.col("a")).otherwise(F.col("b")).alias("x"), F.coalesce("y", "b").alias("y"), F.coalesce("more", F.lit(0.0)).alias("more"), F.col("y").isNull().alias("still"))
+    to = cut(to, "chains")
+    ends = to.where("still").select(F.col("a").alias("x"), F.col("b").alias("y"))
+    n = to.where("not still").count()
+    for _ in range(math.ceil(math.log2(n + 1)) if n else 0):
+        hop = to.select(F.col("a").alias("x"), F.col("b").alias("y"), F.col("x").alias("x2"), F.col("y").alias("y2"), F.col("more").alias("more2"))
+        to = cut(to.join(hop, ["x", "y"]).select("a", "b", "d", F.col("x2").alias("x"), F.col("y2").alias("y"), (F.col("more") + F.col("more2")).alias("more"), "still"), "chains")
+    done = to.join(ends, ["x", "y"]).select("a", "b", F.col("y").alias("end"), (F.col("d") + F.col("more")).alias("length"))
+    ring = to.join(ends, ["x", "y"], "left_anti").select("a", "b", "d")
+    if ring.isEmpty():
+        return done
+    from tidemark.operators.clean import component_labels
+
+    parts = component_labels(ring.select(F.col("a").alias("v")).distinct(), ring.select(F.col("a").alias("ni"), F.col("b").alias("nj")))
+    around = ring.join(parts.withColumnRenamed("v", "a"), "a")
+    length = around.groupBy("root").agg((F.sum("d") / 2).alias("length"))  # each edge is there in both directions
+    return done.unionByName(around.join(length, "root").select("a", "b", F.col("a").alias("end"), "length"))

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.geosocial import draw
-from tidemark.operators.diffusion import one_hop, reach, rr_pois, rr_roots, rr_users, spread_ic
+from tidemark.operators.diffusion import is_live, one_hop, reach, rr_pois, rr_roots, rr_users
 from tidemark.plans.cuts import cut
 
 
@@ -25,9 +25,11 @@ class Choice:
     gains: list[float] = field(default_factory=list)
     facts: dict = field(default_factory=dict)
 
-    def frame(self, spark) -> DataFrame:
-        rows = [(i, p, float(g)) for i, (p, g) in enumerate(zip(self.pois, self.gains), 1)]
-        return spark.createDataFrame(rows, "step long, p long, gain double")
+    def frame(self, spark, *facts: str) -> DataFrame:
+        """(step, p, gain), and the named facts (null where the method has none), the same in every row."""
+        more = [None if self.facts.get(f) is None else float(self.facts[f]) for f in facts]
+        rows = [(i, p, float(g), *more) for i, (p, g) in enumerate(zip(self.pois, self.gains), 1)]
+        return spark.createDataFrame(rows, ", ".join(["step long, p long, gain double", *(f"{f} double" for f in facts)]))
 
 
 def greedy_cover(sets: DataFrame, b: int, item: str = "p") -> Choice:
@@ -56,22 +58,39 @@ def covered_sets(sets: DataFrame, items: list[int], item: str = "p") -> int:
 
 
 def greedy_one_hop(links: DataFrame, edges: DataFrame, b: int) -> Choice:
-    """Places by the one-hop spread of the union of their users, one after the other."""
-    spark, out = links.sparkSession, Choice()
+    """Places by the one-hop spread of the union of their users, one after the other.
+
+    What the chosen users leave of each friend's chance not to be reached is kept and multiplied on, so that a step looks
+    at each place's own new users only: its gain is their number, and of every friend of theirs the part of that rest
+    that they take.
+    """
+    out = Choice()
     links = cut(links.select("p", "u").distinct(), "links")
-    so_far, value = None, 0.0
+    edges = edges.select("u", "v", "prob")
+    miss = F.when(F.max("prob") >= 1, 0.0).otherwise(F.exp(F.sum(F.log1p(-F.least("prob", F.lit(1 - 1e-15))))))
+    rest, left, value = links, None, 0.0
     for _ in range(b):
-        rest = links.where(~F.col("p").isin(out.pois)) if out.pois else links
-        union = rest
-        if so_far is not None:
-            union = rest.unionByName(rest.select("p").distinct().crossJoin(so_far)).distinct()
-        best = one_hop(union, edges).orderBy(F.desc(F.round("spread", 9)), "p").first()
+        hop = rest.join(edges, "u").groupBy("p", "v").agg(miss.alias("m"))
+        if left is not None:
+            hop = hop.join(left, "v", "left")
+        free = F.lit(1.0) if left is None else F.coalesce("left", F.lit(1.0))
+        gain = hop.groupBy("p").agg(F.sum(free * (1 - F.col("m"))).alias("gain"))
+        own = rest.groupBy("p").agg(F.count("*").alias("n"))
+        total = own.join(gain, "p", "left").select("p", (F.col("n") + F.coalesce("gain", F.lit(0.0))).alias("gain"))
+        rows = links.select("p").distinct().join(total, "p", "left").select("p", F.coalesce("gain", F.lit(0.0)).alias("gain"))
+        best = (rows.where(~F.col("p").isin(out.pois)) if out.pois else rows).orderBy(F.desc(F.round("gain", 9)), "p").first()
         if best is None:
             break
+        mine = rest.where(F.col("p") == best["p"]).select("u")
+        taken = mine.join(edges, "u").groupBy("v").agg(miss.alias("m"))
+        if left is None:
+            left = cut(taken.select("v", F.col("m").alias("left")), "left")
+        else:
+            left = cut(left.join(taken, "v", "full").select("v", (F.coalesce("left", F.lit(1.0)) * F.coalesce("m", F.lit(1.0))).alias("left")), "left")
         out.pois.append(best["p"])
-        out.gains.append(best["spread"] - value)
-        value = best["spread"]
-        so_far = links.where(F.col("p").isin(out.pois)).select("u").distinct()
+        out.gains.append(best["gain"])
+        value += best["gain"]
+        rest = cut(rest.where(F.col("p") != best["p"]).join(mine, "u", "left_anti").select("p", "u"), "links")
     out.facts["spread"] = value
     return out
 
@@ -103,12 +122,12 @@ class Sampler:
         return self.parts
 
 
-def opimc(spark, edges: DataFrame, links: DataFrame, n_users: int, n_pois: int, b: int, epsilon: float = 0.1, delta: float | None = None, most_sets: int | None = None, local: DataFrame | None = None) -> Choice:
+def opimc(spark, edges: DataFrame, links: DataFrame, n_users: int, n_pois: int, b: int, epsilon: float = 0.1, delta: float | None = None, local: DataFrame | None = None) -> Choice:
     """Sampling in doubling rounds: choose on one half of the sets, judge on the other, stop when the ratio of the bounds
     passes 1 - 1/e - epsilon.
 
     local: with (p, spread) of one hop, the outer sets (users two or more hops away) are sampled and the local part is
-    exact (the hybrid method).  most_sets stops earlier; facts["ratio"] tells what was reached.
+    exact (the hybrid method).  facts tell the sets of each half, the ratio of the bounds that was reached, and the estimate.
     """
     e1, delta = 1 - 1 / math.e, delta or 1 / (2 * n_users)
     x, y = math.sqrt(math.log(6 / delta)), math.sqrt(e1 * (_log_choose(n_pois, b) + math.log(6 / delta)))
@@ -120,8 +139,6 @@ def opimc(spark, edges: DataFrame, links: DataFrame, n_users: int, n_pois: int,
     sampler = Sampler(spark, edges, links, n_users, 11, depth, families=2)
     count, out = base, Choice()
     for i in range(rounds):
-        if most_sets:
-            count = min(count, most_sets)
         both = sampler.sets(count)
         one, two = both.where(F.col("round") < JUDGE), both.where(F.col("round") >= JUDGE)
         out = greedy_cover(one, b) if local is None else _hybrid_cover(one, local, b, n_users / count)
@@ -131,7 +148,7 @@ def opimc(spark, edges: DataFrame, links: DataFrame, n_users: int, n_pois: int,
         extra = out.facts.get("local", 0.0) * count / n_users
         ratio = (max(low_n, 0.0) + extra) / (up_n + extra)
         out.facts |= {"sets": count, "ratio": ratio, "rounds": i + 1, "estimate": cov * n_users / count + out.facts.get("local", 0.0)}
-        if ratio > e1 - epsilon or count >= most or (most_sets and count >= most_sets):
+        if ratio > e1 - epsilon or count >= most:
             break
         count *= 2
     return out
@@ -154,7 +171,7 @@ def _hybrid_cover(sets: DataFrame, local: DataFrame, b: int, scale: float) -> Ch
     return out
 
 
-def imm(spark, edges: DataFrame, links: DataFrame, n_users: int, n_pois: int, b: int, epsilon: float = 0.1, ell: float = 1.0, most_sets: int | None = None) -> Choice:
+def imm(spark, edges: DataFrame, links: DataFrame, n_users: int, n_pois: int, b: int, epsilon: float = 0.1, ell: float = 1.0) -> Choice:
     """Two phases: halve a guess of the best spread until sampled cover confirms it, then sample as many sets as that
     lower bound asks for and choose on them."""
     log_n, choose = math.log(max(2, n_users)), _log_choose(n_pois, b)
@@ -162,76 +179,78 @@ def imm(spark, edges: DataFrame, links: DataFrame, n_users: int, n_pois: int, b:
     e2 = math.sqrt(2) * epsilon
     lam = (2 + 2 / 3 * e2) * (choose + ell * log_n + math.log(max(2.0, math.log2(max(2, n_users))))) * n_users / e2**2
     sampler, low, out = Sampler(spark, edges, links, n_users, 37), 1.0, Choice()
-    cap = lambda n: min(n, most_sets) if most_sets else n
     for i in range(1, max(2, int(math.log2(max(2, n_users))))):
         guess = n_users / 2**i
-        count = cap(math.ceil(lam / guess))
+        count = math.ceil(lam / guess)
         out = greedy_cover(sampler.sets(count), b)
         found = n_users * out.facts["covered"] / count
-        if found >= (1 + e2) * guess or (most_sets and count >= most_sets):
+        if found >= (1 + e2) * guess:
             low = max(1.0, found / (1 + e2))
             break
     e1 = 1 - 1 / math.e
     alpha, beta = math.sqrt(ell * log_n + math.log(2)), math.sqrt(e1 * (choose + ell * log_n + math.log(2)))
-    count = max(sampler.made, cap(math.ceil(2 * n_users * (e1 * alpha + beta) ** 2 / epsilon**2 / low)))
+    count = max(sampler.made, math.ceil(2 * n_users * (e1 * alpha + beta) ** 2 / epsilon**2 / low))
     out = greedy_cover(sampler.sets(count), b)
-    out.facts |= {"sets": count, "estimate": n_users * out.facts["covered"] / count}
+    out.facts |= {"sets": count, "low": low, "estimate": n_users * out.facts["covered"] / count}
     return out
 
 
+def _rounds(count: int):
+    return F.explode(F.sequence(F.lit(0), F.lit(count - 1)).cast("array<bigint>"))
+
+
 def pmc(spark, edges: DataFrame, links: DataFrame, b: int, graphs: int = 200, seed: int = 5) -> Choice:
     """Greedy over whole live-edge graphs: a place's gain is the number of users, not yet reached, that its users reach."""
-    starts = links.select("p", F.col("u").alias("node")).distinct().withColumn("round", F.explode(F.sequence(F.lit(0), F.lit(graphs - 1)).cast("array<bigint>")))
-    keyed = starts.select(F.concat_ws("|", "p", "round").alias("key"), "node", "p", "round")
-    names = cut(keyed.select("key", "p", "round").distinct(), "names")
-    each = reach_by_key(keyed.select("key", "node"), names, edges, seed)
-    reached = cut(each.join(names, "key").select("p", F.struct("round", "node").alias("at")), "reached")
-    out = Choice()
-    left = reached
+    starts = links.select("p", F.col("u").alias("node")).distinct().withColumn("round", _rounds(graphs))
+    each = reach(starts, edges, ("p", "round"), is_live(F.col("round"), F.col("u"), F.col("v"), F.col("prob"), seed))
+    out, left = Choice(), each.select("p", "round", "node")
     for _ in range(b):
         best = left.groupBy("p").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "p").first()
         if best is None:
             break
         out.pois.append(best["p"])
         out.gains.append(best["n"] / graphs)
-        left = cut(left.join(left.where(F.col("p") == best["p"]).select("at"), "at", "left_anti").where(F.col("p") != best["p"]), "left")
+        left = cut(left.join(left.where(F.col("p") == best["p"]).select("round", "node"), ["round", "node"], "left_anti"), "left")
     out.facts["estimate"] = sum(out.gains)
     return out
 
 
-def reach_by_key(starts: DataFrame, names: DataFrame, edges: DataFrame, seed: int) -> DataFrame:
-    """(key, node) reached in the live-edge graph of each key's round."""
-    frontier = seen = cut(starts.distinct(), "seen")
-    while not frontier.isEmpty():
-        step = frontier.join(names.select("key", "round"), "key").withColumnRenamed("node", "u").join(edges, "u")
-        live = (draw(F.col("round"), F.col("u"), F.col("v"), seed=seed) % 1001) / 1000 <= F.col("prob")
-        step = step.where(live).select("key", F.col("v").alias("node")).distinct()
-        frontier = cut(step.join(seen, ["key", "node"], "left_anti"), "seen")
-        seen = cut(seen.unionByName(frontier), "seen")
-    return seen
-
+def celf(spark, edges: DataFrame, links: DataFrame, b: int, rounds: int = 10_000, seed: int = 7) -> Choice:
+    """Lazy greedy by simulated spread: gains of earlier steps bound later ones, so only the top is simulated again.
 
-def celf(spark, edges: DataFrame, links: DataFrame, b: int, rounds: int = 100, seed: int = 7) -> Choice:
-    """Lazy greedy by simulated spread: gains of earlier steps bound later ones, so only the top is simulated again."""
-    pool = {r["p"]: math.inf for r in links.select("p").distinct().collect()}  # the candidates of a query
-    chosen, value, out = [], 0.0, Choice()
-    fresh: dict[int, int] = {}
+    The first step simulates all candidates in one search, place and round being columns; what each place alone reaches in
+    a round is kept, and since a set of places reaches what they reach one by one in the same draws, a later gain is a
+    count of what is new.  With the best one the runner-up given that it is chosen is counted too, so that a place whose
+    runner-up was the last chosen one needs no new count.
+    """
+    starts = links.select("p", F.col("u").alias("node")).distinct().withColumn("round", _rounds(rounds))
+    left = reach(starts, edges, ("p", "round"), is_live(F.col("round"), F.col("u"), F.col("v"), F.col("prob"), seed)).select("p", "round", "node")
+    bound = {r["p"]: r["n"] / rounds for r in left.groupBy("p").agg(F.count("*").alias("n")).collect()}  # the candidates of a query
+    out, fresh = Choice(), {p: 0 for p in bound}
+    ahead: dict[int, tuple[int, float]] = {}  # of a place: the chosen one that its next gain supposes, and that gain
     for step in range(b):
-        while pool:
-            p = min(pool, key=lambda x: (-pool[x], x))
-            if fresh.get(p) == step:
-                break
-            seeds = links.where(F.col("p").isin([*chosen, p])).select("u")
-            pool[p] = spread_ic(edges, seeds, rounds, seed).first()["spread"] - value
-            fresh[p] = step
-        if not pool:
+        if not bound:
             break
-        gain = pool.pop(p)
-        chosen.append(p)
-        value += gain
-        out.pois.append(p)
-        out.gains.append(gain)
-    out.facts["estimate"] = value
+        while True:
+            top = min(bound, key=lambda x: (-round(bound[x], 9), x))
+            if fresh[top] == step:
+                break
+            if ahead.get(top, (None, 0.0))[0] == (out.pois or [None])[-1] and fresh[top] == step - 1:
+                bound[top] = ahead[top][1]
+            else:
+                stale = [p for p in sorted(bound, key=lambda x: (-bound[x], x)) if fresh[p] < step][:8]
+                got = {r["p"]: r["n"] / rounds for r in left.where(F.col("p").isin(stale)).groupBy("p").agg(F.count("*").alias("n")).collect()}
+                bound |= {p: got.get(p, 0.0) for p in stale}
+                fresh |= {p: step for p in stale}
+            fresh[top] = step
+        out.pois.append(top)
+        out.gains.append(bound.pop(top))
+        if step + 1 < b and bound:
+            taken = left.where(F.col("p") == top).select("round", "node")
+            second = min(bound, key=lambda x: (-round(bound[x], 9), x))
+            left = cut(left.where(F.col("p") != top).join(taken, ["round", "node"], "left_anti"), "left")
+            ahead[second] = top, left.where(F.col("p") == second).count() / rounds
+    out.facts["estimate"] = sum(out.gains)
     return out
 
 
@@ -278,4 +297,4 @@ def by_chance(pois: DataFrame, b: int, seed: int = 1) -> DataFrame:
 
 def reachable_users(links: DataFrame, edges: DataFrame) -> DataFrame:
     """(node, depth): users whom the attached users reach over any edges."""
-    return reach(links.select(F.col("u").alias("node")), edges.select("u", "v"), group=None)
+    return reach(links.select(F.col("u").alias("node")), edges.select("u", "v"), group=())

@@ -66,8 +66,13 @@ PARTS: dict[str, tuple[str, str]] = {
         """SELECT a.u, b.p, CASE WHEN a.ni = b.ni AND a.nj = b.nj THEN abs(a.dis - b.dis) WHEN a.ni = b.ni THEN a.dis + b.dis ELSE least(x.dist + b.dis, y.dist + b.dist - b.dis) END AS dist
         FROM users a CROSS JOIN pois b JOIN vu x ON x.v = b.ni AND x.u = a.u JOIN vu y ON y.v = b.nj AND y.u = a.u""",
     ),
-    "scored": ("rel soc far", """SELECT u, p, rel, inf, dist, round((0.6 * inf + 0.4 * rel) / (1 + dist), 9) AS score FROM (
-        SELECT rel.u, rel.p, rel.rel, CASE WHEN coalesce(soc, 0) > 0 THEN 1 + pow(6.0, soc) ELSE 1.0 END AS inf, far.dist FROM rel JOIN far USING (u, p) LEFT JOIN soc USING (u, p))"""),
+    "farrel": (
+        "users pois vu rel",
+        """SELECT a.u, b.p, CASE WHEN a.ni = b.ni AND a.nj = b.nj THEN abs(a.dis - b.dis) WHEN a.ni = b.ni THEN a.dis + b.dis ELSE least(x.dist + b.dis, y.dist + b.dist - b.dis) END AS dist
+        FROM rel JOIN users a USING (u) JOIN pois b USING (p) JOIN vu x ON x.v = b.ni AND x.u = a.u JOIN vu y ON y.v = b.nj AND y.u = a.u""",
+    ),
+    "scored": ("rel soc farrel", """SELECT u, p, rel, inf, dist, round((0.6 * inf + 0.4 * rel) / (1 + dist), 9) AS score FROM (
+        SELECT rel.u, rel.p, rel.rel, CASE WHEN coalesce(soc, 0) > 0 THEN 1 + pow(6.0, soc) ELSE 1.0 END AS inf, f.dist FROM rel JOIN farrel f USING (u, p) LEFT JOIN soc USING (u, p))"""),
     "best": ("scored kk", "SELECT * FROM (SELECT u, p, score, row_number() OVER (PARTITION BY u ORDER BY score DESC, p) AS rank FROM scored) WHERE rank <= (SELECT k FROM kk)"),
     "kth": ("best kk", "SELECT u, score AS rk FROM best WHERE rank = (SELECT k FROM kk)"),
     "rev": ("scored kth", "SELECT s.*, coalesce(rk, 0.0) AS rk FROM scored s LEFT JOIN kth USING (u) WHERE score > coalesce(rk, 0.0)"),
@@ -75,13 +80,21 @@ PARTS: dict[str, tuple[str, str]] = {
     "prob": ("und", "SELECT u, v, 1.0::double / count(*) OVER (PARTITION BY v) AS prob FROM und"),
     "rounds": ("", f"SELECT range::bigint AS round FROM range({ROUNDS})"),
     "live": ("prob rounds", f"SELECT round, u, v FROM prob, rounds WHERE ({_hash("'1|' || round || '|' || u || '|' || v")} % 1001) / 1000 <= prob"),
-    "seeds": ("checkin", "SELECT p, u FROM (SELECT p, u, row_number() OVER (PARTITION BY p ORDER BY u) AS r FROM checkin WHERE p < 5) WHERE r <= 30"),
+    "seeds": ("checkin", "SELECT DISTINCT p, u FROM checkin WHERE p < 5"),
     "roots": ("rounds nu", f"SELECT round, {_hash("'1|root|' || round")} % n AS node FROM rounds, nu"),
     "onehop": (
         "seeds prob",
         """SELECT p, n + coalesce(gain, 0) AS spread FROM (SELECT p, count(*) AS n FROM seeds GROUP BY p) LEFT JOIN (SELECT p, sum(chance) AS gain FROM (
         SELECT s.p, e.v, CASE WHEN max(prob) >= 1 THEN 1 ELSE 1 - exp(sum(ln(1 - least(prob, 1 - 1e-15)))) END AS chance FROM seeds s JOIN prob e ON e.u = s.u GROUP BY s.p, e.v) GROUP BY p) USING (p)""",
     ),
+    "onehop2": (
+        "seeds prob",
+        """SELECT p, n + coalesce(gain, 0) AS spread FROM (SELECT p, count(*) AS n FROM seeds GROUP BY p) LEFT JOIN (SELECT p, sum(chance) AS gain FROM (
+        SELECT s.p, e.v, CASE WHEN max(prob) >= 1 THEN 1 ELSE 1 - exp(sum(ln(1 - least(prob, 1 - 1e-15)))) END AS chance FROM seeds s JOIN prob e ON e.u = s.u GROUP BY s.p, e.v)
+        WHERE (p, v) NOT IN (SELECT (p, u) FROM seeds) GROUP BY p) USING (p)""",
+    ),
+    "links": ("rev", "SELECT DISTINCT p, u FROM rev WHERE p < 5"),
+    "zt": ("trank np", "SELECT term, df, floor(0.15 * n / rank)::bigint AS target FROM trank, np"),
     "raw": ("edge", "SELECT ni, nj, dist FROM edge UNION ALL SELECT nj, ni, dist + 1 FROM edge UNION ALL SELECT ni, ni, dist FROM edge"),
     "span": ("dd leaf", "SELECT a.leaf AS l1, b.leaf AS l2, min(d) AS lo, max(d) AS hi FROM dd JOIN leaf a ON a.v = s JOIN leaf b ON b.v = t GROUP BY ALL"),
     "lb": (
@@ -99,14 +112,63 @@ for _i in range(2, 25):
     _relax.append(f"dd{_i} AS MATERIALIZED (SELECT s, t, min(d) AS d FROM (SELECT s, t, d FROM dd{_i - 1} UNION ALL SELECT s, b, d + w FROM dd{_i - 1} JOIN roads ON a = t) GROUP BY s, t)")
 PARTS["dd"] = ("d0 roads", "SELECT s, t, d FROM dd24")
 
+# three greedy steps by one-hop spread, each from its definition: the union of the users of the chosen and one more place
+for _i in (1, 2, 3):
+    _had = "1 = 0" if _i == 1 else "p IN (" + " UNION ALL ".join(f"SELECT p FROM gp{j}" for j in range(1, _i)) + ")"
+    _need = " ".join(["links prob", *(f"gp{j}" for j in range(1, _i))])
+    PARTS[f"gu{_i}"] = (_need, f"SELECT p, u FROM links WHERE NOT ({_had}) UNION SELECT q.p, l.u FROM (SELECT DISTINCT p FROM links WHERE NOT ({_had})) q, (SELECT u FROM links WHERE {_had}) l")
+    PARTS[f"gp{_i}"] = (
+        f"gu{_i}",
+        f"""SELECT p, spread FROM (SELECT p, n + coalesce(gain, 0) AS spread FROM (SELECT p, count(*) AS n FROM gu{_i} GROUP BY p) LEFT JOIN (SELECT p, sum(chance) AS gain FROM (
+        SELECT s.p, e.v, CASE WHEN max(prob) >= 1 THEN 1 ELSE 1 - exp(sum(ln(1 - least(prob, 1 - 1e-15)))) END AS chance FROM gu{_i} s JOIN prob e ON e.u = s.u GROUP BY s.p, e.v) GROUP BY p) USING (p))
+        ORDER BY round(spread, 9) DESC, p LIMIT 1""",
+    )
+# linear thresholds: forty steps, of which the last ones turn nobody on
+PARTS["lt0"] = ("seeds rounds", "SELECT round, u AS node FROM seeds, rounds WHERE p = 0")
+for _i in range(1, 41):
+    PARTS[f"lt{_i}"] = (
+        f"lt{_i - 1} prob",
+        f"""SELECT round, node FROM lt{_i - 1} UNION SELECT round, v FROM (SELECT round, v, sum(prob) AS pull FROM lt{_i - 1} JOIN prob ON prob.u = node GROUP BY round, v)
+        WHERE round(pull, 9) >= ({_hash("'1|lt|' || round || '|' || v")} % 1001) / 1000""",
+    )
+
+
+def _graph_steps(name: str, seed: int, graphs: int = 200) -> None:
+    """Three greedy steps by what places reach in sampled live-edge graphs."""
+    RECURSIVE[f"{name}r"] = (
+        "links prob",
+        f"""SELECT p, range::bigint AS round, u AS node FROM links, range({graphs}) UNION SELECT r.p, r.round, e.v FROM {name}r r JOIN prob e ON e.u = r.node
+        WHERE ({_hash(f"'{seed}|' || r.round || '|' || e.u || '|' || e.v")} % 1001) / 1000 <= e.prob""",
+    )
+    PARTS[f"{name}m"] = (f"{name}r", f"SELECT p, round, node FROM {name}r")
+    for i in (1, 2, 3):
+        had = " UNION ALL ".join(f"SELECT p FROM {name}{j}" for j in range(1, i))
+        gone = f"WHERE (round, node) NOT IN (SELECT (round, node) FROM {name}m WHERE p IN ({had})) AND p NOT IN ({had})" if had else ""
+        need = " ".join([f"{name}m", *(f"{name}{j}" for j in range(1, i))])
+        left = f"(SELECT p, count(*) AS n FROM {name}m {gone} GROUP BY p)"
+        PARTS[f"{name}{i}"] = (need, f"SELECT p, n / {graphs} AS gain FROM {left} ORDER BY n DESC, p LIMIT 1")
+
+
 #: recursive parts, named by what they reach
 RECURSIVE: dict[str, tuple[str, str]] = {
     "comp": ("vertex thin", "SELECT v AS a0, v AS z FROM vertex UNION SELECT a0, b FROM comp JOIN thin ON a = z"),
-    "reached": ("seeds und", "SELECT u AS node FROM seeds WHERE p = 0 AND u < 50 UNION SELECT v FROM reached JOIN und ON und.u = node WHERE und.u % 3 = 0"),
+    "reached": ("seeds und", "SELECT u AS node FROM seeds WHERE p = 0 UNION SELECT v FROM reached JOIN und ON und.u = node"),
     "rr": ("roots live", "SELECT round, node, 0 AS depth FROM roots UNION SELECT rr.round, live.u, least(depth + 1, 40) FROM rr JOIN live ON live.round = rr.round AND live.v = node WHERE depth < 40"),
     "ic": ("seeds rounds live", "SELECT round, u AS node FROM seeds, rounds WHERE p = 0 UNION SELECT ic.round, live.v FROM ic JOIN live ON live.round = ic.round AND live.u = node"),
 }
 
+for _name, _seed in (("celf", 7), ("pmc", 5)):
+    _graph_steps(_name, _seed)
+RECURSIVE["chain"] = (
+    "thin",
+    """SELECT a AS a0, b AS b0, a AS before, b AS last, w AS length FROM thin UNION ALL SELECT c.a0, c.b0, c.last, t.b, c.length + t.w FROM chain c JOIN thin t ON t.a = c.last AND t.b <> c.before
+    WHERE c.last <> c.a0 AND c.last IN (SELECT a FROM thin GROUP BY a HAVING count(*) = 2)""",
+)
+
+
+def _steps(name: str) -> str:
+    return " UNION ALL ".join(f"SELECT {i}::bigint AS step, p, round(gain, 6) AS gain FROM {name}{i}" for i in (1, 2, 3))
+
 
 def _with(names: str, body: str) -> str:
     """The body behind the definitions of the named tables and all that these need."""
@@ -151,7 +213,7 @@ SQL: dict[str, str] = {
     "drop_isolated": _with("vertex edge", "SELECT * FROM vertex WHERE v IN (SELECT unnest([ni, nj]) FROM edge WHERE ni % 7 <> 0 AND nj % 7 <> 0)"),
     "component_labels": _with("comp", "SELECT a0 AS v, min(z) AS root FROM comp GROUP BY a0"),
     "largest_component": _with("comp", "SELECT a0 AS v FROM comp GROUP BY a0 HAVING count(*) = (SELECT max(c) FROM (SELECT count(*) AS c FROM comp GROUP BY a0))"),
-    "dense_reid": _with("checkin", "SELECT u, row_number() OVER (ORDER BY u) - 1 AS id FROM (SELECT DISTINCT u FROM checkin WHERE p % 2 = 0)"),
+    "dense_reid": _with("checkin", "SELECT u, row_number() OVER (ORDER BY u) - 1 AS id FROM (SELECT DISTINCT u FROM checkin)"),
     "term_rank_by_df": _with("trank", "SELECT term, df, rank FROM trank"),
     "friends_capped": _with("friend", "SELECT * FROM friend WHERE u < 100 AND v < 100"),
     "coordinate_ranges": _with("vertex", "SELECT min(x) AS min_x, max(x) AS max_x, min(y) AS min_y, max(y) AS max_y FROM vertex"),
@@ -165,10 +227,10 @@ SQL: dict[str, str] = {
     "posting_size": _with("user_term poi_term", "SELECT term, coalesce(n_pois, 0) AS n_pois, coalesce(n_users, 0) AS n_users FROM (SELECT term, count(*)::bigint AS n_pois FROM poi_term GROUP BY term) FULL JOIN (SELECT term, count(*)::bigint AS n_users FROM user_term GROUP BY term) USING (term)"),
     "relevance_pairs": _with("rel", "SELECT u, p, round(rel, 6) AS rel FROM rel"),
     "group_keywords": _with("poi_term ask", "SELECT DISTINCT term FROM poi_term JOIN ask USING (p)"),
-    "group_keywords_le200": _with("poi_term ask trank", "SELECT DISTINCT term, rank FROM poi_term JOIN ask USING (p) JOIN trank USING (term) WHERE rank <= 10"),
+    "group_keywords_le200": _with("poi_term ask trank", "SELECT DISTINCT term, rank FROM poi_term JOIN ask USING (p) JOIN trank USING (term) WHERE rank <= 200"),
     "extended_jaccard": _with(
         "checkin user_term",
-        """SELECT n1, n2, round(dot / (s1 + s2 - dot), 6) AS sim FROM (WITH c AS (SELECT p, term, count(*) AS n FROM checkin JOIN user_term USING (u) WHERE p < 20 GROUP BY ALL), q AS (SELECT p, sum(n * n)::double AS s FROM c GROUP BY p)
+        """SELECT n1, n2, round(dot / (s1 + s2 - dot), 6) AS sim FROM (WITH c AS (SELECT p, term, count(*) AS n FROM checkin JOIN user_term USING (u) GROUP BY ALL), q AS (SELECT p, sum(n * n)::double AS s FROM c GROUP BY p)
         SELECT a.p AS n1, b.p AS n2, sum(a.n * b.n)::double AS dot, any_value(x.s) AS s1, any_value(y.s) AS s2 FROM c a JOIN c b USING (term) JOIN q x ON x.p = a.p JOIN q y ON y.p = b.p WHERE a.p < b.p GROUP BY a.p, b.p)""",
     ),
     "friend_checkin_counts": _with("fc", "SELECT * FROM fc"),
@@ -187,7 +249,7 @@ SQL: dict[str, str] = {
     "node_distance_bounds": _with("lb", "SELECT n1 // 4 AS n1, n2 // 4 AS n2, min(dmin) AS dmin, max(dmax) AS dmax FROM lb WHERE n1 // 4 <> n2 // 4 GROUP BY ALL"),
     "leaf_diameter": _with("dd leaf", "SELECT a.leaf, max(d) AS far FROM dd JOIN leaf a ON a.v = s JOIN leaf b ON b.v = t WHERE a.leaf = b.leaf GROUP BY a.leaf"),
     "first_hops": _with("dd roads", "SELECT x.s, x.t, min(b) AS hop FROM dd x JOIN roads ON a = x.s JOIN dd y ON y.s = b AND y.t = x.t WHERE x.s <> x.t AND abs(w + y.d - x.d) < 1e-9 GROUP BY x.s, x.t"),
-    "euclid_knn": _with("vertex", "SELECT q, v, round(dist, 6) AS dist FROM (SELECT a.v AS q, b.v, sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)) AS dist, row_number() OVER (PARTITION BY a.v ORDER BY sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)), b.v) AS r FROM vertex a, vertex b WHERE a.v <> b.v AND a.v < 5) WHERE r <= 4"),
+    "euclid_knn": _with("vertex", "SELECT q, v, round(dist, 6) AS dist FROM (SELECT a.v AS q, b.v, sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)) AS dist, row_number() OVER (PARTITION BY a.v ORDER BY sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)), b.v) AS r FROM vertex a, vertex b WHERE a.v <> b.v) WHERE r <= 4"),
     "window_rectangle": _with("vertex", "SELECT * FROM vertex WHERE x BETWEEN 1 AND 3 AND y BETWEEN 1 AND 2"),
     "morton_codes": _with("vertex", "SELECT v, (SELECT sum((((x::bigint >> i) & 1) << (2 * i)) + (((y::bigint >> i) & 1) << (2 * i + 1))) FROM (VALUES (0), (1), (2), (3)) b(i))::bigint AS code FROM vertex"),
     "edge_keys": _with("edge", "SELECT ni * 25 + nj AS key, ni, nj FROM edge"),
@@ -205,7 +267,7 @@ SQL: dict[str, str] = {
     "user_kth_score": _with("kth", "SELECT u, round(rk, 6) AS rk FROM kth"),
     "reverse_topk_batch": _with("rev", f"SELECT {_RESULT} FROM rev WHERE p < 5"),
     "reverse_topk_single": _with("rev", f"SELECT {_RESULT} FROM rev WHERE p = 0"),
-    "reverse_topk_nonstrict": _with("scored kth", f"SELECT {_RESULT} FROM (SELECT s.*, coalesce(k.rk, 0.0) AS rk FROM scored s LEFT JOIN kth k USING (u)) WHERE p < 5 AND score >= rk"),
+    "reverse_topk_nonstrict": _with("scored kth", f"SELECT {_RESULT} FROM (SELECT s.*, coalesce(k.rk, 0.0) AS rk FROM (SELECT * FROM scored WHERE p < 5) s LEFT JOIN kth k USING (u)) WHERE score >= rk"),
     "reverse_topk_bound": _with("rev", f"SELECT {_RESULT} FROM rev WHERE p < 5"),
     "reverse_topk_given_keywords": _with(
         "user_term poi_term idf soc far kth",
@@ -228,6 +290,21 @@ SQL: dict[str, str] = {
     "rr_cover": _with("rr seeds", "SELECT count(DISTINCT round)::bigint AS covered FROM rr JOIN seeds ON seeds.u = node WHERE p < 2"),
     "mc_spread_ic": _with("ic", f"SELECT round(count(*) / {ROUNDS}, 6) AS spread FROM (SELECT DISTINCT round, node FROM ic)"),
     "one_hop_spread": _with("onehop", "SELECT p, round(spread, 6) AS spread FROM onehop"),
+    "one_hop_spread_outer": _with("onehop2", "SELECT p, round(spread, 6) AS spread FROM onehop2"),
+    "mc_spread_lt": _with("lt40", f"SELECT round(count(*) / {ROUNDS}, 6) AS spread FROM lt40"),
+    "junction_chains": _with("chain", "SELECT a0 AS a, b0 AS b, last AS \"end\", length FROM chain WHERE last = a0 OR last NOT IN (SELECT a FROM thin GROUP BY a HAVING count(*) = 2)"),
+    "zipf_rewrite": _with(
+        "poi_term zt np",
+        f"""SELECT p, term FROM (SELECT p, term, target, row_number() OVER (PARTITION BY term ORDER BY {_hash("'1|zipf|' || p || '|' || term")}, p) AS rn FROM poi_term JOIN zt USING (term)) WHERE rn <= target
+        UNION ALL SELECT p, term FROM (SELECT p, term, lack, row_number() OVER (PARTITION BY term ORDER BY i) AS rn FROM (SELECT term, lack, {_hash("'1|add|' || term || '|' || i")} % n AS p, min(i) AS i
+        FROM (SELECT term, target - df AS lack, unnest(range(2 * (target - df) + 11)) AS i FROM zt WHERE target > df), np GROUP BY ALL) WHERE (p, term) NOT IN (SELECT (p, term) FROM poi_term)) WHERE rn <= lack""",
+    ),
+    "select_greedy_onehop": _with(
+        "gp1 gp2 gp3",
+        "SELECT 1::bigint AS step, p, round(spread, 6) AS gain FROM gp1 UNION ALL SELECT 2, gp2.p, round(gp2.spread - gp1.spread, 6) FROM gp2, gp1 UNION ALL SELECT 3, gp3.p, round(gp3.spread - gp2.spread, 6) FROM gp3, gp2",
+    ),
+    "select_celf": _with("celf1 celf2 celf3", _steps("celf")),
+    "select_pmc": _with("pmc1 pmc2 pmc3", _steps("pmc")),
     "select_cardinality": _with("rev", "SELECT p, count(*)::bigint AS n FROM rev WHERE p < 5 GROUP BY p ORDER BY n DESC, p LIMIT 3"),
     "select_relevance": _with("rel far", "SELECT p, count(DISTINCT u)::bigint AS n FROM rel JOIN far USING (u, p) WHERE p < 5 AND dist < 20 GROUP BY p ORDER BY n DESC, p LIMIT 3"),
     "select_influencer": _with("rev prob", "SELECT p, count(*)::bigint AS n FROM rev WHERE p < 5 AND u IN (SELECT u FROM (SELECT u, sum(prob) AS s FROM prob GROUP BY u) WHERE u IN (SELECT u FROM rev WHERE p < 5) ORDER BY round(s, 9) DESC, u LIMIT 201) GROUP BY p ORDER BY n DESC, p LIMIT 3"),

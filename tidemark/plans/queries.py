@@ -13,7 +13,7 @@ from tidemark.plans.cuts import cut
 from tidemark.sources.fixtures import Domain
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ROUNDS, BUDGET = 16, 5
+ROUNDS, BUDGET, GRAPHS = 16, 5, 200
 
 
 def query(f: Callable[[Domain], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -127,8 +127,8 @@ def component_labels(t: Domain) -> DataFrame:
 
 @query
 def dense_reid(t: Domain) -> DataFrame:
-    """Users with check-ins at places of even number, numbered anew."""
-    some = t.checkin.where("p % 2 = 0").select("u").distinct()
+    """Users with check-ins, numbered anew."""
+    some = t.checkin.select("u").distinct()
     return clean.dense_ids(some, "u", [F.asc("u")]).select("u", "id")
 
 
@@ -221,15 +221,15 @@ def group_keywords(t: Domain) -> DataFrame:
 
 @query
 def group_keywords_le200(t: Domain) -> DataFrame:
-    """Terms of a group among the ten commonest: the ranks take the part of term numbers."""
+    """Terms of a group with numbers up to 200: the ranks take the part of term numbers."""
     rank = clean.term_rank_by_df(t.poi_term)
-    return text.group_keywords(t.poi_term, t.query_poi).join(rank, "term").where("rank <= 10").select("term", "rank")
+    return text.group_keywords(t.poi_term, t.query_poi).join(rank, "term").where("rank <= 200").select("term", "rank")
 
 
 @query
 def extended_jaccard(t: Domain) -> DataFrame:
-    """Of the first twenty places' users' terms, place against place."""
-    counts = t.checkin.where("p < 20").join(t.user_term, "u").groupBy(F.col("p").alias("node"), "term").agg(F.count("*").alias("cnt"))
+    """Of the terms of places' users, place against place."""
+    counts = t.checkin.join(t.user_term, "u").groupBy(F.col("p").alias("node"), "term").agg(F.count("*").alias("cnt"))
     return text.node_jaccard(counts).select(*six("n1", "n2", "sim~"))
 
 
@@ -327,7 +327,7 @@ def first_hops(t: Domain) -> DataFrame:
 
 @query
 def euclid_knn(t: Domain) -> DataFrame:
-    return road.euclid_knn(t.road_vertex.where("v < 5"), t.road_vertex, 4).select(*six("q", "v", "dist~")).withColumn("dist", F.col("dist"))
+    return road.euclid_knn(t.road_vertex, t.road_vertex, 4).select(*six("q", "v", "dist~")).withColumn("dist", F.col("dist"))
 
 
 @query
@@ -504,14 +504,13 @@ def live_edges(t: Domain) -> DataFrame:
 
 
 def _seeds(t: Domain) -> DataFrame:
-    """Places of the query with the users who checked in there, the first thirty each."""
-    rows = t.checkin.join(t.query_poi, "p", "left_semi")
-    return road.nearest(rows, ["p"], ["u"], 30).select("p", "u")
+    """Places of the query with all users who checked in there."""
+    return t.checkin.join(t.query_poi, "p", "left_semi").select("p", "u").distinct()
 
 
 @query
 def reachable_users(t: Domain) -> DataFrame:
-    return selection.reachable_users(_seeds(t).where("p = 0 and u < 50"), t.friend_und.where("u % 3 = 0")).select("node")
+    return selection.reachable_users(_seeds(t).where("p = 0"), t.friend_und).select("node")
 
 
 @query
@@ -596,33 +595,33 @@ def _links(t: Domain) -> DataFrame:
 
 @query
 def select_greedy_onehop(t: Domain) -> DataFrame:
-    return selection.greedy_one_hop(_links(t), cut(_edges(t), "edges"), 3).frame(t.spark)
+    return selection.greedy_one_hop(_links(t), cut(_edges(t), "edges"), 3).frame(t.spark).select(*six("step", "p", "gain~"))
 
 
 @query
 def select_opimc(t: Domain) -> DataFrame:
-    return selection.opimc(t.spark, cut(_edges(t), "edges"), _links(t), t.n_users, 5, 3, epsilon=0.3, most_sets=2048).frame(t.spark)
+    return selection.opimc(t.spark, cut(_edges(t), "edges"), _links(t), t.n_users, 5, 3).frame(t.spark, "sets", "ratio", "estimate")
 
 
 @query
 def select_hybrid(t: Domain) -> DataFrame:
     edges, links = cut(_edges(t), "edges"), _links(t)
-    return selection.opimc(t.spark, edges, links, t.n_users, 5, 3, epsilon=0.3, most_sets=2048, local=cut(diffusion.one_hop(links, edges), "local")).frame(t.spark)
+    return selection.opimc(t.spark, edges, links, t.n_users, 5, 3, local=cut(diffusion.one_hop(links, edges), "local")).frame(t.spark, "sets", "ratio", "estimate")
 
 
 @query
 def select_imm(t: Domain) -> DataFrame:
-    return selection.imm(t.spark, cut(_edges(t), "edges"), _links(t), t.n_users, 5, 3, epsilon=0.3, most_sets=2048).frame(t.spark)
+    return selection.imm(t.spark, cut(_edges(t), "edges"), _links(t), t.n_users, 5, 3).frame(t.spark, "sets", "low", "estimate")
 
 
 @query
 def select_celf(t: Domain) -> DataFrame:
-    return selection.celf(t.spark, cut(_edges(t), "edges"), _links(t), 2, 20).frame(t.spark)
+    return selection.celf(t.spark, cut(_edges(t), "edges"), _links(t), 3, GRAPHS).frame(t.spark).select(*six("step", "p", "gain~"))
 
 
 @query
 def select_pmc(t: Domain) -> DataFrame:
-    return selection.pmc(t.spark, cut(_edges(t), "edges"), _links(t), 3, 20).frame(t.spark)
+    return selection.pmc(t.spark, cut(_edges(t), "edges"), _links(t), 3, GRAPHS).frame(t.spark).select(*six("step", "p", "gain~"))
 
 
 @query
