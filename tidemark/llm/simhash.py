@@ -72,12 +72,32 @@ def _ball(bits: int, radius: int) -> np.ndarray:
     return np.array([sum(1 << i for i in c) for r in range(radius + 1) for c in combinations(range(bits), r)], np.uint64)
 
 
-def _distinct(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    order = np.lexsort((b, a))
+def nearest_forest(a: np.ndarray, b: np.ndarray, times: int = 2) -> tuple[np.ndarray, np.ndarray]:
+    """Those of the links a-b between fingerprints that make a spanning forest of least distances: whatever a chain of links
+    of some distance or less joins, these join by such links too.  Then, of what is left, another one, and so on, so that
+    a link that turns out to be none has a way around it."""
+    order = np.lexsort((b, a, np.bitwise_count(a ^ b)))
     a, b = a[order], b[order]
     new = np.ones(len(a), bool)
     new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
-    return a[new], b[new]
+    a, b = a[new], b[new]
+    nodes, ix = np.unique(np.concatenate([a, b]), return_inverse=True)
+    take, left = [], list(enumerate(zip(ix[: len(a)].tolist(), ix[len(a) :].tolist())))
+    for _ in range(times):
+        up, over = list(range(len(nodes))), []
+        for n, (x, y) in left:
+            p, q = x, y
+            while up[p] != p:
+                up[p] = p = up[up[p]]
+            while up[q] != q:
+                up[q] = q = up[up[q]]
+            if p != q:
+                up[max(p, q)] = min(p, q)
+                take.append(n)
+            else:
+                over.append((n, (x, y)))
+        left = over
+    return a[take], b[take]
 
 
 def _meet(fp: np.ndarray, top: np.ndarray, left: np.ndarray, bits: int, radius: int, most: int, forest: bool = True) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -117,7 +137,7 @@ def _meet(fp: np.ndarray, top: np.ndarray, left: np.ndarray, bits: int, radius:
     link = centre != x
     a, b = centre[link], x[link]
     near = np.bitwise_count(a ^ b) <= 2 * radius
-    return [(local_forest if forest else _distinct)(a[near], b[near])]
+    return [(local_forest if forest else nearest_forest)(a[near], b[near])]
 
 
 def _next(low: int, width: int) -> F.Column:
@@ -149,8 +169,8 @@ def fingerprint_links(fps: DataFrame, column: str = "fp", distance: int = 4, bit
     """Links (a, b) between distinct fingerprints, enough to join all those that chains of links join.
 
     Every two fingerprints at `distance` (even) or fewer differing bits meet in a variant; all that meet in one are
-    linked to its smallest, after a check of the distance.  A task emits a spanning forest of what it found, or every
-    distinct link (forest false).  Only the last `bits` bits may differ; those above tell tables of fingerprints apart.
+    linked to its smallest, after a check of the distance.  A task emits a spanning forest of what it found; with forest
+    false one of least distances, of links that it found, so that they can be verified.  Only the last `bits` bits may differ; those above tell tables of fingerprints apart.
 
     Variants with one prefix are unfolded by one task, in bounded numbers.  A prefix that more than most_rows
     fingerprints can have is split by its next eight bits, and again while need be, so that neither many fingerprints nor
@@ -175,35 +195,35 @@ def fingerprint_links(fps: DataFrame, column: str = "fp", distance: int = 4, bit
 
 
 def _unfolded(rows: DataFrame, low: int, radius: int, most_variants: int, forest: bool) -> DataFrame:
-    """Links among rows (fp, prefix, left) that share a prefix, all but the last `low` bits of a variant."""
-    rows = rows.select("fp", "prefix", F.col("left").cast("byte").alias("left")).repartition("prefix").sortWithinPartitions("prefix")
+    """Links among rows (fp, prefix) that share a prefix, all but the last `low` bits of a variant."""
+    rows = rows.select("fp", "prefix").repartition("prefix").sortWithinPartitions("prefix")
 
     def run(batches):
         links: list[tuple[np.ndarray, np.ndarray]] = []
         held, cost = [], 0
 
         def work(parts):
-            fp, prefix, left = (np.concatenate(x) for x in zip(*parts))
-            links.extend(_meet(fp, prefix, left.astype(np.int64), low, radius, most_variants, forest))
+            fp, prefix = (np.concatenate(x) for x in zip(*parts))
+            left = radius - np.bitwise_count((fp >> np.uint64(low)) ^ prefix).astype(np.int64)
+            links.extend(_meet(fp, prefix, left, low, radius, most_variants, forest))
 
         def settle():
             a, b = (np.concatenate(x) for x in zip(*links)) if links else (np.zeros(0, np.uint64),) * 2
             links.clear()
-            return local_forest(a, b) if forest else _distinct(a, b)
+            return local_forest(a, b) if forest else nearest_forest(a, b)
 
         for b in batches:
             fp = b.column("fp").to_numpy().view(np.uint64)
             prefix = b.column("prefix").to_numpy().view(np.uint64)
-            left = b.column("left").to_numpy()
             edges = np.flatnonzero(np.diff(prefix)) + 1
             step = max(1, (most_variants * 3) // 50 // 4)  # about 12 variants a row on average
             at = 0
             for e in edges:
                 if cost + e - at > step:
-                    held.append((fp[at:e], prefix[at:e], left[at:e]))
+                    held.append((fp[at:e], prefix[at:e]))
                     work(held)
                     held, cost, at = [], 0, e
-            held.append((fp[at:], prefix[at:], left[at:]))
+            held.append((fp[at:], prefix[at:]))
             cost += len(fp) - at
             if sum(len(x[0]) for x in links) > 1 << 20:
                 links.append(settle())
