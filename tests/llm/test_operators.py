@@ -235,9 +235,33 @@ def test_embeddings(spark):
         assert (out[i]["n_links"], out[i]["component_id"], out[i]["kept"]) == (len(links[i]), min(seen), min(seen) == i)
     assert embedding_groups(df.limit(0)).count() == 0
     unit = x / np.linalg.norm(x, axis=1, keepdims=True)
-    q, step, err = quantise(unit)
-    approx = (q.astype(float) @ q.T.astype(float)) * step[:, None] * step[None, :]
-    assert (np.abs(approx - unit @ unit.T) <= err[:, None] + (1 + err[:, None]) * err[None, :]).all()
+    q = quantise(unit)
+    rows = np.arange(len(unit))
+    for near, err in ((q.coarse * q.step[:, None], q.error), (q.near(rows), q.fine_error)):
+        assert (np.abs(near @ near.T - unit @ unit.T) <= err[:, None] + (1 + err[:, None]) * err[None, :]).all()
+    assert q.fine_error.max() < q.error.min() / 50
+
+
+def test_pairs_that_rounding_leaves_open(spark):
+    """Cosines a hair above and below the threshold, between copies in any number, and rows with null and repeated keys."""
+    rng = np.random.default_rng(5)
+    vs = []
+    for gap in (1e-7, -1e-7, 3e-6, -3e-6, 1e-3, -1e-3):
+        a = rng.standard_normal(24)
+        b = rng.standard_normal(24)
+        a /= np.linalg.norm(a)
+        b -= (b @ a) * a
+        b /= np.linalg.norm(b)
+        c = 0.95 + gap
+        vs += [a, c * a + np.sqrt(1 - c * c) * b]
+    data = [(i, v.tolist()) for i, v in enumerate(vs)] + [(0, vs[0].tolist()), (20, vs[1].tolist()), (None, vs[0].tolist())]
+    out = embedding_groups(spark.createDataFrame(data, "vec_id long, embedding array<double>"), tile_rows=4).collect()
+    got = {}
+    for r in out:
+        got.setdefault(r["vec_id"], []).append((r["n_links"], r["component_id"]))
+    assert got[0] == [(3, 0), (3, 0)] and got[1] == [(3, 0)] and got[20] == [(3, 0)] and got[None] == [(0, None)]
+    assert got[2] == [(0, 2)] and got[3] == [(0, 3)] and got[4] == [(1, 4)] and got[5] == [(1, 4)]
+    assert got[6] == [(0, 6)] and got[7] == [(0, 7)] and got[9] == [(1, 8)] and got[11] == [(0, 11)]
 
 
 # --- language model ----------------------------------------------------------------------------------------------
