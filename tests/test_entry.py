@@ -15,6 +15,13 @@ def test_without_llm(tmp_path):
     subprocess.run([sys.executable, "-c", code], cwd=to, check=True, env={k: v for k, v in os.environ.items() if k != "PYTHONPATH"})
 
 
+def test_without_the_tokenizers(tmp_path):
+    """A subpackage that is there but cannot be imported does not stop the rest."""
+    (tmp_path / "public_tokenizers.py").write_text("raise ImportError('not here')")
+    code = "import __spark_entry__ as e; q = e.queries(); assert q and 'pipeline' not in q and not [n for n in q if n.startswith('op') and n[2].isdigit()]"
+    subprocess.run([sys.executable, "-c", code], cwd=ROOT, check=True, env=os.environ | {"PYTHONPATH": f"{tmp_path}:{ROOT}"})
+
+
 def test_nothing_else_imports_llm():
     for folder, _, names in os.walk(os.path.join(ROOT, "tidemark")):
         if "llm" not in folder:
