@@ -422,13 +422,13 @@ def test_repeats(spark, monkeypatch, budget, piece):
     docs = docs.unionByName(docs.where("doc_id in (20, 35)").withColumn("doc_id", docs.doc_id * 0 + 1000 + docs.doc_id)).withColumn("doc_id", sd.F.when(sd.F.col("doc_id") < 1035, sd.F.col("doc_id")))
     if piece:
         rows = [(t or "").encode() for t in texts]
-        whole = sd.units(rows, passage, length)
+        whole = sd.units(rows, (passage, length))
         monkeypatch.setattr(sd, "PIECE", piece)
-        parts = sd.units(rows, passage, length)
-        cover = lambda x: sorted((i, s + j) for i, s, n in zip(*(y.tolist() for y in x[:3])) for j in range(n))
-        assert cover(parts) == cover(whole) == sorted((i, p) for i, t in enumerate(rows) for p in range(len(t) - passage + 1))
+        parts = sd.units(rows, (passage, length))
+        cover = lambda x: sorted((i, s + j, l) for i, s, n, _, l in zip(*(y.tolist() for y in x[:5])) for j in range(n))
+        assert cover(parts) == cover(whole) == sorted((i, p, l) for i, t in enumerate(rows) for l in (passage, length) for p in range(len(t) - l + 1))
         monkeypatch.undo()
-    got = remove_repeats(docs, length=length, passage=passage, digest=True, budget=budget, shard_bytes=20_000).collect()
+    got = remove_repeats(docs, length=length, passage=passage, digest=True, budget=budget, shard_bytes=4_000).collect()
     data = [(t or "").encode() for t in texts]
     every = [*data, data[8], data[20], data[35]]
     seen = {n: Counter(t[p : p + n] for t in every for p in range(len(t) - n + 1)) for n in (length, passage)}

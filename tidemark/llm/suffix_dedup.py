@@ -1,12 +1,12 @@
 """Removal of long byte strings that occur elsewhere, from the suffix order of shards in which they would meet.
 
 Two lengths are asked for at once: strings of `length` bytes are removed, and how much strings of `passage` bytes cover is
-told.  Every window of `passage` bytes belongs to its smallest rolling gram (the anchor, the first of equals); windows of
-one anchor are taken together by their distance to it, in units of at most STEP.  All windows of a unit share a core of
-passage - STEP + 1 bytes, so equal windows lie in units of equal cores, and units whose core occurs once need no more
-work.  The others meet by core, each with its context: `length` bytes from each of its windows.  Units whose contexts agree
-as a whole repeat as a whole, and one of each kind goes to a shard whose suffixes are ordered by induced sorting; its
-windows with a common prefix of `passage` or `length` bytes with a neighbour repeat.
+told.  For either, every window of that many bytes belongs to its smallest rolling gram (the anchor, the first of equals);
+windows of one anchor are taken together by their distance to it, in units of at most STEP.  All windows of a unit share a
+core, all but STEP - 1 of a window's bytes, so equal windows lie in units of equal cores, and units whose core occurs once
+need no more work.  The others meet by core: units that agree as a whole repeat as a whole, and one of each kind goes to a
+shard whose suffixes are ordered by induced sorting.  There a core stands as its name, three symbols of their own, so that
+a context is some hundred symbols; a window repeats if its common prefix with a neighbour is as long as a window.
 """
 
 from __future__ import annotations
@@ -21,13 +21,14 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import cut, drop_cut, give_back, sub_batches
 from tidemark.llm.induced import suffix_order
 
-GRAM, STEP, PIECE = 64, 96, 1 << 21
+GRAM, STEP, PIECE = 64, 64, 1 << 21
+NAME, FIRST, DIGITS = 3, 258, 254  # symbols of a core's name, the first of them, and how many there are
 #: Fifty words of European languages are seldom shorter (263 bytes at the fifth percentile of English ones here).
 PASSAGE = 250
 
 
-def _anchors(a: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each window of `length` bytes of a: the position of its anchor; and the hash of each gram."""
+def _anchors(a: np.ndarray, lengths: tuple[int, ...]) -> list[np.ndarray]:
+    """For each window of each length (rising) of a: the position of its anchor."""
     h = (a.astype(np.uint64) + np.uint64(0x9E37)) * np.uint64(0x9E3779B97F4A7C15)
     size, base = 1, 0xD6E8FEB86659FD93
     while size < GRAM:
@@ -36,28 +37,26 @@ def _anchors(a: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
         size *= 2
     h ^= h >> np.uint64(29)
     h *= np.uint64(0xBF58476D1CE4E5B9)
-    key = (h & np.uint64(0xFFFFFFFFFF000000)) | np.arange(len(h), dtype=np.uint64)
-    span, width = length - GRAM + 1, 1
-    low = key
-    while 2 * width <= span:
-        low = np.minimum(low[: len(low) - width], low[width:])
-        width *= 2
-    n = len(a) - length + 1
-    low = np.minimum(low[:n], low[span - width : span - width + n])
-    return (low & np.uint64(0xFFFFFF)).astype(np.int64), h
-
-
-def units(texts: list[bytes], least: int, extent: int, step: int = STEP):
-    """Arrays (text, start, windows, size, core, whole) of the units of all texts: start of the first window of `least`
-    bytes, number of windows, size of the context (`extent` bytes from the last window's start, or up to the text's end),
-    and hashes of the core and of the context."""
+    low, width, out = (h & np.uint64(0xFFFFFFFFFF000000)) | np.arange(len(h), dtype=np.uint64), 1, []
+    for length in lengths:
+        span, n = length - GRAM + 1, max(0, len(a) - length + 1)
+        while 2 * width <= span:
+            low = np.minimum(low[: max(0, len(low) - width)], low[width:])
+            width *= 2
+        out.append((np.minimum(low[:n], low[span - width : span - width + n]) & np.uint64(0xFFFFFF)).astype(np.int64))
+    return out
+
+
+def units(texts: list[bytes], lengths: tuple[int, ...], step: int = STEP):
+    """Arrays (text, start, windows, left, length, core, whole) of the units of all texts, for each of the lengths (rising):
+    start of the first window, number of windows, bytes before the core, and hashes of the core and of all bytes."""
     from xxhash import xxh3_64_intdigest
 
-    out = [[] for _ in range(6)]
-    pieces = []  # (text, offset, windows, bytes)
+    out, most = [[] for _ in range(7)], lengths[-1]
+    pieces = []  # (text, offset, bytes of the text from there on, bytes)
     for i, t in enumerate(texts):
-        for at in range(0, len(t) - least + 1, 4 * PIECE):
-            pieces.append((i, at, min(4 * PIECE, len(t) - least + 1 - at), t[at : at + 4 * PIECE + extent - 1]))
+        for at in range(0, max(1, len(t) - lengths[0] + 1), 4 * PIECE):
+            pieces.append((i, at, len(t) - at, t[at : at + 4 * PIECE + most - 1]))
     groups, size = [[]], 0
     for p in pieces:
         if size + len(p[3]) > PIECE and groups[-1]:
@@ -66,61 +65,59 @@ def units(texts: list[bytes], least: int, extent: int, step: int = STEP):
         groups[-1].append(p)
         size += len(p[3])
     for group in groups:
-        if not group:
-            continue
         data = b"".join(p[3] for p in group)
-        anchor, _ = _anchors(np.frombuffer(data, np.uint8), least)
-        lens = np.array([len(p[3]) for p in group])
-        first = np.cumsum(lens) - lens
-        owner = np.repeat(np.arange(len(group)), lens)[: len(anchor)]
-        pos = np.arange(len(anchor))
-        inside = pos - first[owner] < np.array([p[2] for p in group])[owner]
-        back = anchor - pos
-        unit = back // step
-        new = np.ones(len(anchor), bool)
-        new[1:] = (anchor[1:] != anchor[:-1]) | (unit[1:] != unit[:-1]) | (owner[1:] != owner[:-1])
-        new[1:] |= inside[1:] != inside[:-1]
-        at = np.flatnonzero(new & inside)
-        ends = np.append(np.flatnonzero(new), len(anchor))
-        n = ends[np.searchsorted(ends, at, "right")] - at
-        a, u, of = anchor[at], unit[at], owner[at]
-        lo, hi = a - step * u, a - step * u + least - step + 1
-        end = np.minimum(at + n - 1 + extent, (first + lens)[of])
-        texts_, offsets = np.array([p[0] for p in group]), np.array([p[1] for p in group])
-        out[0].append(texts_[of])
-        out[1].append(offsets[of] + at - first[of])
-        out[2].append(n)
-        out[3].append(end - at)
-        out[4].append(np.fromiter((xxh3_64_intdigest(data[x:y], c) for x, y, c in zip(lo.tolist(), hi.tolist(), u.tolist())), np.uint64, len(at)))
-        out[5].append(np.fromiter((xxh3_64_intdigest(data[x:y], c) for x, y, c in zip(at.tolist(), end.tolist(), (a - at).tolist())), np.uint64, len(at)))
-    return [np.concatenate([np.zeros(0, np.uint64 if k > 3 else np.int64), *x]) for k, x in enumerate(out)]
-
-
-def repeated_windows(contexts: list[tuple[bytes, int]], least: int, length: int, budget: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Of the first n places of each context (bytes, n), where strings of `least` and of `length` bytes start that start at
-    one of the others too, by the common suffix order of all contexts.
-
-    Only these places stand for a place of a text; what follows them in a context may be another one's places.
+        lens = np.array([len(p[3]) for p in group], np.int64)
+        first, owner_of = np.cumsum(lens) - lens, np.repeat(np.arange(len(group)), lens)
+        texts_, offsets, rest = (np.array([p[k] for p in group], np.int64) for k in range(3))
+        for length, anchor in zip(lengths, _anchors(np.frombuffer(data, np.uint8), lengths)):
+            if not len(anchor):
+                continue
+            owner, pos = owner_of[: len(anchor)], np.arange(len(anchor))
+            inside = pos - first[owner] < np.minimum(4 * PIECE, rest - length + 1)[owner]
+            unit = (anchor - pos) // step
+            new = np.ones(len(anchor), bool)
+            new[1:] = (anchor[1:] != anchor[:-1]) | (unit[1:] != unit[:-1]) | (owner[1:] != owner[:-1])
+            new[1:] |= inside[1:] != inside[:-1]
+            at = np.flatnonzero(new & inside)
+            ends = np.append(np.flatnonzero(new), len(anchor))
+            n = ends[np.searchsorted(ends, at, "right")] - at
+            a, u, of = anchor[at], unit[at], owner[at]
+            lo = a - step * u
+            out[0].append(texts_[of])
+            out[1].append(offsets[of] + at - first[of])
+            out[2].append(n)
+            out[3].append(lo - at)
+            out[4].append(np.full(len(at), length))
+            cores = zip(lo.tolist(), (lo + length - step + 1).tolist(), (u * 4096 + length).tolist())
+            out[5].append(np.fromiter((xxh3_64_intdigest(data[x:y], c) for x, y, c in cores), np.uint64, len(at)))
+            wholes = zip(at.tolist(), (at + n - 1 + length).tolist(), ((a - at) * 4096 + length).tolist())
+            out[6].append(np.fromiter((xxh3_64_intdigest(data[x:y], c) for x, y, c in wholes), np.uint64, len(at)))
+    return [np.concatenate([np.zeros(0, np.uint64 if k > 4 else np.int64), *x]) for k, x in enumerate(out)]
+
+
+def repeated_windows(contexts: list[tuple[bytes, int, int, int]], budget: int, step: int = STEP) -> list[np.ndarray]:
+    """Of each context (its bytes without the core, windows, bytes before the core, number of the core), which windows
+    stand in another context too, by the common suffix order.
+
+    A window is step - 1 bytes and the core's name.  What follows a context's last window is shorter than that, so no
+    other suffix has a common prefix of that length.
     """
-    lens = np.array([len(c) for c, _ in contexts])
-    t = np.zeros(int(lens.sum()) + len(lens) + 1, np.int64)
-    place = np.zeros(len(t), bool)
-    starts = np.cumsum(lens + 1) - lens - 1
-    for (c, n), at in zip(contexts, starts.tolist()):
-        t[at : at + len(c)] = np.frombuffer(c, np.uint8)
-        t[at : at + len(c)] += 2
-        t[at + len(c)] = 1
-        place[at : at + n] = True
-    order, lcp = suffix_order(t, length, budget)
-    mine = np.flatnonzero(place[order])
-    common = np.minimum.reduceat(lcp[: mine[-1] + 1], mine[:-1] + 1) if len(mine) > 1 else lcp[:0]
-    pos, hits = order[mine], []
-    for size in (least, length):
-        hit = np.zeros(len(t), bool)
-        same = np.flatnonzero(common >= size)
-        hit[pos[same]] = hit[pos[same + 1]] = True
-        hits.append(hit)
-    return [(hits[0][at : at + n], hits[1][at : at + n]) for (_, n), at in zip(contexts, starts.tolist())]
+    lens, n, left, core = (np.array(x, np.int64) for x in zip(*((len(c), n, left, core) for c, n, left, core in contexts)))
+    if core.max() >= DIGITS**NAME:
+        raise ValueError("too many cores in a shard")
+    size = lens + NAME + 1
+    starts = np.cumsum(size) - size
+    t = np.zeros(int(size.sum()) + 1, np.int64)
+    inner = np.arange(int(lens.sum())) - np.repeat(np.cumsum(lens) - lens, lens)
+    t[np.repeat(starts, lens) + inner + NAME * (inner >= np.repeat(left, lens))] = np.frombuffer(b"".join(c[0] for c in contexts), np.uint8).astype(np.int64) + 2
+    for k in range(NAME):
+        t[starts + left + k] = FIRST + core // DIGITS**k % DIGITS
+    t[starts + size - 1] = 1
+    order, lcp = suffix_order(t, step - 1 + NAME, budget)
+    hit = np.zeros(len(t), bool)
+    same = np.flatnonzero(lcp >= step - 1 + NAME)
+    hit[order[same]] = hit[order[same - 1]] = True
+    return [hit[at : at + m] for at, m in zip(starts.tolist(), n.tolist())]
 
 
 def _runs(hit: np.ndarray) -> list[tuple[int, int]]:
@@ -128,87 +125,88 @@ def _runs(hit: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(edge[::2].tolist(), edge[1::2].tolist()))
 
 
-def repeated_spans(df: DataFrame, key: str = "doc_id", text: str = "text", length: int = 400, passage: int = PASSAGE, shard_bytes: int = 4 << 20, budget: int = 32 << 20) -> DataFrame:
+def repeated_spans(df: DataFrame, key: str = "doc_id", text: str = "text", length: int = 400, passage: int = PASSAGE, shard_bytes: int = 1 << 20, budget: int = 16 << 20) -> DataFrame:
     """(k, h, spans): for each (key, xxhash64 of the text) with repeated strings, spans (s, e, long) in bytes that strings
     of `passage` bytes cover which start anywhere else too, and (long) those of strings of `length` bytes; they may overlap.
 
-    A task orders shards of about shard_bytes, one core's units at least, and holds queues beyond a quarter of the budget
-    in scratch files.
+    A task orders shards of about shard_bytes symbols, one core's units at least, and holds queues beyond a quarter of the
+    budget in scratch files.
     """
-    least = min(passage, length)
-    rows = df.select(F.col(key).alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t")).where(F.octet_length("t") >= least).withColumn("h", F.xxhash64("t"))
+    lengths = tuple(sorted({min(passage, length), length}))
+    rows = df.select(F.col(key).alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t")).where(F.octet_length("t") >= lengths[0]).withColumn("h", F.xxhash64("t"))
     kind = df.schema[key].dataType.simpleString()
 
     def find(batches):
         for b in sub_batches(batches, "t", PIECE):
-            i, start, n, size, core, whole = units([t.encode() for t in b.column("t").to_pylist()], least, length)
+            i, start, n, left, size, core, whole = units([t.encode() for t in b.column("t").to_pylist()], lengths)
             take = pa.array(i)
-            yield pa.RecordBatch.from_arrays([b.column("k").take(take), b.column("h").take(take), pa.array(start), pa.array(n.astype(np.int16)), pa.array(size.astype(np.int32)), pa.array(core.view(np.int64)), pa.array(whole.view(np.int64))], names=["k", "h", "start", "n", "size", "core", "whole"])
+            cols = [b.column("k").take(take), b.column("h").take(take), pa.array(start), pa.array(n.astype(np.int16)), pa.array(left.astype(np.int16)), pa.array(size == length), pa.array(core.view(np.int64)), pa.array(whole.view(np.int64))]
+            yield pa.RecordBatch.from_arrays(cols, names=["k", "h", "start", "n", "left", "long", "core", "whole"])
         give_back()
 
-    found = cut(rows.mapInArrow(find, f"k {kind}, h bigint, start bigint, n smallint, size int, core bigint, whole bigint"), "units")
+    found = cut(rows.mapInArrow(find, f"k {kind}, h bigint, start bigint, n smallint, left smallint, long boolean, core bigint, whole bigint"), "units")
     often = cut(found.groupBy("core").agg(F.count("*").alias("c")).where("c > 1").select("core"), "cores")
     kept = cut(found.join(often, "core"), "units")
     drop_cut(often)
     drop_cut(found)
-    kinds = cut(kept.groupBy("core", "whole").agg(F.count("*").alias("c"), F.min(F.struct("k", "h", "start", "n", "size")).alias("rep")), "kinds")
+    kinds = cut(kept.groupBy("core", "whole").agg(F.count("*").alias("c"), F.min(F.struct("k", "h", "start", "n", "left", "long")).alias("rep")), "kinds")
     sizes = kinds.groupBy("core").agg(F.count("*").alias("m"), F.min("c").alias("least"))
     some = cut(sizes.where("m > 1 and least = 1").select("core"), "some")  # so that Spark can split the join's large partitions
     reps = kinds.join(some, "core").select("core", "whole", "rep.*")
-    asked = reps.groupBy("k", "h").agg(F.collect_list(F.struct("start", "n", "size", "core", "whole")).alias("units"))
+    asked = reps.groupBy("k", "h").agg(F.collect_list(F.struct("start", "n", "left", "long", "core", "whole")).alias("units"))
     asked = asked.withColumnsRenamed({"k": "ak", "h": "ah"})
     joined = rows.join(asked, F.col("k").eqNullSafe(F.col("ak")) & (F.col("h") == F.col("ah"))).select("t", "units")
 
     def contexts(batches):
         for b in sub_batches(batches, "t", PIECE):
-            core, whole, n, ctx = [], [], [], []
+            core, whole, ns, lefts, ctx = [], [], [], [], []
             for t, us in zip(b.column("t").to_pylist(), b.column("units").to_pylist()):
                 t = t.encode()
                 for u in us:
+                    s, n, left, size = u["start"], u["n"], u["left"], lengths[-1] if u["long"] else lengths[0]
                     core.append(u["core"])
                     whole.append(u["whole"])
-                    n.append(u["n"])
-                    ctx.append(t[u["start"] : u["start"] + u["size"]])
+                    ns.append(n)
+                    lefts.append(left)
+                    ctx.append(t[s : s + left] + t[s + left + size - STEP + 1 : s + n - 1 + size])
             if core:
-                yield pa.RecordBatch.from_arrays([pa.array(core), pa.array(whole), pa.array(n, pa.int16()), pa.array(ctx, pa.binary())], names=["core", "whole", "n", "ctx"])
+                yield pa.RecordBatch.from_arrays([pa.array(core), pa.array(whole), pa.array(ns, pa.int16()), pa.array(lefts, pa.int16()), pa.array(ctx, pa.binary())], names=["core", "whole", "n", "left", "ctx"])
 
-    got = joined.mapInArrow(contexts, "core bigint, whole bigint, n smallint, ctx binary")
+    got = joined.mapInArrow(contexts, "core bigint, whole bigint, n smallint, left smallint, ctx binary")
 
     def order(batches):
         held, size, last = [], 0, None
 
         def settle():
-            seen: dict[tuple[int, int], tuple[bytes, int]] = {}
-            for c, w, n, x in held:  # the same text under one key may have come more than once
-                seen.setdefault((c, w), (x, n))
-            out = [[], [], [], [], []]
+            seen: dict[tuple[int, int], tuple] = {}
+            names: dict[int, int] = {}
+            for c, w, n, left, x in held:  # the same text under one key may have come more than once
+                seen.setdefault((c, w), (x, n, left, names.setdefault(c, len(names))))
+            out = [[], [], [], []]
             if len(seen) > 1:
-                for (c, w), hits in zip(seen, repeated_windows(list(seen.values()), least, length, budget)):
-                    for long, hit in enumerate(hits):
-                        for a, b in _runs(hit):
-                            for col, v in zip(out, (c, w, a, b, bool(long))):
-                                col.append(v)
-            return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_()))], names=["core", "whole", "a", "b", "long"])
+                for (c, w), hit in zip(seen, repeated_windows(list(seen.values()), budget)):
+                    for a, b in _runs(hit):
+                        for col, v in zip(out, (c, w, a, b)):
+                            col.append(v)
+            return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out, (pa.int64(), pa.int64(), pa.int32(), pa.int32()))], names=["core", "whole", "a", "b"])
 
         for b in batches:
-            for c, w, n, x in zip(*(b.column(f).to_pylist() for f in ("core", "whole", "n", "ctx"))):
+            for c, w, n, left, x in zip(*(b.column(f).to_pylist() for f in ("core", "whole", "n", "left", "ctx"))):
                 if c != last and size > shard_bytes:
                     yield settle()
                     held, size = [], 0
                 last = c
-                held.append((c, w, n, x))
+                held.append((c, w, n, left, x))
                 size += len(x)
         if held:
             yield settle()
         give_back()
 
     spread = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a given number, as the work is more than the bytes show
-    partial = got.repartition(spread, "core").sortWithinPartitions("core").mapInArrow(order, "core bigint, whole bigint, a int, b int, long boolean")
-    twice = kinds.where("c > 1")
-    whole = [twice.select("core", "whole", F.lit(0).alias("a"), (F.col("rep.size") - F.lit(size - 1)).alias("b"), F.lit(long).alias("long")).where("b > 0") for size, long in ((least, False), (length, True))]
-    once = partial.join(twice.select("core", "whole"), ["core", "whole"], "left_anti")
-    hits = cut(once.unionByName(whole[0]).unionByName(whole[1]), "hits")
-    end = F.col("start") + F.least("b", F.col("n").cast("int")) - 1 + F.when(F.col("long"), length).otherwise(least)
+    partial = got.repartition(spread, "core").sortWithinPartitions("core").mapInArrow(order, "core bigint, whole bigint, a int, b int")
+    twice = kinds.where("c > 1").select("core", "whole", F.lit(0).alias("a"), F.col("rep.n").cast("int").alias("b"))
+    hits = cut(partial.join(twice.select("core", "whole"), ["core", "whole"], "left_anti").unionByName(twice), "hits")
+    end = F.col("start") + F.col("b") - 1 + F.when(F.col("long"), lengths[-1]).otherwise(lengths[0])
     spans = kept.join(hits, ["core", "whole"]).select("k", "h", (F.col("start") + F.col("a")).alias("s"), end.alias("e"), "long")
     return spans.groupBy("k", "h").agg(F.collect_list(F.struct("s", "e", "long")).alias("spans"))
 
