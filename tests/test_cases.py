@@ -90,3 +90,105 @@ def test_morton_back(spark):
     df = spark.range(50).selectExpr("id % 7 AS x", "id AS y").withColumn("c", morton(F.col("x"), F.col("y")))
     a, b = unmorton(F.col("c"))
     assert df.where((a != F.col("x")) | (b != F.col("y"))).count() == 0
+
+
+def test_chains_and_rings(spark):
+    """A path of 300 vertices, a ring, and a loop at a junction."""
+    rows = [(i, i + 1, 1.0) for i in range(299)]
+    rows += [(1000 + i, 1000 + (i + 1) % 7, 2.0) for i in range(7)]
+    rows += [(2000, 2001, 1.0), (2001, 2002, 1.0), (2002, 2000, 1.0), (2000, 2003, 5.0)]
+    got = {(r["a"], r["b"]): (r["end"], r["length"]) for r in road.junction_chains(spark.createDataFrame(rows, "ni long, nj long, dist double")).collect()}
+    assert len(got) == 2 * len(rows)
+    assert got[35, 34] == (0, 35.0) and got[35, 36] == (299, 264.0)
+    assert got[1000, 1001] == (1000, 14.0) and got[1003, 1002] == (1003, 14.0)
+    assert got[2000, 2001] == (2000, 3.0) and got[2001, 2002] == (2000, 2.0) and got[2003, 2000] == (2000, 5.0)
+    assert road.junction_chains(spark.createDataFrame([], "ni long, nj long, dist double")).count() == 0
+
+
+def test_border_index_by_dijkstra(spark):
+    import heapq
+    import random
+
+    from tidemark.operators.border_index import border_index
+
+    r, n = random.Random(3), 14
+    at = {i: (i % n - 3, i // n - 3) for i in range(n * n)} | {900: (40, 40), 901: (41, 40)}
+    edges = [(i, i + 1) for i in range(n * n) if i % n < n - 1] + [(i, i + n) for i in range(n * n - n)]
+    edges = [e for e in edges if r.random() < 0.8] + [(r.randrange(n * n), r.randrange(n * n)) for _ in range(6)] + [(900, 901)]
+    edges = [(a, b, float(r.randint(1, 9))) for a, b in edges]
+    v = spark.createDataFrame([(i, float(x), float(y)) for i, (x, y) in at.items()], "v long, x double, y double")
+    index = border_index(v, spark.createDataFrame(edges + edges[:2], "ni long, nj long, dist double"), shift=1)
+    roads = {}
+    for a, b, d in edges:
+        roads.setdefault(a, []).append((b, d))
+        roads.setdefault(b, []).append((a, d))
+    pairs = [(s, t) for s in (0, 7, 100, 901) for t in at] + [(5, 5)]
+    got = {(x["s"], x["t"]): x["d"] for x in index.distances(spark.createDataFrame(pairs + pairs[:3], "s long, t long")).collect()}
+    want = {}
+    for s in {s for s, _ in pairs}:
+        seen, heap = {}, [(0.0, s)]
+        while heap:
+            d, x = heapq.heappop(heap)
+            if x not in seen:
+                seen[x] = d
+                for y, more in roads.get(x, []):
+                    heapq.heappush(heap, (d + more, y))
+        want |= {(s, t): seen[t] for t in at if (s, t) in set(pairs) and t in seen}
+    assert got == want and (0, 901) not in got and got[901, 900] > 0
+
+
+def test_paths_and_searches_that_do_not_end_early(spark):
+    chain = spark.createDataFrame([(i, i + 1, 1.0) for i in range(40)], "ni long, nj long, dist double")
+    tree = road.sssp(chain, spark.createDataFrame([(0,)], "s long"))
+    assert road.shortest_path(tree, 0, 40) == list(range(41)) and road.shortest_path(tree, 0, 99) == []
+    links = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(40, 0)], "u long, v long")
+    got = {r["node"]: r["depth"] for r in diffusion.reach(spark.createDataFrame([(0,)], "node long"), links, ()).collect()}
+    assert got == {i: i for i in range(41)}
+
+
+def test_greedy_choices_by_brute_force(spark):
+    """Greedy one-hop, CELF and PMC against the union of users and of what they reach."""
+    import random
+
+    r = random.Random(8)
+    pairs = sorted({(r.randrange(30), r.randrange(30)) for _ in range(90)})
+    edges = spark.createDataFrame([(u, v, r.choice([0.1, 0.5, 1.0])) for u, v in pairs if u != v], "u long, v long, prob double")
+    prob = {(x["u"], x["v"]): x["prob"] for x in edges.collect()}
+    links = sorted({(p, r.randrange(30)) for p in range(6) for _ in range(4)})
+    df = spark.createDataFrame(links, "p long, u long")
+
+    def spread(ps):
+        us = {u for p, u in links if p in ps}
+        miss = {}
+        for (u, v), x in prob.items():
+            if u in us:
+                miss[v] = miss.get(v, 1.0) * (1 - x)
+        return len(us) + sum(1 - m for m in miss.values())
+
+    chosen, value = [], 0.0
+    for _ in range(3):
+        best = max((p for p in range(6) if p not in chosen), key=lambda p: (round(spread([*chosen, p]), 9), -p))
+        chosen.append(best)
+    got = selection.greedy_one_hop(df, edges, 3)
+    assert got.pois == chosen and sum(got.gains) == pytest.approx(spread(chosen))
+    rounds = 12
+    for name, seed, choose in (("celf", 7, lambda: selection.celf(spark, edges, df, 4, rounds)), ("pmc", 5, lambda: selection.pmc(spark, edges, df, 4, rounds))):
+        live = {(x["round"], x["u"], x["v"]) for x in diffusion.live_edges(edges, rounds, seed).collect()}
+        hits = {}
+        for p in range(6):
+            seen = {(i, u) for q, u in links if q == p for i in range(rounds)}
+            todo = list(seen)
+            while todo:
+                i, u = todo.pop()
+                for v in range(30):
+                    if (i, u, v) in live and (i, v) not in seen:
+                        seen.add((i, v))
+                        todo.append((i, v))
+            hits[p] = seen
+        chosen, covered = [], set()
+        for _ in range(4):
+            best = max((p for p in range(6) if p not in chosen), key=lambda p: (len(hits[p] - covered), -p))
+            chosen.append((best))
+            covered |= hits[best]
+        got = choose()
+        assert got.pois == chosen and sum(got.gains) == pytest.approx(len(covered) / rounds), name

@@ -13,7 +13,8 @@ from tidemark.operators.text import relevance, term_idf
 
 
 class Scores:
-    """The score of every pair with relevance, from domain tables; distances d from road.apsp() or road.sssp()."""
+    """The score of every pair with relevance, from domain tables; distances d from road.apsp() or road.sssp(), or an index of
+    border_index(), which makes those of occurring pairs only."""
 
     def __init__(self, domain, distances: DataFrame, a: float = BASE, alpha: float = ALPHA):
         self.domain, self.d, self.a, self.alpha = domain, distances, a, alpha
@@ -61,6 +62,24 @@ def reverse_topk(scored: DataFrame, pois: DataFrame, k: int, strict: bool = True
     return rows.where(keep).select("p", "u", "rel", "inf", "dist", "score", "rk")
 
 
+def reverse_keywords(scores: Scores, words: DataFrame, k: int, places: DataFrame | None = None) -> DataFrame:
+    """As reverse_topk(), for places with keywords (p, term) given instead of their own; users' k-th best scores are those of
+    the places that are there.
+
+    places: (p, ni, nj, dist, dis) of places that the domain does not have, such as a bare location; nobody has checked in
+    there, so their influence is one.
+    """
+    t = scores.domain
+    rel = relevance(t.user_term, words, term_idf(t.poi_term, t.n_pois))
+    if places is None:
+        rows = scores.scored(rel)
+    else:
+        rows = with_distance(rel.withColumn("inf", F.lit(1.0)), t.users, places, scores.d)
+        rows = rows.withColumn("score", F.round(gsk_score(F.col("rel"), F.col("inf"), F.col("dist"), scores.alpha), 9))
+    rows = rows.join(user_kth(scores.scored(), k), "u", "left").withColumn("rk", F.coalesce("rk", F.lit(0.0)))
+    return rows.where("score > rk").select("p", "u", "rel", "inf", "dist", "score", "rk")
+
+
 def reverse_topk_bound(scores: Scores, pois: DataFrame, k: int, bounds: DataFrame) -> DataFrame:
     """As reverse_topk(), but exact scores are made for candidates only.
 

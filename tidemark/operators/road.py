@@ -75,9 +75,13 @@ def shortest_path(tree: DataFrame, source: int, target: int) -> list[int]:
 def edge_pairs(pairs: DataFrame, d: DataFrame) -> DataFrame:
     """Distances between the ends of the edges of users and points of interest, once for each pair of edges.
 
-    pairs: (u_ni, u_nj, p_ni, p_nj); adds d_ni_ni ... named after the end of the point's edge, then of the user's.
+    pairs: (u_ni, u_nj, p_ni, p_nj); adds d_ni_ni ... named after the end of the point's edge, then of the user's.  d has the
+    distances (s, t, d), or is an index that gives them for the pairs of vertices that occur.
     """
     out = pairs.distinct()
+    if hasattr(d, "distances"):
+        ends = [out.select(F.col(f"p_{e}").alias("s"), F.col(f"u_{f}").alias("t")) for e in ("ni", "nj") for f in ("ni", "nj")]
+        d = cut(d.distances(ends[0].unionByName(ends[1]).unionByName(ends[2]).unionByName(ends[3])), "distances")
     for e in ("ni", "nj"):
         for f in ("ni", "nj"):
             one = d.select(F.col("s").alias(f"p_{e}"), F.col("t").alias(f"u_{f}"), F.col("d").alias(f"d_{e}_{f}"))

@@ -274,6 +274,34 @@ SQL: dict[str, str] = {
         f"""SELECT {_RESULT} FROM (SELECT q.*, round((0.6 * inf + 0.4 * rel) / (1 + dist), 9) AS score, coalesce(kth.rk, 0.0) AS rk FROM (SELECT r.u, r.p, rel, CASE WHEN coalesce(soc, 0) > 0 THEN 1 + pow(6.0, soc) ELSE 1.0 END AS inf, far.dist
         FROM (SELECT u, 0::bigint AS p, sum(idf) AS rel FROM user_term JOIN idf USING (term) WHERE term IN (SELECT term FROM poi_term WHERE p < 5) GROUP BY u HAVING sum(idf) > 0) r JOIN far USING (u, p) LEFT JOIN soc USING (u, p)) q LEFT JOIN kth USING (u)) WHERE score > rk""",
     ),
+    "reverse_topk_group_keywords": _with(
+        "user_term poi_term idf soc far kth ask",
+        f"""SELECT {_RESULT} FROM (SELECT q.*, round((0.6 * inf + 0.4 * rel) / (1 + dist), 9) AS score, coalesce(kth.rk, 0.0) AS rk FROM (SELECT r.u, r.p, rel, CASE WHEN coalesce(soc, 0) > 0 THEN 1 + pow(6.0, soc) ELSE 1.0 END AS inf, far.dist
+        FROM (SELECT u, ask.p, rel FROM (SELECT u, sum(idf) AS rel FROM user_term JOIN idf USING (term) WHERE term IN (SELECT term FROM poi_term WHERE p < 5) GROUP BY u HAVING sum(idf) > 0), ask) r JOIN far USING (u, p) LEFT JOIN soc USING (u, p)) q LEFT JOIN kth USING (u)) WHERE score > rk""",
+    ),
+    "reverse_topk_location": _with(
+        "user_term idf kth users vu edge",
+        f"""SELECT {_RESULT} FROM (SELECT q.*, round((0.6 * inf + 0.4 * rel) / (1 + dist), 9) AS score, coalesce(kth.rk, 0.0) AS rk FROM (SELECT r.u, -1::bigint AS p, rel, 1.0::double AS inf,
+        CASE WHEN a.ni = b.ni AND a.nj = b.nj THEN abs(a.dis - b.dist / 2) WHEN a.ni = b.ni THEN a.dis + b.dist / 2 ELSE least(x.dist, y.dist) + b.dist / 2 END AS dist
+        FROM (SELECT u, sum(idf) AS rel FROM user_term JOIN idf USING (term) WHERE term IN ('Brand#11', 'Brand#22') GROUP BY u HAVING sum(idf) > 0) r JOIN users a USING (u), edge b, vu x, vu y
+        WHERE b.eid = 7 AND x.v = b.ni AND x.u = a.u AND y.v = b.nj AND y.u = a.u) q LEFT JOIN kth USING (u)) WHERE score > rk""",
+    ),
+    "vertex_term_kth": _with("poi_term idf vp", "SELECT v, term, round(score, 6) AS rk FROM (SELECT v, term, score, row_number() OVER (PARTITION BY v, term ORDER BY score DESC, p) AS r FROM (SELECT v, term, p, round(CASE WHEN idf > 0 THEN (0.6 + 0.4 * idf) / (1 + dist) ELSE 0 END, 9) AS score FROM poi_term JOIN idf USING (term) JOIN vp USING (p))) WHERE r = 3"),
+    "gsk_score_indexed": _with("scored", "SELECT u, p, round(score, 6) AS score FROM scored"),
+    "label_distance": _with("dd", "SELECT * FROM dd"),
+    "spsp": _with("dd", "SELECT * FROM dd WHERE t = 24 - s"),
+    "border_labels": _with(
+        "dd leaf roads",
+        """SELECT l::bigint AS level, dd.s AS v, dd.t AS hub, round(d, 6) AS d FROM dd JOIN leaf x ON x.v = dd.s JOIN leaf y ON y.v = dd.t, range(3) r(l) WHERE x.leaf >> (2 * l) = y.leaf >> (2 * l)
+        AND (l = 0 OR dd.t IN (SELECT a FROM roads JOIN leaf p ON p.v = a JOIN leaf q ON q.v = b WHERE p.leaf >> (2 * (l - 1)) <> q.leaf >> (2 * (l - 1))))""",
+    ),
+    "drop_vertices": _with("edge", "SELECT ni, nj, dist FROM edge WHERE ni % 5 <> 2 AND nj % 5 <> 2"),
+    "zipf_shares": _with("trank", "SELECT rank, round(sum(1.0::double / rank) OVER (ORDER BY rank) / (SELECT sum(1.0::double / rank) FROM trank), 6) AS cum FROM trank"),
+    "first_terms": _with("poi_term", "SELECT p, array_to_string(list_slice(list_sort(list_distinct(list(term))), 1, 3), ',') AS terms FROM poi_term GROUP BY p"),
+    "point_rectangles": _with(
+        "vertex",
+        "SELECT v, round(sqrt(pow(greatest(1 - x, 0, x - 2), 2) + pow(greatest(1 - y, 0, y - 3), 2)), 6) AS near, round(sqrt(pow(greatest(abs(x - 1), abs(x - 2)), 2) + pow(greatest(abs(y - 1), abs(y - 3)), 2)), 6) AS far FROM vertex",
+    ),
     "reverse_cardinality": _with("rev", "SELECT p, count(*)::bigint AS n FROM rev WHERE p < 5 GROUP BY p"),
     "candidate_groups": _with("best", "SELECT p, count(*)::bigint AS n FROM best GROUP BY p"),
     "pois_of_terms": _with("poi_term", "SELECT DISTINCT p FROM poi_term WHERE term IN ('Brand#11', 'Brand#12', 'Brand#13', 'Brand#21', 'Brand#22') ORDER BY p LIMIT 20"),

@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.functions.geosocial import BASE, edge_ends, edge_key, lower_score, morton, upper_score
+from tidemark.functions.geosocial import BASE, edge_ends, edge_key, lower_score, morton, point_rect, upper_score
+from tidemark.operators.border_index import BorderIndex, border_index
 from tidemark.operators import clean, diffusion, ranking, road, selection, social, synth, text, voronoi, workload
 from tidemark.plans.cuts import cut
 from tidemark.sources.fixtures import Domain
@@ -115,6 +116,17 @@ def drop_isolated(t: Domain) -> DataFrame:
     return clean.drop_isolated(t.road_vertex, t.road_edge.where("ni % 7 <> 0 and nj % 7 <> 0"))
 
 
+@query
+def drop_vertices(t: Domain) -> DataFrame:
+    """Roads that are left without the vertices of every fifth number."""
+    return clean.drop_vertices(t.road_vertex, t.road_edge, t.road_vertex.where("v % 5 = 2").select("v"))[1].select("ni", "nj", "dist")
+
+
+@query
+def pseudo_diameter(t: Domain) -> DataFrame:
+    return t.spark.createDataFrame([(float(clean.pseudo_diameter(t.road_edge, 12)),)], "far double")
+
+
 @query
 def largest_component(t: Domain) -> DataFrame:
     return clean.largest_component(t.road_vertex, t.road_edge.where("(ni + nj) % 3 <> 0"))
@@ -165,6 +177,11 @@ def zipf_rewrite(t: Domain) -> DataFrame:
     return synth.zipf_rewrite(t.poi_term, synth.zipf_targets(clean.term_rank_by_df(t.poi_term), t.n_pois), t.n_pois)
 
 
+@query
+def zipf_shares(t: Domain) -> DataFrame:
+    return synth.zipf_shares(clean.term_rank_by_df(t.poi_term).select("rank"), 1.0).select(*six("rank", "cum~"))
+
+
 def _subset(percent: int) -> None:
     def f(t: Domain) -> DataFrame:
         return synth.hash_subset(t.pois.select("p"), "p", percent)
@@ -233,6 +250,11 @@ def extended_jaccard(t: Domain) -> DataFrame:
     return text.node_jaccard(counts).select(*six("n1", "n2", "sim~"))
 
 
+@query
+def first_terms(t: Domain) -> DataFrame:
+    return text.first_terms(t.poi_term, 3).select("p", F.concat_ws(",", "terms").alias("terms"))
+
+
 @query
 def friend_checkin_counts(t: Domain) -> DataFrame:
     return social.friend_checkins(t.friend, t.checkin)
@@ -260,6 +282,28 @@ def apsp(t: Domain) -> DataFrame:
     return _apsp(t)
 
 
+def _index(t: Domain) -> BorderIndex:
+    return border_index(t.road_vertex, t.road_edge)
+
+
+@query
+def label_distance(t: Domain) -> DataFrame:
+    """All pairs of vertices, from labels."""
+    pairs = t.road_vertex.select(F.col("v").alias("s")).join(t.road_vertex.select(F.col("v").alias("t")), F.lit(True))
+    return _index(t).distances(pairs)
+
+
+@query
+def spsp(t: Domain) -> DataFrame:
+    """Each vertex and its mirror image."""
+    return _index(t).distances(t.road_vertex.select(F.col("v").alias("s"), (24 - F.col("v")).alias("t")))
+
+
+@query
+def border_labels(t: Domain) -> DataFrame:
+    return _index(t).label.select(F.col("level").cast("long").alias("level"), "v", "hub", *six("d~"))
+
+
 @query
 def sssp(t: Domain) -> DataFrame:
     source = t.road_vertex.where("v = 0 or v = 12").select(F.col("v").alias("s"))
@@ -335,6 +379,13 @@ def window_rectangle(t: Domain) -> DataFrame:
     return road.window_rectangle(t.road_vertex, 1, 1, 3, 2)
 
 
+@query
+def point_rectangles(t: Domain) -> DataFrame:
+    """Least and largest distance of each vertex to a rectangle."""
+    near, far = point_rect(F.col("x"), F.col("y"), F.lit(1.0), F.lit(1.0), F.lit(2.0), F.lit(3.0))
+    return t.road_vertex.select("v", near.alias("near"), far.alias("far")).select(*six("v", "near~", "far~"))
+
+
 @query
 def morton_codes(t: Domain) -> DataFrame:
     return t.road_vertex.select("v", morton(F.col("x"), F.col("y"), 4).alias("code"))
@@ -364,6 +415,12 @@ def gsk_score(t: Domain) -> DataFrame:
     return _scores(t).scored().select(*six("u", "p", "rel~", "inf~", "dist~", "score~"))
 
 
+@query
+def gsk_score_indexed(t: Domain) -> DataFrame:
+    """The same from border matrices instead of all pairs of vertices."""
+    return ranking.Scores(t, _index(t)).scored().select(*six("u", "p", "score~"))
+
+
 @query
 def sk_score(t: Domain) -> DataFrame:
     """Without the social part: influence is one."""
@@ -447,13 +504,32 @@ def reverse_topk_bound(t: Domain) -> DataFrame:
 
 @query
 def reverse_topk_given_keywords(t: Domain) -> DataFrame:
-    """Place 0 with the keywords of the whole group: its relevance is made with these, k-th scores as always."""
-    s = _scores(t)
+    """Place 0 with the keywords of the whole group."""
     words = text.group_keywords(t.poi_term, t.query_poi).withColumn("p", F.lit(0).cast("long"))
-    rel = text.relevance(t.user_term, words, _idf(t))
-    kth = ranking.user_kth(s.scored(), t.k)
-    rows = s.scored(rel).join(kth, "u", "left").withColumn("rk", F.coalesce("rk", F.lit(0.0))).where("score > rk")
-    return rows.select(*six(*_RESULT))
+    return ranking.reverse_keywords(_scores(t), words, t.k).select(*six(*_RESULT))
+
+
+@query
+def reverse_topk_group_keywords(t: Domain) -> DataFrame:
+    """Each place of the query with the keywords of the whole group."""
+    words = text.group_keywords(t.poi_term, t.query_poi).join(F.broadcast(t.query_poi), F.lit(True))
+    return ranking.reverse_keywords(_scores(t), words, t.k).select(*six(*_RESULT))
+
+
+@query
+def reverse_topk_location(t: Domain) -> DataFrame:
+    """A bare location, the middle of road 7, with two keywords."""
+    place = t.road_edge.where("eid = 7").select(F.lit(-1).cast("long").alias("p"), "ni", "nj", "dist", (F.col("dist") / 2).alias("dis"))
+    words = t.spark.createDataFrame([(-1, "Brand#11"), (-1, "Brand#22")], "p long, term string")
+    return ranking.reverse_keywords(_scores(t), words, t.k, place).select(*six(*_RESULT))
+
+
+@query
+def vertex_term_kth(t: Domain) -> DataFrame:
+    """The third best lower score of a place with a term at each vertex."""
+    rows = t.poi_term.join(_idf(t), "term").join(road.vertex_place(_apsp(t), t.pois, "p"), "p")
+    scored = rows.select("v", "term", "p", F.round(lower_score(F.col("idf"), F.col("dist")), 9).alias("score"))
+    return ranking.per_term_topk(scored, 3).select(*six("v", "term", "rk~"))
 
 
 @query
