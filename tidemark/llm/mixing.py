@@ -71,12 +71,14 @@ def domain_posteriors(df: DataFrame, weights: DataFrame, prior: dict[str, float]
     return out.select(F.col("k").alias(key), "text_hash", "n_words", "same", *[(p / whole).alias(f"p_{d}") for p, d in zip(parts, names)])
 
 
-def fit_rates(rows: DataFrame, targets: dict[str, float], keep: tuple[str, ...] = (), headroom: float = 1.05, most_steps: int = 60, tolerance: float = 1e-4) -> tuple[Column, dict]:
+def fit_rates(rows: DataFrame, targets: dict[str, float], keep: tuple[str, ...] = (), spare: bool = False, headroom: float = 1.05, most_steps: int = 60, tolerance: float = 1e-4) -> tuple[Column, dict]:
     """Rate of each row as a column expression, and what was reached.
 
     Of all nonnegative rates with the wanted expected tokens of the domains, those with the least squares of their distance
     from one, weighed by the tokens: these are 1 + a sum of multipliers times posteriors, projected to zero where that is
-    negative.  There is no other floor and no ceiling.  Each step moves the multipliers along the gradient, scaled by the
+    negative.  There is no other floor and no ceiling, unless `spare` asks that rows that more probably than not belong to
+    the domains in `keep` stay at one or more, for a pipeline that must not lose clean documents; the targets are met by the
+    other rates then, and the total is such that none of them is below what the spared rows have.  Each step moves the multipliers along the gradient, scaled by the
     inverse of the posteriors' products over the rows that are not at zero, and is halved while it does not lower the
     problem's dual, until each domain's tokens are within `tolerance` of its target.  A step is one sum over the rows that
     returns a few numbers.
@@ -88,21 +90,22 @@ def fit_rates(rows: DataFrame, targets: dict[str, float], keep: tuple[str, ...]
     d = len(names)
     weight = F.col("n_words") * F.col("same")
     p = [F.col(f"p_{x}") for x in names]
-    got = rows.agg(*[F.sum(weight * x) for x in p]).first()
-    if got is None or got[0] is None or sum(got) <= 0:
+    floor = F.when(sum((F.col(f"p_{x}") for x in keep if x in names), F.lit(0.0)) >= 0.5, 1.0).otherwise(0.0) if spare else F.lit(0.0)
+    got = rows.agg(*[F.sum(weight * x) for x in p], *[F.sum(weight * floor * x) for x in p]).first()
+    if got is None or got[0] is None or sum(got[:d]) <= 0:
         return F.lit(1.0), {"tokens": {x: 0.0 for x in names}, "targets": {x: 0.0 for x in names}, "steps": 0, "met": True}
-    now = np.array(got)
+    now, least = np.array(got[:d]), np.array(got[d:])
     share = np.array([targets[x] for x in names])
     share = share / share.sum()
     held = [i for i, x in enumerate(names) if (x in keep or not keep) and share[i] > 0 and now[i] > 0]
-    want = headroom * share * max((now[i] / share[i] for i in held), default=now.sum())
+    want = headroom * share * max([now[i] / share[i] for i in held] + [least[i] / share[i] for i in range(d) if share[i] > 0] or [now.sum()])
     near = tolerance * np.where(want > 0, want, want.max())
 
     def at(by: np.ndarray) -> tuple[Column, float, np.ndarray, np.ndarray]:
         """Rates, the dual's value, tokens, and their changes with the multipliers."""
         add = sum((float(m) * x for m, x in zip(by[1:], p[1:])), float(by[0]) * p[0])
-        rate = F.greatest(F.lit(0.0), 1.0 + add)
-        free = F.when(1.0 + add >= 0.0, weight).otherwise(0.0)
+        rate = F.greatest(floor, 1.0 + add)
+        free = F.when(1.0 + add >= floor, weight).otherwise(0.0)
         got = rows.agg(F.sum(weight * (rate * add - (rate - 1.0) * (rate - 1.0) / 2)), *[F.sum(weight * rate * x) for x in p], *[F.sum(free * p[i] * p[j]) for i in range(d) for j in range(i, d)]).first()
         gram = np.zeros((d, d))
         gram[np.triu_indices(d)] = got[d + 1 :]
@@ -131,7 +134,7 @@ def fit_rates(rows: DataFrame, targets: dict[str, float], keep: tuple[str, ...]
     return rate, {"tokens": dict(zip(names, now.tolist())), "targets": dict(zip(names, want.tolist())), "steps": steps, "met": met}
 
 
-def mix_rates(df: DataFrame, labels: DataFrame, targets: dict[str, float], keep: tuple[str, ...] = (), key: str = "doc_id", text: str = "text", sample_rows: int = 20_000) -> DataFrame:
+def mix_rates(df: DataFrame, labels: DataFrame, targets: dict[str, float], keep: tuple[str, ...] = (), key: str = "doc_id", text: str = "text", sample_rows: int = 20_000, spare: bool = False) -> DataFrame:
     """(key, text_hash, n_words, same, p_<domain> ..., rate, copies, want_<domain> ..., got_<domain> ..., met) for each distinct
     (key, text) of df.
 
@@ -145,7 +148,7 @@ def mix_rates(df: DataFrame, labels: DataFrame, targets: dict[str, float], keep:
     told = labels.select(key, domain(F.col("quality"), F.col("toxic")).alias("domain"))
     weights, prior = word_weights(df, told, names, key, text, sample_rows=sample_rows)
     rows = cut(domain_posteriors(df, weights, prior, key, text), "posteriors")
-    rate, facts = fit_rates(rows, targets, keep)
+    rate, facts = fit_rates(rows, targets, keep, spare)
     if not facts["met"]:
         warnings.warn(f"no rates found that meet the targets: expected tokens {facts['tokens']}, targets {facts['targets']}", stacklevel=2)
     rows = rows.withColumn("rate", F.round(rate, 6))  # so that the order of sums does not decide over a copy
@@ -155,9 +158,9 @@ def mix_rates(df: DataFrame, labels: DataFrame, targets: dict[str, float], keep:
     return rows.select("*", *told, F.lit(facts["met"]).alias("met"))
 
 
-def mix(df: DataFrame, labels: DataFrame, targets: dict[str, float], keep: tuple[str, ...] = (), key: str = "doc_id", text: str = "text", sample_rows: int = 20_000) -> DataFrame:
+def mix(df: DataFrame, labels: DataFrame, targets: dict[str, float], keep: tuple[str, ...] = (), key: str = "doc_id", text: str = "text", sample_rows: int = 20_000, spare: bool = False) -> DataFrame:
     """df with each row repeated as often as mix_rates() says, or left out at no copies."""
-    rates = mix_rates(df, labels, targets, keep, key, text, sample_rows).select(F.col(key).alias("__k"), F.col("text_hash").alias("__h"), F.col("copies").alias("__n")).where("__n > 0")
+    rates = mix_rates(df, labels, targets, keep, key, text, sample_rows, spare).select(F.col(key).alias("__k"), F.col("text_hash").alias("__h"), F.col("copies").alias("__n")).where("__n > 0")
     same = F.col(key).eqNullSafe(F.col("__k")) & (F.xxhash64(F.coalesce(F.col(text), F.lit(""))) == F.col("__h"))
     out = df.join(rates, same).withColumn("__i", F.explode(F.sequence(F.lit(1), F.col("__n").cast("int"))))
     return out.select(*[F.col(f"`{c}`") for c in df.columns])

@@ -39,7 +39,7 @@ def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return brown_scores(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-#: Target shares of the domains' tokens; documents of the kept ones are never thinned out on average.
+#: Target shares of the domains' tokens; the total is such that the kept ones do not shrink.
 MIX, MIX_KEEP = {"high": 0.90, "low": 0.08, "toxic": 0.02}, ("high", "low")
 
 
