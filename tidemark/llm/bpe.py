@@ -174,8 +174,30 @@ class Encoder:
             self._added = [x["content"] for x in added]
             line = self._library(["\n"])[0]
             self._line = line[0] if len(line) == 1 else None
+        self._blank = self._try_blanks()
         self._clear()
 
+    def cuts(self, text: str, size: int) -> list[str]:
+        """A long text in parts of about `size` characters that have as many ids together as the text has.
+
+        It is cut before single blanks between two plain letters.  Some tokenizers put a blank before every text, so that
+        a part must not start with its own; which it is, or whether cuts are safe at all, is tried on a few words.
+        """
+        if len(text) <= size or self._blank is None:
+            return [text]
+        first, *rest = calm_pieces(text, size)
+        return [first, *(x[self._blank :] for x in rest)]
+
+    def _try_blanks(self) -> int | None:
+        words = ("a", "the", "House", "nicht", "xyzzy", "I")
+        pairs = [(x, y) for x in words for y in words]
+        whole = self._library([f"{x} {y}" for x, y in pairs])
+        for skip in (0, 1):
+            first, second = self._library([x for x, _ in pairs]), self._library([f" {y}"[skip:] for _, y in pairs])
+            if whole == [a + b for a, b in zip(first, second)]:
+                return skip
+        return None
+
     def _clear(self) -> None:
         self._table, self._n = _Table(max(10, (2 * self.most_pieces).bit_length())), 1
         self._ids, self._n_ids = np.zeros(1 << 16, np.uint32), 0

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.bpe import calm_pieces, encoder
+from tidemark.llm.bpe import encoder
 from tidemark.llm.common import sub_batches
 
 OUT = ("n_bytes", "n_tokens", "over_limit")
@@ -20,7 +20,8 @@ def token_counts(df: DataFrame, tokenizer: str, text: str = "text", limit: int =
     Returns df without its text column, with n_bytes (UTF-8), n_tokens and over_limit (n_tokens > limit); columns of
     these names in df are replaced.  A null text counts as empty: 0 bytes, 0 tokens.  Repeated rows stay as they are,
     an empty table gives an empty one.  Nothing is shuffled.  Rows are grouped into batches of about batch_bytes, and
-    texts longer than piece_chars are cut before blanks between two plain letters, where no token spans.
+    texts longer than piece_chars are cut before blanks between two plain letters, where no token spans (tried for the
+    tokenizer on a few words; one for which cuts are not safe gets whole texts).
     """
     kept = [c for c in df.columns if c != text and c not in OUT]
     schema = T.StructType([df.schema[c] for c in kept] + [T.StructField(OUT[0], T.LongType()), T.StructField(OUT[1], T.LongType()), T.StructField(OUT[2], T.BooleanType())])
@@ -34,7 +35,7 @@ def token_counts(df: DataFrame, tokenizer: str, text: str = "text", limit: int =
             texts = [t or "" for t in b.column(inner).to_pylist()]
             pieces, owner = [], []
             for i, t in enumerate(texts):
-                for p in calm_pieces(t, piece_chars) if len(t) > piece_chars else (t,):
+                for p in enc.cuts(t, piece_chars):
                     pieces.append(p)
                     owner.append(i)
             n = np.bincount(owner, enc.lengths(pieces), len(texts)).astype(np.int64)
