@@ -134,6 +134,13 @@ def fit_rates(rows: DataFrame, targets: dict[str, float], keep: tuple[str, ...]
     return rate, {"tokens": dict(zip(names, now.tolist())), "targets": dict(zip(names, want.tolist())), "steps": steps, "met": met}
 
 
+def _unmixed(rows: DataFrame, targets: dict[str, float]) -> dict:
+    """Facts as of fit_rates() where every rate is one."""
+    got = rows.agg(*[F.coalesce(F.sum(F.col("n_words") * F.col("same") * F.col(f"p_{x}")), F.lit(0.0)) for x in targets]).first()
+    whole, share = sum(got), sum(targets.values())
+    return {"tokens": dict(zip(targets, got)), "targets": {x: whole * t / share for x, t in targets.items()}, "steps": 0, "met": whole == 0}
+
+
 def mix_rates(df: DataFrame, labels: DataFrame, targets: dict[str, float], keep: tuple[str, ...] = (), key: str = "doc_id", text: str = "text", sample_rows: int = 20_000, spare: bool = False) -> DataFrame:
     """(key, text_hash, n_words, same, p_<domain> ..., rate, copies, want_<domain> ..., got_<domain> ..., met) for each distinct
     (key, text) of df.
@@ -141,14 +148,17 @@ def mix_rates(df: DataFrame, labels: DataFrame, targets: dict[str, float], keep:
     want_ and got_ are the expected tokens of each domain that were asked for and that the rates reach, the same in every
     row, met whether they agree; same is the number of rows of that key and text.  copies is the rate's whole part, and one more with the probability of its fraction, by a hash of key and text.
     labels has the key, quality and toxic; rows whose labels do not tell a domain are not learnt from, and with none at
-    all every document has equal posteriors.  A warning gives the totals where the targets are not met.  A null text counts as empty: no words, so any rate changes no total.
+    all every document has equal posteriors and a rate of one.  A warning gives the totals where the targets are not met.  A null text counts as empty: no words, so any rate changes no total.
     Repeated rows weigh in each time.  Columns of df but key and text are not read; empty tables give empty results.
     """
     names = list(targets)
     told = labels.select(key, domain(F.col("quality"), F.col("toxic")).alias("domain"))
     weights, prior = word_weights(df, told, names, key, text, sample_rows=sample_rows)
     rows = cut(domain_posteriors(df, weights, prior, key, text), "posteriors")
-    rate, facts = fit_rates(rows, targets, keep, spare)
+    if weights.isEmpty():  # nothing was learnt
+        rate, facts = F.lit(1.0), _unmixed(rows, targets)
+    else:
+        rate, facts = fit_rates(rows, targets, keep, spare)
     if not facts["met"]:
         warnings.warn(f"no rates found that meet the targets: expected tokens {facts['tokens']}, targets {facts['targets']}", stacklevel=2)
     rows = rows.withColumn("rate", F.round(rate, 6))  # so that the order of sums does not decide over a copy
