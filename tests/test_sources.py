@@ -5,7 +5,10 @@ import os
 import pytest
 
 from tidemark import cli
+from tidemark.operators import ranking, road
+from tidemark.operators.border_index import border_index
 from tidemark.sources import store, text
+from tidemark.sources.files import TextDomain
 from tidemark.sources.fixtures import Domain
 from tidemark.streaming.checkins import read_checkin_stream, running_counts
 
@@ -46,6 +49,31 @@ def test_writers_and_places_on_graph(spark, tmp_path):
     assert got == {1: (0, 1, 4.0, 4.0), 2: (0, 1, 4.0, 1.0)}
 
 
+def test_text_files_to_answer(spark, tmp_path):
+    """Scores and choices from text files, by the index and by all pairs."""
+    n = 5
+    put(tmp_path, "g.cnode", "".join(f"{i} {i % n} {i // n}\n" for i in range(n * n)))
+    ends = [(i, i + 1) for i in range(n * n) if i % n < n - 1] + [(i, i + n) for i in range(n * n - n)]
+    put(tmp_path, "g.cedge", "".join(f"{e} {a} {b} {3 + (a + b) % 4}\n" for e, (a, b) in enumerate([*ends, (3, 3), ends[0]])))
+    put(tmp_path, "g.user", "".join(f"{u} {ends[u % 40][0]} {ends[u % 40][1]} 3 1.0 {u % 4} {u % 7 + 4} -1\n" for u in range(60)))
+    put(tmp_path, "g.poi", "".join(f"{p} {ends[3 * p][0]} {ends[3 * p][1]} 3 2.0 {p % 4} {p % 3 + 4} {p % 3 + 4} -1\n" for p in range(8)))
+    put(tmp_path, "g.friendship", "".join(f"{u} {(7 * u + 3) % 60}\n" for u in range(60)))
+    put(tmp_path, "g.checkin", "".join(f"{u % 8} {u} {u % 3 + 1}\n" for u in range(60)))
+    d = TextDomain(spark, str(tmp_path), "g", 3)
+    assert d.road_edge.count() == 40 and d.n_users == 60 and d.n_pois == 8 and [r["p"] for r in d.query_poi.orderBy("p").collect()] == [0, 1, 2, 3, 4]
+    by = [ranking.reverse_topk(ranking.Scores(d, x).scored(), d.query_poi, 3) for x in (road.apsp(d.road_vertex, d.road_edge), border_index(d.road_vertex, d.road_edge))]
+    one, two = ({(r["p"], r["u"], r["score"]) for r in x.collect()} for x in by)
+    assert one == two and len(one) > 20
+    got = cli.choose(d, "cardi", 3, 0.6, 2, 0.1, 5, border_index(d.road_vertex, d.road_edge))
+    assert len(set(got.pois)) == 2
+    put(tmp_path, "g.query", "6\n7\n")
+    assert TextDomain(spark, str(tmp_path), "g").query_poi.count() == 2
+    assert [tuple(r) for r in text.read_pairs(spark, put(tmp_path, "m", "4 9\n"), "u", "most").collect()] == [(4, 9)]
+    leaves = road.partition(d.road_vertex).withColumnRenamed("v", "id")
+    text.write_by_leaf(leaves, str(tmp_path / "leaves"))
+    assert spark.read.parquet(str(tmp_path / "leaves")).count() == 25
+
+
 def test_stream(spark, tmp_path):
     spark.createDataFrame([(1, 2, 3), (1, 4, 1), (2, 2, 1)], "p long, u long, cnt long").write.parquet(str(tmp_path / "in"))
     q = running_counts(read_checkin_stream(spark, str(tmp_path / "in"))).writeStream.outputMode("complete").format("memory").queryName("counts").start()

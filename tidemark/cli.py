@@ -1,4 +1,6 @@
-"""Parameter sweeps from the command line: python -m tidemark.cli FOLDER --algorithm opimc --k 20 ..."""
+"""Choices of places from the command line: python -m tidemark.cli FOLDER --algorithm appro --k 20 ...
+
+FOLDER holds the driver's tables, or with --files NAME the text files NAME.cnode, NAME.cedge and so on."""
 
 from __future__ import annotations
 
@@ -9,8 +11,10 @@ import time
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.operators.border_index import border_index
 from tidemark.operators import diffusion, ranking, road, selection
 from tidemark.plans.cuts import cut
+from tidemark.sources.files import TextDomain
 from tidemark.sources.fixtures import Domain
 
 # The settings that sweeps take.
@@ -18,11 +22,11 @@ K, ALPHAS, BUDGETS, EPSILONS = (10, 15, 20, 25, 30), (0.0, 0.2, 0.4, 0.6, 0.8),
 ALGORITHMS = ("base", "appro", "heuris", "onehop", "twohop", "rele", "cardi", "influ", "random", "imm", "celf", "pmc")
 
 
-def choose(domain: Domain, algorithm: str, k: int, alpha: float, b: int, epsilon: float, candidates: int) -> selection.Choice:
-    """Places chosen out of the first `candidates` by one of ALGORITHMS."""
+def choose(domain: Domain | TextDomain, algorithm: str, k: int, alpha: float, b: int, epsilon: float, candidates: int, distances=None) -> selection.Choice:
+    """Places chosen out of the first `candidates` by one of ALGORITHMS; distances: of all pairs, or an index."""
     spark = domain.spark
     ask = domain.pois.select("p").where(F.col("p") < candidates)
-    scores = ranking.Scores(domain, road.apsp(domain.road_vertex, domain.road_edge), alpha=alpha)
+    scores = ranking.Scores(domain, road.apsp(domain.road_vertex, domain.road_edge) if distances is None else distances, alpha=alpha)
     if algorithm == "random":
         return selection.Choice([r["p"] for r in selection.by_chance(ask, b).collect()])
     if algorithm == "rele":
@@ -62,10 +66,14 @@ def main(args: list[str] | None = None) -> None:
     a.add_argument("--budget", type=int, default=5)
     a.add_argument("--epsilon", type=float, default=0.1)
     a.add_argument("--candidates", type=int, default=200)
+    a.add_argument("--files", metavar="NAME")
+    a.add_argument("--leaf", type=int, help="side of the index's leaves, a power of two; without it all pairs of vertices")
     o = a.parse_args(args)
     spark = SparkSession.builder.getOrCreate()
     began = time.time()
-    got = choose(Domain(spark, o.folder), o.algorithm, o.k, o.alpha, o.budget, o.epsilon, o.candidates)
+    domain = TextDomain(spark, o.folder, o.files, o.k) if o.files else Domain(spark, o.folder)
+    index = border_index(domain.road_vertex, domain.road_edge, o.leaf.bit_length() - 1) if o.leaf else None
+    got = choose(domain, o.algorithm, o.k, o.alpha, o.budget, o.epsilon, o.candidates, index)
     print(json.dumps({"pois": got.pois, "gains": got.gains, "facts": got.facts, "seconds": round(time.time() - began, 2)}))
 
 
