@@ -125,37 +125,40 @@ def _runs(hit: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(edge[::2].tolist(), edge[1::2].tolist()))
 
 
+def _rows(df: DataFrame, key: str, text: str) -> DataFrame:
+    """(k, t, h): key, text and a hash of both, by which a row is found again."""
+    return df.select(F.col(key).alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t")).withColumn("h", F.xxhash64("k", "t"))
+
+
 def repeated_spans(df: DataFrame, key: str = "doc_id", text: str = "text", length: int = 400, passage: int = PASSAGE, shard_bytes: int = 1 << 20, budget: int = 16 << 20) -> DataFrame:
-    """(k, h, spans): for each (key, xxhash64 of the text) with repeated strings, spans (s, e, long) in bytes that strings
-    of `passage` bytes cover which start anywhere else too, and (long) those of strings of `length` bytes; they may overlap.
+    """(h, spans): for each xxhash64 of key and text with repeated strings, spans (s, e, long) in bytes that strings of
+    `passage` bytes cover which start anywhere else too, and (long) those of strings of `length` bytes; they may overlap.
 
     A task orders shards of about shard_bytes symbols, one core's units at least, and holds queues beyond a quarter of the
     budget in scratch files.
     """
     lengths = tuple(sorted({min(passage, length), length}))
-    rows = df.select(F.col(key).alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t")).where(F.octet_length("t") >= lengths[0]).withColumn("h", F.xxhash64("t"))
-    kind = df.schema[key].dataType.simpleString()
+    rows = _rows(df, key, text).select("h", "t").where(F.octet_length("t") >= lengths[0])
 
     def find(batches):
         for b in sub_batches(batches, "t", PIECE):
             i, start, n, left, size, core, whole = units([t.encode() for t in b.column("t").to_pylist()], lengths)
             take = pa.array(i)
-            cols = [b.column("k").take(take), b.column("h").take(take), pa.array(start), pa.array(n.astype(np.int16)), pa.array(left.astype(np.int16)), pa.array(size == length), pa.array(core.view(np.int64)), pa.array(whole.view(np.int64))]
-            yield pa.RecordBatch.from_arrays(cols, names=["k", "h", "start", "n", "left", "long", "core", "whole"])
+            cols = [b.column("h").take(take), pa.array(start), pa.array(n.astype(np.int16)), pa.array(left.astype(np.int16)), pa.array(size == length), pa.array(core.view(np.int64)), pa.array(whole.view(np.int64))]
+            yield pa.RecordBatch.from_arrays(cols, names=["h", "start", "n", "left", "long", "core", "whole"])
         give_back()
 
-    found = cut(rows.mapInArrow(find, f"k {kind}, h bigint, start bigint, n smallint, left smallint, long boolean, core bigint, whole bigint"), "units")
+    found = cut(rows.mapInArrow(find, "h bigint, start bigint, n smallint, left smallint, long boolean, core bigint, whole bigint"), "units")
     often = cut(found.groupBy("core").agg(F.count("*").alias("c")).where("c > 1").select("core"), "cores")
     kept = cut(found.join(often, "core"), "units")
     drop_cut(often)
     drop_cut(found)
-    kinds = cut(kept.groupBy("core", "whole").agg(F.count("*").alias("c"), F.min(F.struct("k", "h", "start", "n", "left", "long")).alias("rep")), "kinds")
+    kinds = cut(kept.groupBy("core", "whole").agg(F.count("*").alias("c"), F.min(F.struct("h", "start", "n", "left", "long")).alias("rep")), "kinds")
     sizes = kinds.groupBy("core").agg(F.count("*").alias("m"), F.min("c").alias("least"))
     some = cut(sizes.where("m > 1 and least = 1").select("core"), "some")  # so that Spark can split the join's large partitions
     reps = kinds.join(some, "core").select("core", "whole", "rep.*")
-    asked = reps.groupBy("k", "h").agg(F.collect_list(F.struct("start", "n", "left", "long", "core", "whole")).alias("units"))
-    asked = asked.withColumnsRenamed({"k": "ak", "h": "ah"})
-    joined = rows.join(asked, F.col("k").eqNullSafe(F.col("ak")) & (F.col("h") == F.col("ah"))).select("t", "units")
+    asked = reps.groupBy("h").agg(F.collect_list(F.struct("start", "n", "left", "long", "core", "whole")).alias("units"))
+    joined = rows.join(asked, "h").select("t", "units")
 
     def contexts(batches):
         for b in sub_batches(batches, "t", PIECE):
@@ -207,8 +210,8 @@ def repeated_spans(df: DataFrame, key: str = "doc_id", text: str = "text", lengt
     twice = kinds.where("c > 1").select("core", "whole", F.lit(0).alias("a"), F.col("rep.n").cast("int").alias("b"))
     hits = cut(partial.join(twice.select("core", "whole"), ["core", "whole"], "left_anti").unionByName(twice), "hits")
     end = F.col("start") + F.col("b") - 1 + F.when(F.col("long"), lengths[-1]).otherwise(lengths[0])
-    spans = kept.join(hits, ["core", "whole"]).select("k", "h", (F.col("start") + F.col("a")).alias("s"), end.alias("e"), "long")
-    return spans.groupBy("k", "h").agg(F.collect_list(F.struct("s", "e", "long")).alias("spans"))
+    spans = kept.join(hits, ["core", "whole"]).select("h", (F.col("start") + F.col("a")).alias("s"), end.alias("e"), "long")
+    return spans.groupBy("h").agg(F.collect_list(F.struct("s", "e", "long")).alias("spans"))
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -231,9 +234,7 @@ def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", lengt
     occurrences of their text elsewhere and all lose it.  A null key is a key like others; other columns are not read; an
     empty table gives an empty one.
     """
-    spans = repeated_spans(df, key, text, length, passage, **how).withColumnsRenamed({"k": "sk", "h": "sh"})
-    rows = df.select(F.col(key).alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t")).withColumn("h", F.xxhash64("t"))
-    joined = rows.join(spans, F.col("k").eqNullSafe(F.col("sk")) & (F.col("h") == F.col("sh")), "left").select("k", "t", "spans")
+    joined = _rows(df, key, text).join(repeated_spans(df, key, text, length, passage, **how), "h", "left").select("k", "t", "spans")
     kind = df.schema[key].dataType.simpleString()
     last = "kept_sha256" if digest else "kept"
 
