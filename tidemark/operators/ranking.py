@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidemark.functions.geosocial import ALPHA, BASE, gsk_score, influence, lower_score, upper_score
+from tidemark.operators.best import Best, above
 from tidemark.operators.road import nearest, with_distance
 from tidemark.operators.social import friend_checkins, social_score
 from tidemark.operators.text import relevance, term_idf
@@ -62,6 +63,30 @@ def reverse_topk(scored: DataFrame, pois: DataFrame, k: int, strict: bool = True
     return rows.where(keep).select("p", "u", "rel", "inf", "dist", "score", "rk")
 
 
+class ByPairs:
+    """What Best gives, from all pairs: for domains that do not fit it."""
+
+    def __init__(self, scores: Scores, k: int, users: DataFrame | None = None):
+        rows = scores.scored(None if users is None else scores.relevant().join(users, "u", "left_semi"))
+        self.scored, self.k = rows, k
+
+    def topk(self) -> DataFrame:
+        return user_topk(self.scored, self.k)
+
+    def kth(self) -> DataFrame:
+        return user_kth(self.scored, self.k)
+
+    def reverse(self, pois: DataFrame, strict: bool = True) -> DataFrame:
+        return reverse_topk(self.scored, pois, self.k, strict)
+
+
+def best_places(scores: Scores, k: int, users: DataFrame | None = None) -> Best | ByPairs:
+    """Each user's k best places: topk(), kth() and reverse() are user_topk(), user_kth() and reverse_topk() of all scored
+    pairs, which are only made where there are too many spots or terms for classes of users."""
+    best = Best(scores, k, users)
+    return best if best.fits else ByPairs(scores, k, users)
+
+
 def reverse_keywords(scores: Scores, words: DataFrame, k: int, places: DataFrame | None = None) -> DataFrame:
     """As reverse_topk(), for places with keywords (p, term) given instead of their own; users' k-th best scores are those of
     the places that are there.
@@ -69,6 +94,9 @@ def reverse_keywords(scores: Scores, words: DataFrame, k: int, places: DataFrame
     places: (p, ni, nj, dist, dis) of places that the domain does not have, such as a bare location; nobody has checked in
     there, so their influence is one.
     """
+    best = Best(scores, k)
+    if best.fits:
+        return best.reverse(words, words=words, places=places)
     t = scores.domain
     rel = relevance(t.user_term, words, term_idf(t.poi_term, t.n_pois))
     if places is None:
@@ -76,21 +104,26 @@ def reverse_keywords(scores: Scores, words: DataFrame, k: int, places: DataFrame
     else:
         rows = with_distance(rel.withColumn("inf", F.lit(1.0)), t.users, places, scores.d)
         rows = rows.withColumn("score", F.round(gsk_score(F.col("rel"), F.col("inf"), F.col("dist"), scores.alpha), 9))
-    rows = rows.join(user_kth(scores.scored(), k), "u", "left").withColumn("rk", F.coalesce("rk", F.lit(0.0)))
-    return rows.where("score > rk").select("p", "u", "rel", "inf", "dist", "score", "rk")
+    return above(rows, user_kth(scores.scored(), k))
 
 
-def reverse_topk_bound(scores: Scores, pois: DataFrame, k: int, bounds: DataFrame) -> DataFrame:
+def reverse_topk_bound(scores: Scores, pois: DataFrame, k: int, bounds: DataFrame, best: Best | ByPairs | None = None) -> DataFrame:
     """As reverse_topk(), but exact scores are made for candidates only.
 
     bounds: (u, p, rel, dmin, dmax).  A user's k-th best lower score bounds what a place must reach; users for whom no
-    place of `pois` can reach it by its upper score are never scored.
+    place of `pois` can reach it by its upper score are never scored.  With a Best given, the k-th best of each user's
+    class is that bound, and bounds of `pois` suffice.
     """
-    low = bounds.select("u", "p", lower_score(F.col("rel"), F.col("dmax"), scores.alpha).alias("score"))
-    floor = user_kth(low, k).withColumnRenamed("rk", "floor")
+    if isinstance(best, Best):
+        floor = best.floors()
+    else:
+        low = bounds.select("u", "p", lower_score(F.col("rel"), F.col("dmax"), scores.alpha).alias("score"))
+        floor = user_kth(low, k).withColumnRenamed("rk", "floor")
     asked = bounds.join(pois.select("p"), "p", "left_semi")
     top = asked.withColumn("top", upper_score(F.col("rel"), F.col("dmin"), scores.a, scores.alpha))
     users = top.join(floor, "u", "left").where(F.col("top") + 1e-8 >= F.coalesce("floor", F.lit(0.0))).select("u").distinct()
+    if isinstance(best, Best):
+        return best.reverse(pois, users=users)
     return reverse_topk(scores.scored(scores.relevant().join(users, "u", "left_semi")), pois, k)
 
 

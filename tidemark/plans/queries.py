@@ -427,8 +427,9 @@ def sk_score(t: Domain) -> DataFrame:
     return ranking.Scores(t, _apsp(t), a=0).scored().select(*six("u", "p", "score~"))
 
 
-def _bounds(t: Domain) -> DataFrame:
-    """(u, p, rel, dmin, dmax) from the distances of the leaves of a user's and a place's lower ends: no exact distance
+def _bounds(t: Domain, pois: DataFrame | None = None) -> DataFrame:
+    """(u, p, rel, dmin, dmax), of some places if these are given, from the distances of the leaves of a user's and a
+    place's lower ends: no exact distance
     is made."""
     d = _apsp(t)
     leaves = road.partition(t.road_vertex)
@@ -437,7 +438,7 @@ def _bounds(t: Domain) -> DataFrame:
     span = span.groupBy("l1", "l2").agg(F.min("d").alias("lo"), F.max("d").alias("hi"))
     us = t.users.join(leaves.withColumnRenamed("v", "ni"), "ni").select("u", F.col("leaf").alias("l1"))
     ps = t.pois.join(leaves.withColumnRenamed("v", "ni"), "ni").select("p", F.col("leaf").alias("l2"))
-    rel = text.relevance(t.user_term, t.poi_term, _idf(t))
+    rel = text.relevance(t.user_term, t.poi_term if pois is None else t.poi_term.join(pois, "p", "left_semi"), _idf(t))
     rows = rel.join(us, "u").join(ps, "p").join(span, ["l1", "l2"])
     return rows.select("u", "p", "rel", F.greatest(F.col("lo") - 2 * longest, F.lit(0.0)).alias("dmin"), (F.col("hi") + 2 * longest).alias("dmax"))
 
@@ -469,14 +470,18 @@ def voronoi_leaves(t: Domain) -> DataFrame:
     return voronoi.by_leaf(_cells(t), road.partition(t.road_vertex))
 
 
+def _best(t: Domain) -> ranking.Best | ranking.ByPairs:
+    return ranking.best_places(_scores(t), t.k)
+
+
 @query
 def user_topk(t: Domain) -> DataFrame:
-    return ranking.user_topk(_scores(t).scored(), t.k).select(*six("u", "p", "score~", "rank"))
+    return _best(t).topk().select(*six("u", "p", "score~", "rank"))
 
 
 @query
 def user_kth_score(t: Domain) -> DataFrame:
-    return ranking.user_kth(_scores(t).scored(), t.k).select(*six("u", "rk~"))
+    return _best(t).kth().select(*six("u", "rk~"))
 
 
 _RESULT = ("p", "u", "rel~", "inf~", "dist~", "score~", "rk~")
@@ -484,22 +489,22 @@ _RESULT = ("p", "u", "rel~", "inf~", "dist~", "score~", "rk~")
 
 @query
 def reverse_topk_batch(t: Domain) -> DataFrame:
-    return ranking.reverse_topk(_scores(t).scored(), t.query_poi, t.k).select(*six(*_RESULT))
+    return _reverse(t).select(*six(*_RESULT))
 
 
 @query
 def reverse_topk_single(t: Domain) -> DataFrame:
-    return ranking.reverse_topk(_scores(t).scored(), t.query_poi.where("p = 0"), t.k).select(*six(*_RESULT))
+    return _best(t).reverse(t.query_poi.where("p = 0")).select(*six(*_RESULT))
 
 
 @query
 def reverse_topk_nonstrict(t: Domain) -> DataFrame:
-    return ranking.reverse_topk(_scores(t).scored(), t.query_poi, t.k, strict=False).select(*six(*_RESULT))
+    return _best(t).reverse(t.query_poi, strict=False).select(*six(*_RESULT))
 
 
 @query
 def reverse_topk_bound(t: Domain) -> DataFrame:
-    return ranking.reverse_topk_bound(_scores(t), t.query_poi, t.k, _bounds(t)).select(*six(*_RESULT))
+    return ranking.reverse_topk_bound(_scores(t), t.query_poi, t.k, _bounds(t, t.query_poi), _best(t)).select(*six(*_RESULT))
 
 
 @query
@@ -534,12 +539,12 @@ def vertex_term_kth(t: Domain) -> DataFrame:
 
 @query
 def reverse_cardinality(t: Domain) -> DataFrame:
-    return ranking.reverse_topk(_scores(t).scored(), t.query_poi, t.k).groupBy("p").agg(F.count("*").alias("n"))
+    return _reverse(t).groupBy("p").agg(F.count("*").alias("n"))
 
 
 @query
 def candidate_groups(t: Domain) -> DataFrame:
-    return workload.candidate_groups(ranking.user_topk(_scores(t).scored(), t.k))
+    return workload.candidate_groups(_best(t).topk())
 
 
 @query
@@ -628,7 +633,7 @@ def one_hop_spread_outer(t: Domain) -> DataFrame:
 
 
 def _reverse(t: Domain) -> DataFrame:
-    return ranking.reverse_topk(_scores(t).scored(), t.query_poi, t.k)
+    return _best(t).reverse(t.query_poi)
 
 
 @query
