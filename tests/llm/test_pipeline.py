@@ -4,6 +4,8 @@ import random
 import string
 
 from corpus_pipeline import keep_one_of_near_copies, keep_told_languages
+from tidemark.llm.common import cut
+from tidemark.llm.components import components
 
 DOC = "doc_id long, text string, lang string"
 WORDS = {"en": "the of and that which water house with from this have".split(), "de": "der die und nicht wasser haus durch aber über schön".split()}
@@ -68,8 +70,25 @@ def test_near_copy_stage_by_brute_force(spark):
     assert sorted((x["doc_id"] is None, x["doc_id"] or 0) for x in got) == want
 
 
+def test_pairs_that_others_join_are_not_compared(spark, monkeypatch):
+    from tidemark.llm import near_copies
+
+    r = random.Random(4)
+    words = ["".join(r.choices(string.ascii_lowercase, k=4)) for _ in range(500)]
+    base = r.choices(words, k=150)
+    docs = [(i, " ".join(base[:at] + ["x%d" % i] + base[at + 1 :])) for i, at in enumerate(range(0, 150, 3))] + [(50, "other words alone")]
+    texts = cut(spark.createDataFrame(docs, "h long, t string"), "texts")
+    pairs = spark.createDataFrame([(i, j) for j in range(50) for i in range(j)] + [(0, 50), (7, 50)], "a long, b long")
+    checked, compared = near_copies._checked, []
+    monkeypatch.setattr(near_copies, "_checked", lambda p, *args: compared.append(p.count()) or checked(p, *args))
+    got = {x["node"]: x["root"] for x in near_copies._joining(pairs, texts, 0.8).collect()}
+    assert got == {i: 0 for i in range(50)}
+    assert sum(compared) < 200 < pairs.count()
+    everything = components(checked(pairs, texts, 0.8)).collect()
+    assert got == {x["node"]: x["root"] for x in everything}
+
+
 def test_split_prefixes_give_the_same_links(spark):
-    from tidemark.llm.components import components
     from tidemark.llm.simhash import fingerprint_links
 
     r = random.Random(2)
