@@ -70,7 +70,7 @@ def test_near_copy_stage_by_brute_force(spark):
     assert sorted((x["doc_id"] is None, x["doc_id"] or 0) for x in got) == want
 
 
-def test_pairs_that_others_join_are_not_compared(spark, monkeypatch):
+def test_pairs_that_others_join_are_not_compared(spark):
     from tidemark.llm import near_copies
 
     r = random.Random(4)
@@ -79,12 +79,12 @@ def test_pairs_that_others_join_are_not_compared(spark, monkeypatch):
     docs = [(i, " ".join(base[:at] + ["x%d" % i] + base[at + 1 :])) for i, at in enumerate(range(0, 150, 3))] + [(50, "other words alone")]
     texts = cut(spark.createDataFrame(docs, "h long, t string"), "texts")
     pairs = spark.createDataFrame([(i, j) for j in range(50) for i in range(j)] + [(0, 50), (7, 50)], "a long, b long")
-    checked, compared = near_copies._checked, []
-    monkeypatch.setattr(near_copies, "_checked", lambda p, *args: compared.append(p.count()) or checked(p, *args))
-    got = {x["node"]: x["root"] for x in near_copies._joining(pairs, texts, 0.8).collect()}
+    counts = []
+    compared = lambda p: near_copies._checked(p, texts, 0.8)
+    got = {x["node"]: x["root"] for x in near_copies._joining(pairs, lambda p: counts.append(p.count()) or compared(p)).collect()}
     assert got == {i: 0 for i in range(50)}
-    assert sum(compared) < 200 < pairs.count()
-    everything = components(checked(pairs, texts, 0.8)).collect()
+    assert sum(counts) < 200 < pairs.count()
+    everything = components(compared(pairs)).collect()
     assert got == {x["node"]: x["root"] for x in everything}
 
 
