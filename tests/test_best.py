@@ -55,6 +55,16 @@ def test_whole_domain(spark):
     alike(ranking.Scores(t, road.apsp(t.road_vertex, t.road_edge)), t.query_poi, t.k)
 
 
+@pytest.mark.parametrize("a", [6.0, 0])
+def test_all_pairs_by_kinds_of_places(spark, a):
+    t = Made(spark)
+    scores = ranking.Scores(t, road.apsp(t.road_vertex, t.road_edge), a=a)
+    out = "u", "p", "rel", "inf", "dist", "score"
+    want = rows(scores.scored(), *out)
+    scores.scored = None
+    assert rows(ranking.all_pairs(scores, 9), *out) == want and want
+
+
 def test_no_table_of_all_pairs(spark):
     """Without the scored pairs, the queries still have their result."""
     t = Made(spark)
