@@ -1,11 +1,13 @@
 """Stages of the corpus pipeline on small tables."""
 
 import random
+import re
 import string
 
 from corpus_pipeline import keep_one_of_near_copies, keep_told_languages
 from tidemark.llm.common import cut
 from tidemark.llm.components import components
+from tidemark.llm.near_copies import near_copy_groups
 
 DOC = "doc_id long, text string, lang string"
 WORDS = {"en": "the of and that which water house with from this have".split(), "de": "der die und nicht wasser haus durch aber über schön".split()}
@@ -103,3 +105,29 @@ def test_split_prefixes_give_the_same_links(spark):
     assert groups[0] == groups[1] and len(groups[0]) > 100
     links = {(x["a"], x["b"]) for x in fingerprint_links(fps, forest=False).collect()}
     assert links and all(((a ^ b) & (1 << 64) - 1).bit_count() <= 4 for a, b in links)
+
+
+def test_near_copies_of_a_large_group_pass_joins_by_their_ends(spark):
+    """Pairs of fingerprints that collide meet their texts in a row for each end, not for each pair."""
+    r = random.Random(4)
+    words = ["".join(r.choices(string.ascii_lowercase, k=5)) for _ in range(400)]
+    docs = []
+    for i in range(300):
+        text = list(words)
+        for at in r.sample(range(len(text)), 3):
+            text[at] = f"{text[at]}{i}"
+        docs.append((i, " ".join(text)))
+    store = spark._jsparkSession.sharedState().statusStore()
+    began = store.executionsCount()
+    groups = near_copy_groups(spark.createDataFrame(docs, "row long, text string"), "row")
+    assert groups.select("group").distinct().count() == 1
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    rows, runs = 0, store.executionsList()
+    for at in range(began, runs.size()):
+        run = runs.apply(at).executionId()
+        told, nodes = store.executionMetrics(run), store.planGraph(run).allNodes()
+        for node in map(nodes.apply, range(nodes.size())):
+            if re.search(r"Join \[a#\d+L\], \[a#\d+L\], Inner", node.desc()):
+                found = [m for m in map(node.metrics().apply, range(node.metrics().size())) if m.name() == "number of output rows"]
+                rows += sum(int(told.apply(m.accumulatorId()).replace(",", "")) for m in found if told.contains(m.accumulatorId()))
+    assert 0 < rows <= 5000
