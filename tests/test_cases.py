@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.geosocial import gsk_score, influence, morton, unmorton
 from tidemark.operators import clean, diffusion, ranking, road, selection, social, text
+from tidemark.plans.cuts import cut
 
 
 @pytest.fixture
@@ -192,3 +193,27 @@ def test_greedy_choices_by_brute_force(spark):
             covered |= hits[best]
         got = choose()
         assert got.pois == chosen and sum(got.gains) == pytest.approx(len(covered) / rounds), name
+
+
+def test_long_paths_take_few_searches(spark, monkeypatch):
+    """A search goes many steps a job once few nodes are left; edges that are not live end it, and cycles do."""
+    made = []
+    monkeypatch.setattr(diffusion, "cut", lambda df, name="step": made.append(name) or cut(df, name))
+    edges = spark.createDataFrame([(i, i + 1, 1.0 if i < 70 else 0.0) for i in range(80)] + [(50, 0, 1.0), (3, 3, 1.0)], "u long, v long, prob double")
+    starts = spark.createDataFrame([(0, 0), (1, 68), (2, 75), (3, 99)], "round long, node long")
+    got = {(r["round"], r["node"]): r["depth"] for r in diffusion.reach(starts, edges, live=F.col("prob") > 0.5).collect()}
+    assert got == {(0, i): i for i in range(71)} | {(1, 68): 0, (1, 69): 1, (1, 70): 2, (2, 75): 0, (3, 99): 0}
+    assert len(made) <= 12  # three steps a job are 25 searches
+
+
+def test_sets_are_made_ahead_and_given_as_asked(spark, monkeypatch):
+    calls = []
+    monkeypatch.setattr(selection, "rr_users", lambda *a: calls.append(a) or diffusion.rr_users(*a))
+    edges = spark.createDataFrame([(i, (7 * i + j) % 30, 0.3) for i in range(30) for j in range(1, 4)], "u long, v long, prob double")
+    links = spark.createDataFrame([(i % 3, i) for i in range(0, 30, 2)], "p long, u long")
+    s = selection.Sampler(spark, edges, links, 30, 5, families=2)
+    got = [sorted(map(tuple, s.sets(n).collect())) for n in (40, 80, 160)]
+    assert len(calls) == 1 and s.asked == 160
+    for n, rows in zip((40, 80, 160), got):
+        roots = diffusion.rr_roots(spark, n, 30, 5).unionByName(diffusion.rr_roots(spark, n, 30, 5, selection.JUDGE))
+        assert rows == sorted(map(tuple, diffusion.rr_pois(diffusion.rr_users(edges, roots, 5), links).collect()))

@@ -13,6 +13,10 @@ from tidemark.functions.geosocial import draw
 from tidemark.plans.cuts import cut
 
 
+#: With so many nodes to go on from or fewer, a job of reach() goes more steps.
+FEW = 1 << 16
+
+
 def edge_probability(links: DataFrame, mode: str = "wc", p: float = 0.1, seed: int = 1) -> DataFrame:
     """(u, v, prob): weighted cascade (one over the degree of v), uniform, or trivalency (0.001, 0.01 or 0.1 by a hash)."""
     if mode == "wc":
@@ -36,32 +40,40 @@ def live_edges(edges: DataFrame, rounds: int, seed: int = 1) -> DataFrame:
     return each.where(is_live(F.col("round"), F.col("u"), F.col("v"), F.col("prob"), seed)).select("round", "u", "v")
 
 
-def reach(starts: DataFrame, edges: DataFrame, group: tuple[str, ...] = ("round",), live=None, hops: int = 3) -> DataFrame:
+def reach(starts: DataFrame, edges: DataFrame, group: tuple[str, ...] = ("round",), live=None, hops: int = 3, far: int = 12) -> DataFrame:
     """(*group, node, depth) of everything that edges (u, v, and any group columns) reach from the starts (*group, node),
     by breadth.
 
     Edges without a group column serve all its values; `live`, a condition on (group, u, v, prob), draws them when they are
-    first looked at, so that no table of all rounds' live edges is made.  A job goes `hops` steps on, so that its fixed cost
-    is paid once for these; only what the last of them found goes on from there.  A cycle ends, as no node is visited twice,
-    and the search goes on until nothing new is found.
+    first looked at, so that no table of all rounds' live edges is made.  A job goes `hops` steps on, and `far` once few are
+    left to go on from, so that its fixed cost is paid once for these; only what the last of them found goes on from there.
+    Each step is one join with lists of neighbours, which keeps what is found already beside what is new.  A cycle ends, as
+    no node is visited twice, and the search goes on until nothing new is found.
     """
     keys = [*group, "node"]
     on = [g for g in group if g in edges.columns]
+    rest = [c for c in edges.columns if c not in (*on, "u")]
+    next_ = cut(edges.groupBy(*on, "u").agg(F.collect_list(F.struct(*rest)).alias("next")), "next")
+    none = F.array().cast(next_.schema["next"].dataType)
+    stay = F.array(F.lit(None).cast(next_.schema["next"].dataType.elementType))  # a null stands for the node itself
     seen = cut(starts.select(*keys, F.lit(0).cast("long").alias("depth")).distinct(), "reach")
-    frontier, depth, parts = seen.select(*keys), 0, 0
+    frontier, depth, parts = seen, 0, 0
+    few = frontier.count() <= FEW
     while True:
-        step, found = frontier, None
-        for i in range(1, hops + 1):
-            step = step.withColumnRenamed("node", "u").join(edges, [*on, "u"])
-            step = (step if live is None else step.where(live)).select(*group, F.col("v").alias("node")).distinct()
-            here = step.withColumn("depth", F.lit(depth + i).cast("long"))
-            found = here if found is None else found.unionByName(here)
-        found = found.groupBy(*keys).agg(F.min("depth").alias("depth"))
-        new = cut(found.join(seen.select(*keys), keys, "left_anti"), "reach")
+        found, steps = frontier, far if few else hops
+        for i in range(depth, depth + steps):
+            open_ = F.when(F.col("depth") == i, F.coalesce("next", none)).otherwise(none)
+            found = found.withColumnRenamed("node", "u").join(next_, [*on, "u"], "left")
+            found = found.select(*group, "u", "depth", F.explode(F.concat(stay, open_)).alias("to")).select(*group, "u", "depth", "to", "to.*")
+            found = found if live is None else found.where(F.col("to").isNull() | live)
+            to = F.when(F.col("to").isNull(), F.struct(F.col("u").alias("node"), "depth")).otherwise(F.struct(F.col("v").alias("node"), F.lit(i + 1).cast("long").alias("depth")))
+            found = found.select(*group, to.alias("to")).groupBy(*group, F.col("to.node").alias("node")).agg(F.min("to.depth").alias("depth"))
+        new = cut(found.where(F.col("depth") > depth).join(seen.select(*keys), keys, "left_anti").select(*keys, "depth"), "reach")
         if new.isEmpty():
             return seen
-        depth, parts, seen = depth + hops, parts + 1, seen.unionByName(new)
-        frontier = new.where(F.col("depth") == depth).select(*keys)
+        depth, parts, seen = depth + steps, parts + 1, seen.unionByName(new)
+        frontier = new.where(F.col("depth") == depth)
+        few = few or frontier.count() <= FEW
         if parts % 8 == 0:
             seen = cut(seen, "reach")
 

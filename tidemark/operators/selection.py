@@ -100,26 +100,30 @@ def _log_choose(n: int, k: int) -> float:
 
 
 JUDGE = 1 << 40  # rounds from here on are the second family of sets
+LEAST_SETS, AHEAD = 4096, 4  # a search makes this many sets, or this many times those that are there
 
 
 class Sampler:
     """Reverse-reachable sets of places, made once and kept: asking for more sets samples only the missing ones.
 
-    With two families their sets, independent of each other, are searched for in the same steps.
+    With two families their sets, independent of each other, are searched for in the same steps.  A search has as many steps
+    for few sets as for many, so it makes some ahead; a set depends on its number alone, and only those asked for are given.
     """
 
     def __init__(self, spark, edges: DataFrame, links: DataFrame, n_users: int, seed: int, least_depth: int = 0, families: int = 1):
         self.spark, self.edges, self.links, self.n, self.seed, self.depth = spark, edges, links, n_users, seed, least_depth
-        self.made, self.parts, self.firsts = 0, None, [0, JUDGE][:families]
+        self.made, self.asked, self.parts, self.firsts = 0, 0, None, [0, JUDGE][:families]
 
     def sets(self, count: int) -> DataFrame:
+        self.asked = max(self.asked, count)
         if count > self.made:
-            more = [rr_roots(self.spark, count - self.made, self.n, self.seed, f + self.made) for f in self.firsts]
+            upto = max(count, AHEAD * self.made, LEAST_SETS)
+            more = [rr_roots(self.spark, upto - self.made, self.n, self.seed, f + self.made) for f in self.firsts]
             roots = more[0] if len(more) == 1 else more[0].unionByName(more[1])
             new = cut(rr_pois(rr_users(self.edges, roots, self.seed), self.links, self.depth), "sets")
             self.parts = new if self.parts is None else self.parts.unionByName(new)
-            self.made = count
-        return self.parts
+            self.made = upto
+        return self.parts if count == self.made else self.parts.where(F.col("round") % JUDGE < count)
 
 
 def opimc(spark, edges: DataFrame, links: DataFrame, n_users: int, n_pois: int, b: int, epsilon: float = 0.1, delta: float | None = None, local: DataFrame | None = None) -> Choice:
@@ -189,7 +193,7 @@ def imm(spark, edges: DataFrame, links: DataFrame, n_users: int, n_pois: int, b:
             break
     e1 = 1 - 1 / math.e
     alpha, beta = math.sqrt(ell * log_n + math.log(2)), math.sqrt(e1 * (choose + ell * log_n + math.log(2)))
-    count = max(sampler.made, math.ceil(2 * n_users * (e1 * alpha + beta) ** 2 / epsilon**2 / low))
+    count = max(sampler.asked, math.ceil(2 * n_users * (e1 * alpha + beta) ** 2 / epsilon**2 / low))
     out = greedy_cover(sampler.sets(count), b)
     out.facts |= {"sets": count, "low": low, "estimate": n_users * out.facts["covered"] / count}
     return out
