@@ -96,3 +96,16 @@ def test_too_many_terms_go_by_pairs(spark, monkeypatch):
     scores = ranking.Scores(t, road.apsp(t.road_vertex, t.road_edge))
     best = ranking.best_places(scores, 2)
     assert isinstance(best, ranking.ByPairs) and best.topk().count() == 5
+
+
+def test_candidates_of_bounds_are_made_once(spark, monkeypatch):
+    """The users whom bounds leave are read more than once, so what they come from is not to be made each time."""
+    given = []
+    monkeypatch.setattr(ranking.Best, "__init__", lambda self: None)
+    monkeypatch.setattr(ranking.Best, "floors", lambda self: spark.createDataFrame([(1, 0.1), (2, 9.0)], "u long, floor double"))
+    monkeypatch.setattr(ranking.Best, "reverse", lambda self, pois, users: given.append(users) or users)
+    bounds = spark.createDataFrame([(1, 0, 1.0, 0.0, 1.0), (2, 0, 1.0, 0.0, 1.0)], "u long, p long, rel double, dmin double, dmax double")
+    scores = ranking.Scores(None, None)
+    got = ranking.reverse_topk_bound(scores, spark.createDataFrame([(0,)], "p long"), 1, bounds, ranking.Best())
+    assert [r["u"] for r in got.collect()] == [1]
+    assert "Join" not in given[0]._jdf.queryExecution().optimizedPlan().toString()

@@ -11,6 +11,7 @@ from tidemark.operators.best import Best, above
 from tidemark.operators.road import nearest, with_distance
 from tidemark.operators.social import friend_checkins, social_score
 from tidemark.operators.text import relevance, term_idf
+from tidemark.plans.cuts import cut
 
 
 class Scores:
@@ -131,7 +132,7 @@ def reverse_topk_bound(scores: Scores, pois: DataFrame, k: int, bounds: DataFram
     top = asked.withColumn("top", upper_score(F.col("rel"), F.col("dmin"), scores.a, scores.alpha))
     users = top.join(floor, "u", "left").where(F.col("top") + 1e-8 >= F.coalesce("floor", F.lit(0.0))).select("u").distinct()
     if isinstance(best, Best):
-        return best.reverse(pois, users=users)
+        return best.reverse(pois, users=cut(users, "candidates"))  # it is read more than once
     return reverse_topk(scores.scored(scores.relevant().join(users, "u", "left_semi")), pois, k)
 
 

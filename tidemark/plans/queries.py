@@ -504,6 +504,7 @@ def reverse_topk_nonstrict(t: Domain) -> DataFrame:
 
 @query
 def reverse_topk_bound(t: Domain) -> DataFrame:
+    t.user_term, t.poi_term = cut(t.user_term, "user_term"), cut(t.poi_term, "poi_term")  # for the bounds and the scores
     return ranking.reverse_topk_bound(_scores(t), t.query_poi, t.k, _bounds(t, t.query_poi), _best(t)).select(*six(*_RESULT))
 
 
