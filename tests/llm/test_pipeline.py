@@ -4,6 +4,8 @@ import random
 import re
 import string
 
+import pytest
+
 from corpus_pipeline import keep_one_of_near_copies, keep_told_languages
 from tidemark.llm.common import cut
 from tidemark.llm.components import components
@@ -131,3 +133,35 @@ def test_near_copies_of_a_large_group_pass_joins_by_their_ends(spark):
                 found = [m for m in map(node.metrics().apply, range(node.metrics().size())) if m.name() == "number of output rows"]
                 rows += sum(int(told.apply(m.accumulatorId()).replace(",", "")) for m in found if told.contains(m.accumulatorId()))
     assert 0 < rows <= 5000
+
+
+def test_links_of_a_large_group_are_told_by_few_tasks(spark, monkeypatch):
+    """Ten tables' links of near copies, before equal ones meet: a small multiple of the texts."""
+    from tidemark.llm import simhash
+
+    r = random.Random(6)
+    words = ["".join(r.choices(string.ascii_lowercase, k=5)) for _ in range(400)]
+    docs = []
+    for i in range(300):
+        text = list(words)
+        for at in r.sample(range(len(text)), 3):
+            text[at] = f"{text[at]}{i}"
+        docs.append((i, " ".join(text)))
+    rows, unfolded = [], simhash._unfolded
+
+    def counted(*args):
+        rows.append(unfolded(*args).count())
+        raise StopIteration  # what comes behind is not asked for here
+
+    monkeypatch.setattr(simhash, "_unfolded", counted)
+    width, even = "spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled"
+    before = {k: spark.conf.get(k) for k in (width, even)}
+    spark.conf.set(width, "211")
+    spark.conf.set(even, "false")
+    try:
+        with pytest.raises(StopIteration):
+            near_copy_groups(spark.createDataFrame(docs, "row long, text string"), "row")
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert 0 < sum(rows) <= 24_000  # 28887 with sixteen prefixes a fingerprint and two forests a task

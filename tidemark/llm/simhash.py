@@ -8,6 +8,8 @@ that gets it unfolds them, a bounded number at a time.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import partial
 from itertools import combinations, repeat
 
 import numpy as np
@@ -100,7 +102,7 @@ def nearest_forest(a: np.ndarray, b: np.ndarray, times: int = 2) -> tuple[np.nda
     return a[take], b[take]
 
 
-def _meet(fp: np.ndarray, top: np.ndarray, left: np.ndarray, bits: int, radius: int, most: int, forest: bool = True) -> list[tuple[np.ndarray, np.ndarray]]:
+def _meet(fp: np.ndarray, top: np.ndarray, left: np.ndarray, bits: int, radius: int, most: int, thin: Callable = local_forest) -> list[tuple[np.ndarray, np.ndarray]]:
     """Links among fingerprints of which a variant starts with `top` (all but the last `bits` bits), with `left` flips to go.
 
     If they have more than `most` variants, the next four bits are fixed to each value in turn.
@@ -115,7 +117,7 @@ def _meet(fp: np.ndarray, top: np.ndarray, left: np.ndarray, bits: int, radius:
             rest = left - np.bitwise_count(low ^ np.uint64(v)).astype(left.dtype)
             ok = rest >= 0
             if ok.sum() > 1:
-                out += _meet(fp[ok], (top[ok] << np.uint64(4)) | np.uint64(v), rest[ok], bits - 4, radius, most, forest)
+                out += _meet(fp[ok], (top[ok] << np.uint64(4)) | np.uint64(v), rest[ok], bits - 4, radius, most, thin)
         return out
     last = np.uint64((1 << bits) - 1)
     base = (top << np.uint64(bits)) | (fp & last) if bits < BITS else fp
@@ -137,7 +139,7 @@ def _meet(fp: np.ndarray, top: np.ndarray, left: np.ndarray, bits: int, radius:
     link = centre != x
     a, b = centre[link], x[link]
     near = np.bitwise_count(a ^ b) <= 2 * radius
-    return [(local_forest if forest else nearest_forest)(a[near], b[near])]
+    return [thin(a[near], b[near])]
 
 
 def _next(low: int, width: int) -> F.Column:
@@ -165,12 +167,12 @@ def _hot(rows: DataFrame, width: int, radius: int, most_rows: int) -> DataFrame
     return None
 
 
-def fingerprint_links(fps: DataFrame, column: str = "fp", distance: int = 4, bits: int = BITS, prefix_bits: int = 16, most_rows: int = 1 << 18, most_variants: int = 1 << 19, forest: bool = True) -> DataFrame:
+def fingerprint_links(fps: DataFrame, column: str = "fp", distance: int = 4, bits: int = BITS, prefix_bits: int = 16, most_rows: int = 1 << 18, most_variants: int = 1 << 19, forest: bool = True, times: int = 2) -> DataFrame:
     """Links (a, b) between distinct fingerprints, enough to join all those that chains of links join.
 
     Every two fingerprints at `distance` (even) or fewer differing bits meet in a variant; all that meet in one are
     linked to its smallest, after a check of the distance.  A task emits a spanning forest of what it found; with forest
-    false one of least distances, of links that it found, so that they can be verified.  Only the last `bits` bits may differ; those above tell tables of fingerprints apart.
+    false `times` of least distances, of links that it found, so that they can be verified.  Only the last `bits` bits may differ; those above tell tables of fingerprints apart.
 
     Variants with one prefix are unfolded by one task, in bounded numbers.  A prefix that more than most_rows
     fingerprints can have is split by its next eight bits, and again while need be, so that neither many fingerprints nor
@@ -179,6 +181,7 @@ def fingerprint_links(fps: DataFrame, column: str = "fp", distance: int = 4, bit
     radius = distance // 2
     if distance != 2 * radius:
         raise ValueError("the distance must be even")
+    thin = local_forest if forest else partial(nearest_forest, times=times)
     table = F.shiftrightunsigned("fp", bits) if bits < BITS else F.lit(0).cast("long")
     base = fps.select(F.col(column).alias("fp")).where(F.col(column).isNotNull()).distinct()
     low, width, out = bits - prefix_bits, prefix_bits, None
@@ -186,7 +189,7 @@ def fingerprint_links(fps: DataFrame, column: str = "fp", distance: int = 4, bit
     while True:
         spread = _prefixes(rows, width, radius)
         hot = _hot(rows, width, radius, most_rows) if low > 8 else None
-        part = _unfolded(spread if hot is None else spread.join(hot, "prefix", "left_anti"), low, radius, most_variants, forest)
+        part = _unfolded(spread if hot is None else spread.join(hot, "prefix", "left_anti"), low, radius, most_variants, thin)
         out = part if out is None else out.unionByName(part)
         if hot is None:
             return out if forest else out.distinct()
@@ -194,7 +197,7 @@ def fingerprint_links(fps: DataFrame, column: str = "fp", distance: int = 4, bit
         rows = cut(spread.join(hot, "prefix").select("fp", _next(low, width).alias("next"), "prefix", "left"), "split")
 
 
-def _unfolded(rows: DataFrame, low: int, radius: int, most_variants: int, forest: bool) -> DataFrame:
+def _unfolded(rows: DataFrame, low: int, radius: int, most_variants: int, thin: Callable) -> DataFrame:
     """Links among rows (fp, prefix) that share a prefix, all but the last `low` bits of a variant."""
     rows = rows.select("fp", "prefix").repartition("prefix").sortWithinPartitions("prefix")
 
@@ -205,12 +208,12 @@ def _unfolded(rows: DataFrame, low: int, radius: int, most_variants: int, forest
         def work(parts):
             fp, prefix = (np.concatenate(x) for x in zip(*parts))
             left = radius - np.bitwise_count((fp >> np.uint64(low)) ^ prefix).astype(np.int64)
-            links.extend(_meet(fp, prefix, left, low, radius, most_variants, forest))
+            links.extend(_meet(fp, prefix, left, low, radius, most_variants, thin))
 
         def settle():
             a, b = (np.concatenate(x) for x in zip(*links)) if links else (np.zeros(0, np.uint64),) * 2
             links.clear()
-            return local_forest(a, b) if forest else nearest_forest(a, b)
+            return thin(a, b)
 
         for b in batches:
             fp = b.column("fp").to_numpy().view(np.uint64)
