@@ -15,6 +15,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -88,10 +89,9 @@ def units(texts: list[bytes], lengths: tuple[int, ...], step: int = STEP):
             out[2].append(n)
             out[3].append(lo - at)
             out[4].append(np.full(len(at), length))
-            cores = zip(lo.tolist(), (lo + length - step + 1).tolist(), (u * 4096 + length).tolist())
-            out[5].append(np.fromiter((xxh3_64_intdigest(data[x:y], c) for x, y, c in cores), np.uint64, len(at)))
-            wholes = zip(at.tolist(), (at + n - 1 + length).tolist(), ((a - at) * 4096 + length).tolist())
-            out[6].append(np.fromiter((xxh3_64_intdigest(data[x:y], c) for x, y, c in wholes), np.uint64, len(at)))
+            for col, x, y, seed in ((5, lo, lo + length - step + 1, u), (6, at, at + n - 1 + length, a - at)):
+                parts = map(data.__getitem__, map(slice, x.tolist(), y.tolist()))
+                out[col].append(np.fromiter(map(xxh3_64_intdigest, parts, (seed * 4096 + length).tolist()), np.uint64, len(at)))
     return [np.concatenate([np.zeros(0, np.uint64 if k > 4 else np.int64), *x]) for k, x in enumerate(out)]
 
 
@@ -125,12 +125,16 @@ def _runs(hit: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(edge[::2].tolist(), edge[1::2].tolist()))
 
 
+def _bytes(texts: pa.Array) -> list[bytes]:
+    return texts.cast(pa.large_binary() if pa.types.is_large_string(texts.type) else pa.binary()).to_pylist()
+
+
 def _rows(df: DataFrame, key: str, text: str) -> DataFrame:
     """(k, t, h): key, text and a hash of both, by which a row is found again."""
     return df.select(F.col(key).alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t")).withColumn("h", F.xxhash64("k", "t"))
 
 
-def repeated_spans(df: DataFrame, key: str = "doc_id", text: str = "text", length: int = 400, passage: int = PASSAGE, shard_bytes: int = 1 << 20, budget: int = 16 << 20) -> DataFrame:
+def repeated_spans(df: DataFrame, key: str = "doc_id", text: str = "text", length: int = 400, passage: int = PASSAGE, shard_bytes: int = 2 << 20, budget: int = 16 << 20) -> DataFrame:
     """(h, spans): for each xxhash64 of key and text with repeated strings, spans (s, e, long) in bytes that strings of
     `passage` bytes cover which start anywhere else too, and (long) those of strings of `length` bytes; they may overlap.
 
@@ -142,7 +146,7 @@ def repeated_spans(df: DataFrame, key: str = "doc_id", text: str = "text", lengt
 
     def find(batches):
         for b in sub_batches(batches, "t", PIECE):
-            i, start, n, left, size, core, whole = units([t.encode() for t in b.column("t").to_pylist()], lengths)
+            i, start, n, left, size, core, whole = units(_bytes(b.column("t")), lengths)
             take = pa.array(i)
             cols = [b.column("h").take(take), pa.array(start), pa.array(n.astype(np.int16)), pa.array(left.astype(np.int16)), pa.array(size == length), pa.array(core.view(np.int64)), pa.array(whole.view(np.int64))]
             yield pa.RecordBatch.from_arrays(cols, names=["h", "start", "n", "left", "long", "core", "whole"])
@@ -162,18 +166,14 @@ def repeated_spans(df: DataFrame, key: str = "doc_id", text: str = "text", lengt
 
     def contexts(batches):
         for b in sub_batches(batches, "t", PIECE):
-            core, whole, ns, lefts, ctx = [], [], [], [], []
-            for t, us in zip(b.column("t").to_pylist(), b.column("units").to_pylist()):
-                t = t.encode()
-                for u in us:
-                    s, n, left, size = u["start"], u["n"], u["left"], lengths[-1] if u["long"] else lengths[0]
-                    core.append(u["core"])
-                    whole.append(u["whole"])
-                    ns.append(n)
-                    lefts.append(left)
-                    ctx.append(t[s : s + left] + t[s + left + size - STEP + 1 : s + n - 1 + size])
-            if core:
-                yield pa.RecordBatch.from_arrays([pa.array(core), pa.array(whole), pa.array(ns, pa.int16()), pa.array(lefts, pa.int16()), pa.array(ctx, pa.binary())], names=["core", "whole", "n", "left", "ctx"])
+            texts, us = _bytes(b.column("t")), pc.list_flatten(b.column("units"))
+            if not len(us):
+                continue
+            of, (start, n, left, long) = pc.list_parent_indices(b.column("units")), (us.field(f).to_numpy(zero_copy_only=False).astype(np.int64) for f in ("start", "n", "left", "long"))
+            size = np.where(long, lengths[-1], lengths[0])
+            at = zip(of.to_pylist(), start.tolist(), (start + left).tolist(), (start + left + size - STEP + 1).tolist(), (start + n - 1 + size).tolist())
+            ctx = [texts[i][s:x] + texts[i][y:e] for i, s, x, y, e in at]
+            yield pa.RecordBatch.from_arrays([*(us.field(f) for f in ("core", "whole", "n", "left")), pa.array(ctx, pa.binary())], names=["core", "whole", "n", "left", "ctx"])
 
     got = joined.mapInArrow(contexts, "core bigint, whole bigint, n smallint, left smallint, ctx binary")
 
@@ -214,15 +214,15 @@ def repeated_spans(df: DataFrame, key: str = "doc_id", text: str = "text", lengt
     return spans.groupBy("h").agg(F.collect_list(F.struct("s", "e", "long")).alias("spans"))
 
 
-def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """Spans joined where they overlap or touch, in order."""
-    out: list[list[int]] = []
-    for s, e in sorted(spans):
-        if out and s <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], e)
-        else:
-            out.append([s, e])
-    return [(s, e) for s, e in out]
+def merged(row: np.ndarray, s: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Spans (row, s, e) joined where those of one row overlap or touch, in order of rows and starts."""
+    if not len(row):
+        return row, s, e
+    apart = int(e.max()) + 2  # the rows stand in one line, without touching
+    order = np.argsort(row * apart + s, kind="stable")
+    row, s, e = row[order], s[order], np.maximum.accumulate((row * apart + e)[order])
+    first = np.flatnonzero(np.concatenate([[True], (row * apart + s)[1:] > e[:-1]]))
+    return row[first], s[first], e[np.append(first[1:], len(e)) - 1] - row[first] * apart
 
 
 def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", length: int = 400, passage: int = PASSAGE, digest: bool = False, **how) -> DataFrame:
@@ -240,19 +240,18 @@ def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", lengt
 
     def strip(batches):
         for b in sub_batches(batches, "t"):
-            cols = [[], [], [], [], []]
-            for t, spans in zip(b.column("t").to_pylist(), b.column("spans").to_pylist()):
-                t = t.encode()
-                cuts = merged([(x["s"], x["e"]) for x in spans or () if x["long"]])
-                told = merged([(x["s"], x["e"]) for x in spans or ()])
-                left, at = [], 0
-                for s, e in cuts:
-                    left.append(t[at:s])
-                    at = e
-                left.append(t[at:])
-                kept = b"".join(left)
-                for col, v in zip(cols, (len(t), len(t) - len(kept), len(cuts), hashlib.sha256(kept).hexdigest() if digest else kept, sum(e - s for s, e in told))):
-                    col.append(v)
+            texts, spans = _bytes(b.column("t")), pc.list_flatten(b.column("spans"))
+            row, start, end, long = (x.to_numpy(zero_copy_only=False) for x in (pc.list_parent_indices(b.column("spans")), *(spans.field(f) for f in ("s", "e", "long"))))
+            row, long = row.astype(np.int64), long.astype(bool)
+            told, cuts = merged(row, start, end), merged(row[long], start[long], end[long])
+            covered, gone = (np.bincount(i, y - x, len(texts)).astype(np.int64) for i, x, y in (told, cuts))
+            kept, at = list(texts), np.searchsorted(cuts[0], np.arange(len(texts) + 1))
+            for i in np.unique(cuts[0]).tolist():
+                own = slice(at[i], at[i + 1])
+                kept[i] = b"".join(map(texts[i].__getitem__, map(slice, [0, *cuts[2][own].tolist()], [*cuts[1][own].tolist(), len(texts[i])])))
+            if digest:
+                kept = [hashlib.sha256(t).hexdigest() for t in kept]
+            cols = [list(map(len, texts)), gone, np.diff(at), kept, covered]
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string() if digest else pa.binary(), pa.int64())
             yield pa.RecordBatch.from_arrays([b.column("k"), *(pa.array(c, t) for c, t in zip(cols, kinds))], names=[key, "n_bytes", "n_removed", "n_spans", last, "n_repeated"])
         give_back()
