@@ -399,7 +399,8 @@ def test_spans_of_many_rows_merge_at_once():
     r = random.Random(3)
     for n in (0, 1, 300):
         spans = sorted((r.randrange(9), s, s + r.randrange(1, 9)) for s in (r.randrange(60) for _ in range(n)))
-        covered = [{(row, x) for row, s, e in some for x in range(s, e)} for some in (spans, got := list(zip(*(x.tolist() for x in merged(*np.array(spans, np.int64).reshape(n, 3).T)))))]
+        got = list(zip(*(x.tolist() for x in merged(*np.array(spans, np.int64).reshape(n, 3).T))))
+        covered = [{(row, x) for row, s, e in some for x in range(s, e)} for some in (spans, got)]
         assert covered[0] == covered[1] and got == sorted(got)
         assert all(a[0] != b[0] or a[2] < b[1] for a, b in zip(got, got[1:]))  # joined where they touch
 
