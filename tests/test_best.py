@@ -81,6 +81,43 @@ def test_similarity_of_nodes_by_classes(spark):
     assert "Aggregate" not in got._jdf.queryExecution().optimizedPlan().toString()
 
 
+@pytest.mark.parametrize("most, tile", [(512, 1024), (512, 7), (2, 1024)])
+def test_similarity_of_nodes_that_all_differ(spark, monkeypatch, most, tile):
+    """Where no nodes are equal, nothing is written for pairs of them; with more terms than `most` it goes by classes."""
+    written, cut = [], text.cut
+    monkeypatch.setattr(text, "cut", lambda df, name: written.append(cut(df, name)) or written[-1])
+    monkeypatch.setattr(text, "MOST_TILE_TERMS", most, raising=False)
+    monkeypatch.setattr(text, "TILE", tile, raising=False)
+    of = {3 * n - 50: {t: c for t, c in (("a", n % 5), ("b", n // 5), ("c", n * (n % 2)), ("d", n % 3)) if c} for n in range(1, 60)}
+    assert len({tuple(k.items()) for k in of.values()}) == len(of)
+    got = text.node_jaccard(spark.createDataFrame([(n, t, c) for n, k in of.items() for t, c in k.items()], "node long, term string, cnt long"))
+    want = []
+    for n in of:
+        for m in of:
+            dot = sum(c * of[m].get(t, 0) for t, c in of[n].items())
+            if n < m and dot:
+                want.append((n, m, round(dot / (sum(c * c for c in of[n].values()) + sum(c * c for c in of[m].values()) - dot), 6)))
+    assert rows(got, "n1", "n2", "sim") == want
+    assert most < 4 or all(w.count() <= len(of) for w in written)
+
+
+def test_six_places_are_those_of_spark(spark):
+    import numpy as np
+
+    from tidemark.operators.text import six_places
+
+    x = np.concatenate([np.arange(1, 20001, 2) / 2e6, np.arange(1, 2000) / 64e4, np.arange(1, 3000) / 7919])
+    got = spark.createDataFrame([(float(v),) for v in x], "x double").selectExpr("x", "round(x, 6) y").collect()
+    assert six_places(np.array([r["x"] for r in got])).tolist() == [r["y"] for r in got]
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no test data")
+def test_users_terms_by_place(spark):
+    t = Domain(spark, DATA)
+    want = t.checkin.join(t.user_term, "u").groupBy("p", "term").count()
+    assert rows(t.poi_user_term, "p", "term", "cnt") == rows(want, "p", "term", "count")
+
+
 def test_no_table_of_all_pairs(spark):
     """Without the scored pairs, the queries still have their result."""
     t = Made(spark)

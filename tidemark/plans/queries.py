@@ -246,8 +246,7 @@ def group_keywords_le200(t: Domain) -> DataFrame:
 @query
 def extended_jaccard(t: Domain) -> DataFrame:
     """Of the terms of places' users, place against place."""
-    counts = t.checkin.join(t.user_term, "u").groupBy(F.col("p").alias("node"), "term").agg(F.count("*").alias("cnt"))
-    return text.node_jaccard(counts)
+    return text.node_jaccard(t.poi_user_term.withColumnRenamed("p", "node"))
 
 
 @query
