@@ -65,6 +65,18 @@ def test_all_pairs_by_kinds_of_places(spark, a):
     assert rows(ranking.all_pairs(scores, 9), *out) == want and want
 
 
+@pytest.mark.parametrize("a, chunk", [(6.0, 1), (6.0, 64), (0, 1), (0, 64)])
+def test_pairs_are_scored_before_they_are_unfolded(spark, monkeypatch, a, chunk):
+    """What an explode does not read, Spark works out behind it, for each row: so scores pass through one by themselves."""
+    monkeypatch.setattr("tidemark.operators.best.CHUNK", chunk, raising=False)
+    t = Made(spark)
+    scores = ranking.Scores(t, road.apsp(t.road_vertex, t.road_edge), a=a)
+    got, out = ranking.all_pairs(scores, 9), ("u", "p", "rel", "inf", "dist", "score")
+    made = [x for x in got._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Generate explode" in x]
+    assert any("round(" in x for x in made)
+    assert rows(got, *out) == rows(scores.scored(), *out)
+
+
 def test_similarity_of_nodes_by_classes(spark):
     """Pairs of nodes are unfolded from pairs of classes: no product is summed for each of them."""
     kinds = [{"a": 1, "b": 2}, {"b": 3}, {"c": 5}, {"a": 4, "c": 1}]
